@@ -1,0 +1,5 @@
+"""Left empty on purpose.
+
+Every report is one batch over stored tables: there is no watermark, trigger or
+state to express, so no streaming operator is offered.
+"""

@@ -1,37 +1,38 @@
-"""The long fact: every source in one shape, summed to account level before any mapping."""
+"""The long fact: every source in one shape, summed to account level before any mapping.
 
-from pyspark.sql import DataFrame
+A row is (company, period, account, source, amount). One amount per row keeps the first
+and largest aggregation down to a single decimal sum; reports pick sources afterwards.
+"""
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.functions import row_sum, zero_if_null
+from ledgerfold.functions import zero_if_null
 from ledgerfold.functions.amounts import journal_amount, zero
 from ledgerfold.operators.scope import companies_under, in_period
 from ledgerfold.schemas import RECLASSIFY, TAKE_EQUITY
 
-MEASURES = ("tb", "rpt", "recl", "te")
+SOURCES = ("tb", "rpt", "recl", "te")
+SEPARATE = ("tb", "recl")
 FACT_KEYS = ("company_code", "period_code", "account_code")
 
 
-def _measures(**given):
-    """The four measures in order, zero where the source has none."""
-    return [given.get(name, zero()).alias(name) for name in MEASURES]
-
-
-def split_amount(journal_type, amount) -> dict:
-    """A journal amount as a reclassification or as an equity pick-up."""
-    return {
-        "recl": F.when(journal_type == RECLASSIFY, amount).otherwise(zero()),
-        "te": F.when(journal_type == TAKE_EQUITY, amount).otherwise(zero()),
-    }
+def journal_source(journal_type="journal_type") -> Column:
+    """Reclassification, equity pick-up, or neither."""
+    kind = F.col(journal_type)
+    return F.when(kind == RECLASSIFY, "recl").when(kind == TAKE_EQUITY, "te").otherwise("none")
 
 
 def trial_balance_fact(tb: DataFrame) -> DataFrame:
-    return tb.select(*FACT_KEYS, *_measures(tb=zero_if_null("tb_amount")))
+    return tb.select(
+        *FACT_KEYS, F.lit("tb").alias("source"), zero_if_null("tb_amount").alias("amount")
+    )
 
 
-def interco_fact(interco: DataFrame, by_partner: bool = False) -> DataFrame:
-    partner = ["rpt_interco_code"] if by_partner else []
-    return interco.select(*FACT_KEYS, *partner, *_measures(rpt=zero_if_null("rpt_amount")))
+def interco_fact(interco: DataFrame, *more: str) -> DataFrame:
+    return interco.select(
+        *FACT_KEYS, *more, F.lit("rpt").alias("source"), zero_if_null("rpt_amount").alias("amount")
+    )
 
 
 def journal_fact(header: DataFrame, line: DataFrame) -> DataFrame:
@@ -39,11 +40,11 @@ def journal_fact(header: DataFrame, line: DataFrame) -> DataFrame:
 
     The amount is always derived from debit and credit, as it is when a line is saved.
     """
-    headers = header.select("journal_no", "company_code", "period_code", "journal_type")
-    lines = line.select("journal_no", "account_code", journal_amount().alias("amount"))
-    return headers.join(lines, "journal_no").select(
-        *FACT_KEYS, *_measures(**split_amount(F.col("journal_type"), F.col("amount")))
+    headers = header.select(
+        "journal_no", "company_code", "period_code", journal_source().alias("source")
     )
+    lines = line.select("journal_no", "account_code", journal_amount().alias("amount"))
+    return headers.join(lines, "journal_no").select(*FACT_KEYS, "source", "amount")
 
 
 def stack(*facts: DataFrame) -> DataFrame:
@@ -54,13 +55,28 @@ def stack(*facts: DataFrame) -> DataFrame:
     return stacked
 
 
-def sum_measures(df: DataFrame, *keys) -> DataFrame:
-    """Measures summed by the keys; rows combine before they are shuffled."""
-    return df.groupBy(*keys).agg(*(F.sum(name).alias(name) for name in MEASURES))
+def measure(*sources: str, when: Column | None = None) -> Column:
+    """Sum of the amounts of the given sources, zero where there are none."""
+    counted = F.col("source").isin(*sources)
+    if when is not None:
+        counted = counted & when
+    return F.sum(F.when(counted, F.col("amount")).otherwise(zero()))
+
+
+def sum_sources(df: DataFrame, *keys) -> DataFrame:
+    """One row per key with the four sources as columns."""
+    return df.groupBy(*keys).agg(*(measure(name).alias(name) for name in SOURCES))
+
+
+def split_journals(header: DataFrame, line: DataFrame, *keys) -> DataFrame:
+    """Journal amounts per key as reclassification and as equity pick-up."""
+    return journal_fact(header, line).groupBy(*keys).agg(
+        measure("recl").alias("reclass_amount"), measure("te").alias("take_eq_amount")
+    )
 
 
 def long_fact(books, parent: str | None = None, period: str | None = None) -> DataFrame:
-    """One row per company, period and account with the four measures.
+    """One row per company, period, account and source.
 
     Each source is cut to the scope before anything else happens to it, journal lines
     through their headers. A source that is not there counts as zero.
@@ -79,14 +95,13 @@ def long_fact(books, parent: str | None = None, period: str | None = None) -> Da
         facts.append(interco_fact(scoped(books.interco)))
     if not facts:
         raise ValueError("no trial balance, journal or intercompany table to consolidate")
-    return sum_measures(stack(*facts), *FACT_KEYS)
+    return stack(*facts).groupBy(*FACT_KEYS, "source").agg(F.sum("amount").alias("amount"))
 
 
-def consolidate(df: DataFrame) -> DataFrame:
-    """Separate and consolidated totals from the four measures."""
-    return df.withColumns(
-        {
-            "total_separate": row_sum("tb", "recl"),
-            "total_conso": row_sum("tb", "rpt", "recl", "te"),
-        }
+def consolidate(df: DataFrame, *keys) -> DataFrame:
+    """The four sources per key, with the separate and consolidated totals."""
+    return df.groupBy(*keys).agg(
+        *(measure(name).alias(name) for name in SOURCES),
+        measure(*SEPARATE).alias("total_separate"),
+        measure(*SOURCES).alias("total_conso"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import journal_amount
 from ledgerfold.operators.numbering import number_within
-from ledgerfold.operators.quality import check_balanced, filled_lines, journal_totals
+from ledgerfold.operators.quality import filled_lines, journal_totals
 
 NUMBER_MARK = "_JV_"
 UNBALANCED = "Validation! Transaction unbalance"
@@ -88,11 +88,14 @@ def post_journals(
 def update_journals(line: DataFrame, batch: DataFrame) -> DataFrame:
     """Replace the lines of the journals in the batch, those that balance; others keep theirs."""
     entered = filled_lines(batch)
-    broken = check_balanced(entered).select("journal_no")
-    accepted = entered.join(broken, "journal_no", "left_anti").withColumn(
+    balanced = (
+        journal_totals(entered)
+        .where(F.round(F.col("sum_debit") - F.col("sum_credit"), 2) == 0)
+        .select("journal_no")
+    )
+    accepted = entered.join(balanced, "journal_no", "left_semi").withColumn(
         "journal_amount", journal_amount()
     )
-    replaced = accepted.select("journal_no").distinct()
-    return line.join(replaced, "journal_no", "left_anti").unionByName(
+    return line.join(balanced, "journal_no", "left_anti").unionByName(
         accepted.select(*line.columns)
     )

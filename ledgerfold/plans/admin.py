@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import contains_ci, date_text, money_text, time_text, timestamp_text
-from ledgerfold.operators.mapping import with_parent_name
 from ledgerfold.operators.scope import (
     all_of,
     any_equals,
@@ -41,25 +40,36 @@ def subscription_report(
     )
 
 
+def _parent_counts(company: DataFrame) -> DataFrame:
+    return (
+        company.where(F.col("parent_company").isNotNull())
+        .groupBy("parent_company")
+        .agg(F.count(F.lit(1)).alias("company_count"))
+    )
+
+
 def company_count(company: DataFrame) -> DataFrame:
     """Number of companies under the same parent, on every row; null for a null parent.
 
     Counted and joined back: counting combines before the shuffle and the join can split
     a parent that has most of the companies, which a window could not.
     """
-    counts = (
-        company.where(F.col("parent_company").isNotNull())
-        .groupBy("parent_company")
-        .agg(F.count(F.lit(1)).alias("company_count"))
-    )
-    return company.join(counts, "parent_company", "left")
+    return company.join(_parent_counts(company), "parent_company", "left")
 
 
 def company_member_report(
     books, company_code: str = "", company_name: str = "", parent_company: str = ""
 ) -> DataFrame:
-    """Companies with their parent's name and the size of their group, counted before filtering."""
-    members = company_count(with_parent_name(books.company)).select(
+    """Companies with their parent's name and the size of their group, counted before filtering.
+
+    Name and size are put together per parent, one row each, before the companies join.
+    """
+    names = books.company.select(
+        F.col("company_code").alias("parent_company"),
+        F.col("company_name").alias("parent_company_name"),
+    )
+    parents = _parent_counts(books.company).join(names, "parent_company", "left")
+    members = books.company.join(parents, "parent_company", "left").select(
         "parent_company",
         "parent_company_name",
         "company_code",

@@ -67,8 +67,9 @@ def journal_summary(
 def journal_detail(books, journal_no: str | None = None) -> DataFrame:
     """Header, lines and totals of one journal, or of all.
 
-    Totals are summed and joined back rather than taken over a window, so a journal with
-    very many lines is no single task.
+    Totals are summed and joined back rather than taken over a window, and headers and
+    totals meet before the lines do: the lines then pass a single join, in which a journal
+    with very many of them can be split.
     """
     headers = all_of(books.journal_header, maybe_equals("journal_no", journal_no)).select(
         "journal_no", "period_code", "company_code", "journal_type"
@@ -79,7 +80,7 @@ def journal_detail(books, journal_no: str | None = None) -> DataFrame:
         zero_if_null("debit").alias("debit"),
         zero_if_null("credit").alias("credit"),
     )
-    return lines.join(headers, "journal_no").join(journal_totals(lines), "journal_no")
+    return lines.join(headers.join(journal_totals(lines), "journal_no"), "journal_no")
 
 
 def coa_summary(

@@ -7,8 +7,15 @@ companies, without a period every period; the code left open becomes a leading c
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.functions.amounts import zero
-from ledgerfold.operators.facts import FACT_KEYS, interco_fact, long_fact, sum_measures
+from ledgerfold.operators.facts import (
+    FACT_KEYS,
+    SEPARATE,
+    SOURCES,
+    consolidate,
+    interco_fact,
+    long_fact,
+    measure,
+)
 from ledgerfold.operators.mapping import STATEMENT_KEYS, WORKING_KEYS, map_to_groups
 from ledgerfold.operators.scope import companies_under, in_period, statement_filter
 from ledgerfold.operators.shaping import column_codes, measure_sign, rollup_with_total
@@ -53,15 +60,14 @@ def report(
     """
     fact = mapped_fact(books, parent, period) if fact is None else fact
     sign = measure_sign(statement)
-    own = F.when(F.col("company_code") == F.col("parent_company"), F.col("tb") + F.col("recl"))
+    own = F.col("company_code") == F.col("parent_company")
     partition = _open_codes(parent, period)
     rolled = rollup_with_total(
         statement_filter(fact, statement),
         STATEMENT_KEYS,
         {
-            "separate_fs": sign * F.sum(F.coalesce(own, zero())),
-            "consolidated_fs": sign
-            * F.sum(F.col("tb") + F.col("rpt") + F.col("recl") + F.col("te")),
+            "separate_fs": sign * measure(*SEPARATE, when=own),
+            "consolidated_fs": sign * measure(*SOURCES),
         },
         "fs_group_name",
         partition,
@@ -72,10 +78,10 @@ def report(
 
 def _working_measures(sign: int) -> dict:
     return {
-        "total_separate": sign * F.sum(F.col("tb") + F.col("recl")),
-        "eliminate": sign * F.sum("rpt"),
-        "take_equity": sign * F.sum("te"),
-        "total_conso": sign * F.sum(F.col("tb") + F.col("rpt") + F.col("recl") + F.col("te")),
+        "total_separate": sign * measure(*SEPARATE),
+        "eliminate": sign * measure("rpt"),
+        "take_equity": sign * measure("te"),
+        "total_conso": sign * measure(*SOURCES),
     }
 
 
@@ -91,10 +97,8 @@ def working(
     fact = mapped_fact(books, parent, period) if fact is None else fact
     sign = measure_sign(statement)
     codes = column_codes(companies_under(books.company, parent))
-    separate = F.col("tb") + F.col("recl")
     by_company = {
-        code: sign * F.sum(F.when(F.col("company_code") == code, separate).otherwise(zero()))
-        for code in codes
+        code: sign * measure(*SEPARATE, when=F.col("company_code") == code) for code in codes
     }
     partition = _open_codes(parent, period)
     rolled = rollup_with_total(
@@ -122,13 +126,7 @@ def consolidate_by_company(
     books, parent: str | None = None, period: str | None = None
 ) -> DataFrame:
     """Sources and totals per company and period."""
-    summed = sum_measures(long_fact(books, parent, period), "company_code", "period_code")
-    return summed.withColumns(
-        {
-            "total_separate": F.col("tb") + F.col("recl"),
-            "total_conso": F.col("tb") + F.col("rpt") + F.col("recl") + F.col("te"),
-        }
-    )
+    return consolidate(long_fact(books, parent, period), "company_code", "period_code")
 
 
 def _interco_by_account(books, parent, period) -> DataFrame:
@@ -137,9 +135,9 @@ def _interco_by_account(books, parent, period) -> DataFrame:
         companies.select("company_code"), "company_code", "left_semi"
     )
     summed = (
-        interco_fact(scoped, by_partner=True)
-        .groupBy(*FACT_KEYS, "rpt_interco_code")
-        .agg(F.sum("rpt").alias("rpt"))
+        interco_fact(scoped, "rpt_interco_code")
+        .groupBy(*FACT_KEYS, "rpt_interco_code", "source")
+        .agg(F.sum("amount").alias("amount"))
     )
     return map_to_groups(summed, companies, books.coa, books.fs_group)
 
@@ -149,16 +147,13 @@ def rpt_result(
 ) -> DataFrame:
     """Intercompany matrix: working group and partner against companies."""
     codes = column_codes(companies_under(books.company, parent))
-    by_company = {
-        code: F.sum(F.when(F.col("company_code") == code, F.col("rpt")).otherwise(zero()))
-        for code in codes
-    }
+    by_company = {code: measure("rpt", when=F.col("company_code") == code) for code in codes}
     keys = (*WORKING_KEYS, "rpt_interco_code")
     partition = _open_codes(parent, period)
     rolled = rollup_with_total(
         _interco_by_account(books, parent, period),
         keys,
-        {**by_company, "total_rpt": F.sum("rpt")},
+        {**by_company, "total_rpt": measure("rpt")},
         "wk_group_name",
         partition,
         total,
@@ -172,5 +167,5 @@ def rpt_result_long(books, parent: str | None = None, period: str | None = None)
     return (
         _interco_by_account(books, parent, period)
         .groupBy(*keys)
-        .agg(F.sum("rpt").alias("total_rpt"))
+        .agg(measure("rpt").alias("total_rpt"))
     )

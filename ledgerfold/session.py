@@ -3,6 +3,11 @@
 from pyspark.sql import SparkSession
 
 
+# At test scale the largest fact is only a few megabytes once its columns are pruned, and
+# Spark's default threshold would broadcast it. A lower one gives the plans of a cluster.
+BROADCAST_LIMIT = "2m"
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -10,6 +15,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.autoBroadcastJoinThreshold", BROADCAST_LIMIT)
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")

@@ -45,9 +45,9 @@ def read_csv_upload(
 ) -> Upload:
     """Delimited files, each read by its own header line.
 
-    One wide text scan: the line holding exactly the expected names is a file's header,
-    and it says which position each column has in that file. The headers are one row
-    per file, so joining them back is small however long the files are.
+    The line holding exactly the expected names is a file's header, and it says which
+    position each column has in that file; a file without one is rejected. Headers are
+    one row per file, so joining them back is small however long the files are.
     """
     width = len(expected)
     # one spare column, so that a file with extra columns shows itself
@@ -65,13 +65,9 @@ def read_csv_upload(
     )
     trimmed = F.transform(F.array_compact(F.col("cells")), F.trim)
     is_header = F.array_sort(trimmed) == names
-    headers = (
-        raw.where(is_header)
-        .groupBy("file_name")
-        .agg(F.first(F.transform(F.col("cells"), F.trim)).alias("header"))
-    )
-    files = raw.select("file_name").distinct()
-    rejected = files.join(headers, "file_name", "left_anti").select(
+    files = raw.groupBy("file_name").agg(F.max(F.when(is_header, trimmed)).alias("header"))
+    headers = files.where(F.col("header").isNotNull())
+    rejected = files.where(F.col("header").isNull()).select(
         "file_name", F.lit(INVALID_FORMAT).alias("reason")
     )
     columns = [

@@ -185,7 +185,7 @@ class StarSchemaBooks:
 
     @cached_property
     def _lines(self) -> DataFrame:
-        """Order lines with owner, partner and account number.
+        """Order lines with owner, partner, account and contra account.
 
         Orders meet their owner before the lines join, so that the line table, by far
         the largest, moves as seldom as possible.
@@ -197,7 +197,9 @@ class StarSchemaBooks:
             F.col("s_suppkey").alias("l_suppkey"), _company_code("s_nationkey").alias("partner_code")
         )
         parts = self._read("part").select(
-            F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("s")
+            F.col("p_partkey").alias("l_partkey"),
+            _account_code(F.col("p_size")).alias("account_code"),
+            _account_code(51 - F.col("p_size")).alias("contra_account"),
         )
         return (
             self._read("lineitem")
@@ -218,15 +220,15 @@ class StarSchemaBooks:
         """Two balancing rows per line, made in one pass over the lines."""
         signed = F.when(F.col("l_returnflag") == "R", -F.col("amt")).otherwise(F.col("amt"))
         return (
-            self._lines.select("company_code", "period_code", "s", signed.alias("amt"))
-            .select(
+            self._lines.select(
                 "company_code",
                 "period_code",
                 F.inline(
                     F.array(
-                        F.struct(F.col("s").alias("s"), F.col("amt").cast(MONEY).alias("amt")),
+                        F.struct("account_code", signed.cast(MONEY).alias("tb_amount")),
                         F.struct(
-                            (51 - F.col("s")).alias("s"), (-F.col("amt")).cast(MONEY).alias("amt")
+                            F.col("contra_account").alias("account_code"),
+                            (-signed).cast(MONEY).alias("tb_amount"),
                         ),
                     )
                 ),
@@ -234,8 +236,8 @@ class StarSchemaBooks:
             .select(
                 "company_code",
                 "period_code",
-                _account_code(F.col("s")).alias("account_code"),
-                F.col("amt").alias("tb_amount"),
+                "account_code",
+                "tb_amount",
                 F.concat(
                     F.lit("TB_"), "company_code", F.lit("_"), "period_code", F.lit(".xlsx")
                 ).alias("tb_file_name"),
@@ -258,7 +260,7 @@ class StarSchemaBooks:
                 "company_code",
                 "period_code",
                 F.col("partner_code").alias("rpt_interco_code"),
-                _account_code(F.col("s")).alias("account_code"),
+                "account_code",
                 (-F.col("amt")).cast(MONEY).alias("rpt_amount"),
                 F.concat(
                     F.lit("RPT_"), "company_code", F.lit("_"), "period_code", F.lit(".xlsx")

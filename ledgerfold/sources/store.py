@@ -52,7 +52,7 @@ def insert_if_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -
         )
     else:
         once = batch.distinct()
-    stored = target.select(*(F.col(k).alias(f"_{k}") for k in keys))
+    stored = target.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
     same = [once[k].eqNullSafe(stored[f"_{k}"]) for k in keys]
     return append(target, once.join(stored, same, "left_anti"))
 
@@ -79,7 +79,7 @@ def _load(target, rows, rejected, books, file_column, amount, must_be_zero) -> L
             clean_file_name("file_name").alias(file_column), "reason"
         )
         files = verdicts.unionByName(malformed, allowMissingColumns=True)
-    return Load(replace_by_file(target, accepted, file_column), accepted, files)
+    return Load(append(delete_by_key(target, passed), accepted), accepted, files)
 
 
 def import_tb(books, upload: Upload) -> Load:

@@ -153,10 +153,10 @@ def _report_bs_display(spark, sf):
 
 def _map_accounts(spark, sf):
     b = books(spark, sf)
-    used = facts.sum_measures(facts.long_fact(b), "company_code", "account_code")
+    used = facts.sum_sources(facts.long_fact(b), "company_code", "account_code")
     mapped = mapping.map_to_groups(used, companies_under(b.company), b.coa, b.fs_group)
     return plain(
-        mapped.select("parent_company", "company_code", "account_code", *mapping.GROUP_COLUMNS, *facts.MEASURES)
+        mapped.select("parent_company", "company_code", "account_code", *mapping.GROUP_COLUMNS, *facts.SOURCES)
     )
 
 
@@ -193,7 +193,7 @@ def _journal_rows(spark, sf):
 
 def _outer_on_group(spark, sf):
     b, rows = _journal_rows(spark, sf)
-    summed = facts.sum_measures(rows, "company_code", "account_code")
+    summed = facts.sum_sources(rows, "company_code", "account_code")
     mapped = mapping.map_to_groups(summed, companies_under(b.company, PARENT), b.coa, b.fs_group)
     groups = list(mapping.GROUP_COLUMNS)
     picked_up = mapped.groupBy(*groups).agg(F.sum("te").alias("take_equity"))
@@ -218,7 +218,7 @@ def _pivot_interco(spark, sf):
 
 def _pivot_reclass(spark, sf):
     b, rows = _journal_rows(spark, sf)
-    summed = facts.sum_measures(rows, "company_code", "account_code")
+    summed = facts.sum_sources(rows, "company_code", "account_code")
     mapped = mapping.map_to_groups(summed, companies_under(b.company, PARENT), b.coa, b.fs_group)
     codes = shaping.column_codes(companies_under(b.company, PARENT))
     keys = ["account_code", *mapping.GROUP_COLUMNS]
@@ -227,17 +227,14 @@ def _pivot_reclass(spark, sf):
 
 def _split_journals(spark, sf):
     b = books(spark, sf)
-    rows = facts.journal_fact(b.journal_header, b.journal_line)
     return plain(
-        rows.groupBy("company_code", "period_code").agg(
-            F.sum("recl").alias("reclass_amount"), F.sum("te").alias("take_eq_amount")
-        )
+        facts.split_journals(b.journal_header, b.journal_line, "company_code", "period_code")
     )
 
 
 def _rollup_wk(spark, sf):
     fact = st.mapped_fact(books(spark, sf))
-    return plain(facts.sum_measures(fact, *mapping.WORKING_KEYS))
+    return plain(facts.sum_sources(fact, *mapping.WORKING_KEYS))
 
 
 def _stack_sources(spark, sf):

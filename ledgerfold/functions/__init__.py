@@ -8,7 +8,13 @@ from ledgerfold.functions.amounts import (
     row_sum,
     zero_if_null,
 )
-from ledgerfold.functions.text import clean_file_name, contains_ci, equals_ci, or_unmapped
+from ledgerfold.functions.text import (
+    clean_file_name,
+    contains_ci,
+    equals_ci,
+    or_unmapped,
+    title_case,
+)
 from ledgerfold.functions.times import (
     date_label,
     date_text,
@@ -34,5 +40,6 @@ __all__ = [
     "row_sum",
     "time_text",
     "timestamp_text",
+    "title_case",
     "zero_if_null",
 ]

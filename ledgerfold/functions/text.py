@@ -21,6 +21,11 @@ def contains_ci(col, text: str) -> Column:
     return _col(col).ilike(f"%{literal}%")
 
 
+def title_case(col) -> Column:
+    """Names as they are greeted: every word with a capital."""
+    return F.initcap(_col(col))
+
+
 def equals_ci(left, right) -> Column:
     return F.lower(_col(left)) == F.lower(_col(right))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import journal_amount
+from ledgerfold.operators.joins import join_hot
 from ledgerfold.operators.numbering import number_within
 from ledgerfold.operators.quality import filled_lines, journal_totals
 
@@ -26,9 +27,9 @@ def number_journals(existing: DataFrame, batch: DataFrame, order_key: str) -> Da
     Numbers have at least five digits; both journal types share one run per parent.
     """
     number = F.coalesce("last_number", F.lit(0)) + F.col("_n")
+    counted = number_within(batch.drop("journal_no"), ["parent_company_code"], order_key, "_n")
     return (
-        number_within(batch.drop("journal_no"), ["parent_company_code"], order_key, "_n")
-        .join(last_numbers(existing), "parent_company_code", "left")
+        join_hot(counted, last_numbers(existing), ["parent_company_code"], "left")
         .withColumn(
             "journal_no",
             F.format_string(f"%s{NUMBER_MARK}%05d", "parent_company_code", number),
@@ -93,9 +94,9 @@ def update_journals(line: DataFrame, batch: DataFrame) -> DataFrame:
         .where(F.round(F.col("sum_debit") - F.col("sum_credit"), 2) == 0)
         .select("journal_no")
     )
-    accepted = entered.join(balanced, "journal_no", "left_semi").withColumn(
+    accepted = join_hot(entered, balanced, ["journal_no"], "left_semi").withColumn(
         "journal_amount", journal_amount()
     )
-    return line.join(balanced, "journal_no", "left_anti").unionByName(
+    return join_hot(line, balanced, ["journal_no"], "left_anti").select(*line.columns).unionByName(
         accepted.select(*line.columns)
     )

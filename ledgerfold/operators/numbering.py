@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,35 +19,40 @@ def number_within(df: DataFrame, group: Sequence[str], order_key: str, name: str
     per bucket, then summed up over at most 2**22 buckets of a block, then over at most
     2**22 blocks of a group. No window sees more rows than that, whatever the skew, and
     the outcome depends on the keys alone.
-    """
-    group = list(group)
-    bucketed = df.withColumns(
-        {
-            "_bucket": F.shiftright(order_key, BUCKET_BITS),
-            "_block": F.shiftright(order_key, BLOCK_BITS),
-        }
-    )
-    in_bucket = [*group, "_block", "_bucket"]
-    buckets = bucketed.groupBy(*in_bucket).agg(F.count(F.lit(1)).alias("_rows"))
-    blocks = buckets.groupBy(*group, "_block").agg(F.sum("_rows").alias("_rows"))
 
-    def earlier(keys: Sequence[str], order: str):
-        before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    Group, block and bucket travel as structs, which compare equal where a part is null.
+    """
+    key = F.col(order_key).cast("bigint")
+    block = F.shiftright(key, BLOCK_BITS).alias("n")
+    bucket = F.shiftright(key, BUCKET_BITS).alias("n")
+    of_group = F.struct(*group).alias("_group")
+    of_block = F.struct(of_group, block).alias("_block")
+    bucketed = df.withColumn("_bucket", F.struct(of_block, bucket))
+
+    def earlier(parent: str, order: str) -> Column:
+        before = W.partitionBy(parent).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
         return F.coalesce(F.sum("_rows").over(before), F.lit(0))
 
-    block_offsets = blocks.select(
-        *group, "_block", earlier(group, "_block").alias("_before_block")
+    buckets = (
+        bucketed.groupBy("_bucket")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_block", F.col("_bucket._block"))
+    )
+    blocks = (
+        buckets.groupBy("_block")
+        .agg(F.sum("_rows").alias("_rows"))
+        .withColumn("_group", F.col("_block._group"))
     )
+    before_block = blocks.select("_block", earlier("_group", "_block.n").alias("_before_block"))
     offsets = (
-        buckets.select(*in_bucket, earlier([*group, "_block"], "_bucket").alias("_before"))
-        .join(block_offsets, [*group, "_block"])
-        .withColumn("_before", F.col("_before") + F.col("_before_block"))
-        .drop("_before_block")
+        buckets.select("_bucket", "_block", earlier("_block", "_bucket.n").alias("_before"))
+        .join(before_block, "_block")
+        .select("_bucket", (F.col("_before") + F.col("_before_block")).alias("_before"))
     )
-    rank = F.row_number().over(W.partitionBy(*in_bucket).orderBy(order_key))
+    rank = F.row_number().over(W.partitionBy("_bucket").orderBy(key))
     return (
         bucketed.withColumn("_rank", rank)
-        .join(offsets, in_bucket)
+        .join(offsets, "_bucket")
         .withColumn(name, F.col("_rank") + F.col("_before"))
-        .drop("_bucket", "_block", "_rank", "_before")
+        .drop("_bucket", "_rank", "_before")
     )

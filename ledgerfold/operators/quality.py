@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import zero_if_null
+from ledgerfold.operators.joins import join_hot
 from ledgerfold.schemas import MAX_LENGTHS
 
 
@@ -36,9 +37,9 @@ def check_orphans(
 ) -> DataFrame:
     """Child rows pointing at no parent row; a null pointer points nowhere and is no orphan."""
     pairs = dict(keys) if isinstance(keys, Mapping) else {k: k for k in keys}
-    known = parent.select(*(F.col(p).alias(f"_{c}") for c, p in pairs.items())).distinct()
-    matches = [child[c] == known[f"_{c}"] for c in pairs]
-    return child.dropna(subset=list(pairs)).join(known, matches, "left_anti")
+    known = parent.select(*(F.col(p).alias(c) for c, p in pairs.items())).distinct()
+    pointing = child.dropna(subset=list(pairs))
+    return join_hot(pointing, known, list(pairs), "left_anti").select(*child.columns)
 
 
 def check_domain(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
@@ -114,7 +115,8 @@ def check_journal_scope(
     )
 
     def outside(df: DataFrame, allowed: DataFrame, column: str) -> DataFrame:
-        return df.join(allowed.distinct(), ["parent_company_code", column], "left_anti").select(
+        keys = ["parent_company_code", column]
+        return join_hot(df, allowed.distinct(), keys, "left_anti").select(
             "journal_no", F.lit(column).alias("rule"), F.col(column).alias("value")
         )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import contains_ci, date_text, money_text, time_text, timestamp_text
+from ledgerfold.operators.joins import join_hot
 from ledgerfold.operators.scope import (
     all_of,
     any_equals,
@@ -54,7 +55,7 @@ def company_count(company: DataFrame) -> DataFrame:
     Counted and joined back: counting combines before the shuffle and the join can split
     a parent that has most of the companies, which a window could not.
     """
-    return company.join(_parent_counts(company), "parent_company", "left")
+    return join_hot(company, _parent_counts(company), ["parent_company"], "left")
 
 
 def company_member_report(
@@ -69,7 +70,7 @@ def company_member_report(
         F.col("company_name").alias("parent_company_name"),
     )
     parents = _parent_counts(books.company).join(names, "parent_company", "left")
-    members = books.company.join(parents, "parent_company", "left").select(
+    members = join_hot(books.company, parents, ["parent_company"], "left").select(
         "parent_company",
         "parent_company_name",
         "company_code",

@@ -11,6 +11,7 @@ from ledgerfold.functions import (
     percent_text,
     zero_if_null,
 )
+from ledgerfold.operators.joins import join_hot
 from ledgerfold.operators.quality import journal_totals
 from ledgerfold.operators.scope import (
     all_of,
@@ -80,7 +81,8 @@ def journal_detail(books, journal_no: str | None = None) -> DataFrame:
         zero_if_null("debit").alias("debit"),
         zero_if_null("credit").alias("credit"),
     )
-    return lines.join(headers.join(journal_totals(lines), "journal_no"), "journal_no")
+    totalled = headers.join(journal_totals(lines), "journal_no")
+    return join_hot(lines, totalled, ["journal_no"], "inner")
 
 
 def coa_summary(

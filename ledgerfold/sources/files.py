@@ -21,6 +21,7 @@ from ledgerfold.schemas import (
 )
 
 INVALID_FORMAT = "Invalid File Format!"
+BYTE_ORDER_MARK = "\ufeff"
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,9 @@ def check_header(df: DataFrame, expected: T.StructType) -> bool:
 
 
 def _file_name() -> Column:
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    """Name of the file a row came from; Spark hands it out percent-encoded, but for '+'."""
+    encoded = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(encoded).alias("file_name")
 
 
 def read_csv_upload(
@@ -59,11 +62,13 @@ def read_csv_upload(
         .option("sep", sep)
         .csv(path if isinstance(path, str) else list(path))
         .select(
-            F.url_decode(_file_name()).alias("file_name"),
+            _file_name(),
             cells.alias("cells"),
         )
     )
-    trimmed = F.transform(F.array_compact(F.col("cells")), F.trim)
+    trimmed = F.transform(
+        F.array_compact(F.col("cells")), lambda cell: F.trim(F.translate(cell, BYTE_ORDER_MARK, ""))
+    )
     is_header = F.array_sort(trimmed) == names
     files = raw.groupBy("file_name").agg(F.max(F.when(is_header, trimmed)).alias("header"))
     headers = files.where(F.col("header").isNotNull())
@@ -85,7 +90,7 @@ def read_csv_upload(
 def read_parquet_upload(spark: SparkSession, path: str, expected: T.StructType) -> Upload:
     """Parquet carries its names: the header check looks at the schema alone."""
     df = spark.read.parquet(path)
-    named = df.select("*", F.url_decode(_file_name()).alias("file_name"))
+    named = df.select("*", _file_name())
     if not check_header(df, expected):
         rejected = named.select("file_name", F.lit(INVALID_FORMAT).alias("reason")).distinct()
         empty = spark.createDataFrame([], expected.add("file_name", T.StringType()))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import equals_ci
+from ledgerfold.operators.joins import join_hot
 
 
 def resolve_codes(
@@ -18,7 +19,7 @@ def resolve_codes(
     """
     for name, (dim, keys) in dims.items():
         known = dim.select(*keys).distinct().withColumn(f"_{name}", F.lit(True))
-        df = df.join(known, list(keys), "left")
+        df = join_hot(df, known, list(keys), "left")
     missing = [F.when(F.col(f"_{name}").isNull(), name) for name in dims]
     return df.withColumn("unresolved", F.concat_ws(",", *missing)).drop(
         *(f"_{name}" for name in dims)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import clean_file_name
+from ledgerfold.operators.joins import join_hot
 from ledgerfold.sources.files import Upload
 from ledgerfold.sources.gates import file_verdicts
 
@@ -17,7 +18,7 @@ def append(target: DataFrame, batch: DataFrame) -> DataFrame:
 
 def delete_by_key(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Drop the rows whose key columns are listed; the columns of ``keys`` are the key."""
-    return df.join(keys.distinct(), keys.columns, "left_anti")
+    return join_hot(df, keys.distinct(), keys.columns, "left_anti")
 
 
 def delete_file(df: DataFrame, file_column: str, *file_names: str) -> DataFrame:
@@ -72,7 +73,7 @@ def _load(target, rows, rejected, books, file_column, amount, must_be_zero) -> L
         rows, books.period, books.company, file_column, amount, must_be_zero
     )
     passed = verdicts.where(F.col("reason").isNull()).select(file_column)
-    accepted = rows.join(passed, file_column, "left_semi")
+    accepted = join_hot(rows, passed, [file_column], "left_semi")
     files = verdicts
     if rejected is not None:
         malformed = rejected.select(

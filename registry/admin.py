@@ -1,6 +1,9 @@
 """Administrative reports and listings."""
 
+from ledgerfold.functions import title_case
+from ledgerfold.operators.shaping import label
 from ledgerfold.plans import admin, listings
+from ledgerfold.schemas import LABELS
 from registry.inputs import PARENT, books
 from registry.tables_sql import with_tables
 
@@ -15,6 +18,9 @@ QUERIES = {
     "company_member_report_filtered": lambda spark, sf: admin.company_member_report(
         books(spark, sf), company_name="NATION_7", parent_company="C01"
     ),
+    "company_member_report_labels": lambda spark, sf: label(
+        admin.company_member_report(books(spark, sf)), LABELS["company_member"]
+    ),
     "company_count": lambda spark, sf: admin.company_count(books(spark, sf).company).select(
         "company_code", "parent_company", "company_count"
     ),
@@ -30,6 +36,11 @@ QUERIES = {
         books(spark, sf), content_type_id=1, text='"k": 8', year=2024, month=1
     ),
     "search_users": lambda spark, sf: admin.search_users(books(spark, sf), "first3"),
+    "greeting_names": lambda spark, sf: books(spark, sf).user.select(
+        "username",
+        title_case("first_name").alias("first_name"),
+        title_case("last_name").alias("last_name"),
+    ),
     "member_summary": lambda spark, sf: admin.member_summary(books(spark, sf), PARENT),
     "coa_summary": lambda spark, sf: listings.coa_summary(books(spark, sf), PARENT),
     "search_coa": lambda spark, sf: listings.search_coa(
@@ -81,6 +92,12 @@ SQL = {
     "company_member_report": with_tables(_MEMBER, "fx_company"),
     "company_member_report_filtered": with_tables(
         f"select * from ({_MEMBER}) where company_name = 'NATION_7' or parent_company = 'C01'", "fx_company"),
+    "company_member_report_labels": with_tables(f"""
+select parent_company as "Parent company code", parent_company_name as "Parent company name",
+       company_code as "Company code", company_name as "Company name", company_type as "company type",
+       country as "Country", currency as "Currency", company_est_date as "Established date",
+       company_start_date as "Start date", company_end_date as "End date", company_count as "Company count"
+from ({_MEMBER})""", "fx_company"),
     "company_count": with_tables("""
 select company_code, parent_company,
        case when parent_company is not null
@@ -109,6 +126,10 @@ select u.username, u.email, u.first_name, u.last_name, c.company_code, u.is_acti
 from fx_user u left join fx_company c on u.company_id = c.company_id
 where contains(lower(u.email), 'first3') or contains(lower(u.first_name), 'first3')
    or contains(lower(c.company_code), 'first3')""", "fx_user", "fx_company"),
+    "greeting_names": with_tables("""
+select username, upper(first_name[1]) || lower(first_name[2:]) as first_name,
+       upper(last_name[1]) || lower(last_name[2:]) as last_name
+from fx_user""", "fx_user"),
     "member_summary": with_tables("""
 select username, email, first_name, last_name, company_id from fx_user
 where company_id in (select company_id from fx_company where parent_company = 'C00')""", "fx_user", "fx_company"),

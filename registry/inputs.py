@@ -8,12 +8,12 @@ from ledgerfold.sources.star_schema import StarSchemaBooks
 PARENT = "C00"
 PERIOD = "Q1_1997"
 
-_opened: dict[tuple[str, str], StarSchemaBooks] = {}
+_opened: dict[tuple[SparkSession, str], StarSchemaBooks] = {}
 
 
 def books(spark: SparkSession, sf_dir: str) -> StarSchemaBooks:
     """The derived tables of a folder. Only their definitions are kept, never their rows."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark, sf_dir)
     if key not in _opened:
         _opened[key] = StarSchemaBooks(spark, sf_dir)
     return _opened[key]

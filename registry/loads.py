@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import clean_file_name
 from ledgerfold.operators import quality
+from ledgerfold.operators.scope import in_period, scope
 from ledgerfold.plans import listings
-from ledgerfold.schemas import MONEY
+from ledgerfold.schemas import EXPENSE, MONEY
 from ledgerfold.sources import gates, lookups, store
 from ledgerfold.sources.files import Upload
-from registry.inputs import PERIOD, books, plain
+from registry.inputs import PARENT, PERIOD, books, plain
 from registry.tables_sql import with_tables
 
 _PUNCTUATION = "!@#$%^&*''()[]{};:,/<>?\\|`~=+"
@@ -68,6 +69,31 @@ def _delete_by_file(spark, sf):
     )
 
 
+def _append_batch(spark, sf):
+    b = books(spark, sf)
+    batch = b.interco.select(
+        "company_code", "period_code", "account_code", F.col("rpt_amount").alias("tb_amount")
+    )
+    return _per_file(store.append(b.trial_balance, batch))
+
+
+def _scope_tb(spark, sf):
+    b = books(spark, sf)
+    return _per_file(in_period(scope(b.trial_balance, b.company, PARENT), PERIOD), "account_code")
+
+
+def _cascade_delete_groups(spark, sf):
+    b = books(spark, sf)
+    gone = b.fs_group.where(F.col("account_type") == EXPENSE).select("fs_group_id")
+    groups, accounts = store.cascade_delete(b.fs_group, b.coa, gone, "fs_group")
+    kept = groups.select("company_code", F.lit("group").alias("kind"))
+    return (
+        kept.unionByName(accounts.select("company_code", F.lit("account").alias("kind")))
+        .groupBy("company_code", "kind")
+        .agg(F.count(F.lit(1)).alias("row_count"))
+    )
+
+
 def _insert_if_absent(spark, sf):
     b = books(spark, sf)
     keys = ["company_code", "period_code", "account_code", "tb_amount"]
@@ -226,6 +252,9 @@ QUERIES = {
     "clean_file_name": _clean_file_name,
     "replace_by_file": _replace_by_file,
     "delete_by_file": _delete_by_file,
+    "append_batch": _append_batch,
+    "scope_tb": _scope_tb,
+    "cascade_delete_groups": _cascade_delete_groups,
     "insert_if_absent": _insert_if_absent,
     "import_tb": _import_tb,
     "import_tb_files": _import_tb_files,
@@ -285,6 +314,22 @@ from fx_tb group by tb_file_name""", "fx_tb"),
     "delete_by_file": with_tables("""
 select tb_file_name, count(*) as row_count, cast(sum(tb_amount) as double) as amount_sum
 from fx_tb where period_code <> 'Q1_1997' group by tb_file_name""", "fx_tb"),
+    "append_batch": with_tables("""
+select tb_file_name, count(*) as row_count, cast(sum(tb_amount) as double) as amount_sum
+from (select tb_file_name, tb_amount from fx_tb union all select null, rpt_amount from fx_interco)
+group by tb_file_name""", "fx_tb", "fx_interco"),
+    "scope_tb": with_tables("""
+select account_code, count(*) as row_count, cast(sum(tb_amount) as double) as amount_sum
+from fx_tb where period_code = 'Q1_1997'
+  and company_code in (select company_code from fx_company where parent_company = 'C00')
+group by account_code""", "fx_tb", "fx_company"),
+    "cascade_delete_groups": with_tables("""
+select company_code, 'group' as kind, count(*) as row_count from fx_fsgroup
+where account_type <> 'ค่าใช้จ่าย' group by company_code
+union all
+select company_code, 'account', count(*) from fx_coa
+where fs_group not in (select fs_group_id from fx_fsgroup where account_type = 'ค่าใช้จ่าย')
+group by company_code""", "fx_fsgroup", "fx_coa"),
     "insert_if_absent": with_tables("""
 with added as (
   select distinct company_code, period_code, account_code, rpt_amount as tb_amount from fx_interco

@@ -23,6 +23,11 @@ def test_numbers_run_on_across_buckets_and_blocks(spark):
     assert sorted(out) == sorted(expected)
 
 
+def test_a_null_group_is_numbered_too(spark):
+    df = spark.createDataFrame([(None, 2**45), (None, 3), ("a", 1)], "g string, k bigint")
+    assert rows(number_within(df, ["g"], "k", "n")) == [(None, 3, 1), (None, 2**45, 2), ("a", 1, 1)]
+
+
 def test_one_group_of_many_rows_is_numbered_in_bounded_windows(spark):
     n = 50_000
     df = spark.range(n).selectExpr("'hot' as g", "id * 100000007 as k")

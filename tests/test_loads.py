@@ -60,6 +60,13 @@ def test_other_headers_are_rejected(spark, tmp_path, header):
     assert upload.rows.isEmpty()
 
 
+def test_odd_file_names_and_a_byte_order_mark(spark, tmp_path):
+    head = "company_code,period_code,account_code,account_name,tb_amount\n"
+    write(tmp_path / "a+b [1]%41.csv", "\ufeff" + head + "P,Q1_2024,0100,Cash,1.00\n")
+    upload = files.read_tb(spark, str(tmp_path))
+    assert rows(upload.rows, "company_code", "file_name") == [("P", "a+b [1]%41.csv")]
+
+
 def test_interco_upload_and_unreadable_amount(spark, tmp_path):
     write(tmp_path / "r.csv",
           "company_code,period_code,rpt_interco_code,account_code,account_name,rpt_amount\n"

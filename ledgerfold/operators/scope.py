@@ -1,7 +1,7 @@
 """Row filters: tenant, period, statement and exact-match scopes."""
 
 from collections.abc import Mapping
-from datetime import date, datetime, timedelta
+from datetime import date, timedelta
 from functools import reduce
 from operator import and_, or_
 
@@ -60,10 +60,16 @@ def maybe_equals(name: str, value) -> Column | None:
 
 
 def between_days(name: str, first: date, after: date) -> Column:
-    """Half-open range on a raw timestamp column, which reaches the Parquet reader."""
-    return (F.col(name) >= F.lit(datetime(first.year, first.month, first.day)).cast("timestamp_ntz")) & (
-        F.col(name) < F.lit(datetime(after.year, after.month, after.day)).cast("timestamp_ntz")
-    )
+    """Half-open range on a raw timestamp column, which reaches the Parquet reader.
+
+    The bounds are wall-clock texts, so neither the session's nor this process's time
+    zone shifts them.
+    """
+
+    def midnight(day: date) -> Column:
+        return F.lit(f"{day.isoformat()} 00:00:00").cast("timestamp_ntz")
+
+    return (F.col(name) >= midnight(first)) & (F.col(name) < midnight(after))
 
 
 def on_day(df: DataFrame, name: str, day: str | None) -> DataFrame:

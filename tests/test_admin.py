@@ -67,6 +67,17 @@ def test_log_report_of_a_day(spark):
     assert rows(admin.admin_log_report(b, username="u7"), "id") == [(1,), (2,)]
 
 
+def test_a_day_is_the_same_in_every_time_zone(spark):
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("Asia/Bangkok", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            out = admin.admin_log_report(log_books(spark), "2024-02-01")
+            assert rows(out, "id", "action_time") == [(2, "00:00:00")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+
+
 def test_log_drill_down(spark):
     b = log_books(spark)
     assert rows(admin.search_log(b, year=2024, month=12), "id") == [(3,)]

@@ -388,8 +388,10 @@ class StarSchemaBooks:
 
     @cached_property
     def group(self) -> DataFrame:
-        names = {0: "Manager", 1: "Accountant", 2: "Viewer"}
-        return self._spark.createDataFrame(list(names.items()), "group_id int, group_name string")
+        return self._spark.sql(
+            "select * from values (0, 'Manager'), (1, 'Accountant'), (2, 'Viewer')"
+            " as t(group_id, group_name)"
+        )
 
     @cached_property
     def user_group(self) -> DataFrame:
@@ -404,14 +406,9 @@ class StarSchemaBooks:
 
     @cached_property
     def content_type(self) -> DataFrame:
-        rows = [
-            (0, "fin", "view"),
-            (1, "fin", "click"),
-            (2, "fin", "purchase"),
-            (3, "auth", "signup"),
-        ]
-        return self._spark.createDataFrame(
-            rows, "content_type_id int, app_label string, model string"
+        return self._spark.sql(
+            "select * from values (0, 'fin', 'view'), (1, 'fin', 'click'),"
+            " (2, 'fin', 'purchase'), (3, 'auth', 'signup') as t(content_type_id, app_label, model)"
         )
 
     @cached_property

@@ -9,7 +9,7 @@ from ledgerfold.functions import clean_file_name
 from ledgerfold.plans.listings import file_rows, upload_summary
 from ledgerfold.schemas import INTERCO_FILE, TRIAL_BALANCE_FILE
 from ledgerfold.sources import files, gates, lookups, store
-from ledgerfold.sources.books import read_books
+from ledgerfold.sources.books import read_books, write_books
 
 AMOUNTS = "tb_file_name string, tb_amount decimal(15,2)"
 
@@ -244,6 +244,25 @@ def test_facts_are_stored_by_period_and_pruned(spark, tmp_path):
     assert files.read_table(spark, path, "trial_balance", "tb_amount").columns == ["tb_amount"]
 
 
+def test_stored_books_give_the_same_reports(spark, tmp_path):
+    from ledgerfold.plans.statements import report, working
+    from registry.inputs import PARENT, PERIOD, books
+
+    derived = books(spark, "/root/testdata/sf0.001")
+    tables = (
+        "company", "period", "coa", "fs_group", "trial_balance", "interco",
+        "journal_header", "journal_line",
+    )
+    write_books(derived, str(tmp_path / "v1"), *tables)
+    stored = read_books(spark, str(tmp_path / "v1"), *tables)
+    for plan in (report, working):
+        assert rows(plan(stored, PARENT, PERIOD)) == rows(plan(derived, PARENT, PERIOD))
+    text = report(stored, PARENT, PERIOD)._jdf.queryExecution().toString()
+    assert text.count("PartitionFilters: [isnotnull(period_code") >= 3
+    with pytest.raises(Exception, match="already exists"):
+        write_books(derived, str(tmp_path / "v1"), "company")
+
+
 def test_report_export(spark, tmp_path):
     from ledgerfold.plans.statements import report
 

@@ -74,6 +74,43 @@ def rollup_with_total(
     return grouped.withColumns({**labels, "is_total": is_total}).drop("_grouped_away")
 
 
+def wide_with_total(
+    df: DataFrame,
+    keys: Sequence[str],
+    labels: Column,
+    columns: Sequence[str],
+    label_column: str,
+    partition: Sequence[str] = (),
+    total: bool = True,
+) -> DataFrame:
+    """Sum ``amount`` into one column per label, with a total row per partition.
+
+    ``labels`` is the array of columns a row counts in. Every row is entered once per
+    label, and once more for the total row, and a single pivot does the rest, so the work
+    grows with the rows and not with the number of columns. Adds ``is_total``.
+    """
+    levels = [F.lit(False), F.lit(True)] if total else [F.lit(False)]
+    is_total = F.col("is_total")
+    entries = (
+        df.select(*partition, *keys, "amount", F.explode(F.array(*levels)).alias("is_total"), labels.alias("_labels"))
+        .select(*partition, *keys, "amount", "is_total", F.explode("_labels").alias("_label"))
+        .withColumns(
+            {
+                name: F.when(is_total, "Total" if name == label_column else "").otherwise(
+                    F.col(name)
+                )
+                for name in keys
+            }
+        )
+    )
+    return (
+        entries.groupBy(*partition, *keys, "is_total")
+        .pivot("_label", list(columns))
+        .agg(F.sum("amount"))
+        .fillna(0, subset=list(columns))
+    )
+
+
 def measure_sign(statement: str) -> int:
     """Profit and loss is shown with its sign turned."""
     if statement not in STATEMENTS:

@@ -18,7 +18,12 @@ from ledgerfold.operators.facts import (
 )
 from ledgerfold.operators.mapping import STATEMENT_KEYS, WORKING_KEYS, map_to_groups
 from ledgerfold.operators.scope import companies_under, in_period, statement_filter
-from ledgerfold.operators.shaping import column_codes, measure_sign, rollup_with_total
+from ledgerfold.operators.shaping import (
+    column_codes,
+    measure_sign,
+    rollup_with_total,
+    wide_with_total,
+)
 
 
 def _open_codes(parent, period) -> list[str]:
@@ -97,19 +102,27 @@ def working(
     fact = mapped_fact(books, parent, period) if fact is None else fact
     sign = measure_sign(statement)
     codes = column_codes(companies_under(books.company, parent))
-    by_company = {
-        code: sign * measure(*SEPARATE, when=F.col("company_code") == code) for code in codes
-    }
+    source = F.col("source")
+    labels = (
+        F.when(
+            source.isin(*SEPARATE),
+            F.array("company_code", F.lit("total_separate"), F.lit("total_conso")),
+        )
+        .when(source == "rpt", F.array(F.lit("eliminate"), F.lit("total_conso")))
+        .when(source == "te", F.array(F.lit("take_equity"), F.lit("total_conso")))
+        .otherwise(F.array(F.lit("none")))
+    )
     partition = _open_codes(parent, period)
-    rolled = rollup_with_total(
-        statement_filter(fact, statement),
+    wide = wide_with_total(
+        statement_filter(fact, statement).withColumn("amount", sign * F.col("amount")),
         WORKING_KEYS,
-        {**by_company, **_working_measures(sign)},
+        labels,
+        [*codes, "total_separate", "eliminate", "take_equity", "total_conso"],
         "wk_group_name",
         partition,
         total,
     )
-    return _finish(rolled, partition, WORKING_KEYS, "wk_group_row")
+    return _finish(wide, partition, WORKING_KEYS, "wk_group_row")
 
 
 def working_long(
@@ -147,18 +160,18 @@ def rpt_result(
 ) -> DataFrame:
     """Intercompany matrix: working group and partner against companies."""
     codes = column_codes(companies_under(books.company, parent))
-    by_company = {code: measure("rpt", when=F.col("company_code") == code) for code in codes}
     keys = (*WORKING_KEYS, "rpt_interco_code")
     partition = _open_codes(parent, period)
-    rolled = rollup_with_total(
+    wide = wide_with_total(
         _interco_by_account(books, parent, period),
         keys,
-        {**by_company, "total_rpt": measure("rpt")},
+        F.array("company_code", F.lit("total_rpt")),
+        [*codes, "total_rpt"],
         "wk_group_name",
         partition,
         total,
     )
-    return _finish(rolled, partition, keys, "wk_group_row")
+    return _finish(wide, partition, keys, "wk_group_row")
 
 
 def rpt_result_long(books, parent: str | None = None, period: str | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.functions import zero_if_null
+from ledgerfold.functions import clean_file_name, zero_if_null
 
 PERIOD_NOT_OPEN = "Period is not open!"
 NOT_ZERO = "Validation! Sum TB amount not equal to zero 0"
@@ -74,9 +74,14 @@ def file_verdicts(
     amount: str,
     must_be_zero: bool,
 ) -> DataFrame:
-    """Both gates in one pass; the period is judged first. Reason is null where accepted."""
-    counted = df.groupBy(file_column, "company_code", "period_code").agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum(zero_if_null(amount)).alias("_total")
+    """Both gates in one pass; the period is judged first. Reason is null where accepted.
+
+    Rows carry the ``file_name`` as uploaded; names are cleaned once per file, not per row.
+    """
+    counted = (
+        df.groupBy("file_name", "company_code", "period_code")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.sum(zero_if_null(amount)).alias("_total"))
+        .withColumn(file_column, clean_file_name("file_name"))
     )
     per_file = (
         with_open_flag(counted, period, company)

@@ -50,8 +50,8 @@ def _mapped(select: str) -> str:
 
 def _report_measures(sign: str) -> str:
     return f"""
-    {sign}cast(sum(case when company_code = parent_company then tb + recl else 0 end) as double) as separate_fs,
-    {sign}cast(sum(tb + rpt + recl + te) as double) as consolidated_fs"""
+    cast({sign}sum(case when company_code = parent_company then tb + recl else 0 end) as double) as separate_fs,
+    cast({sign}sum(tb + rpt + recl + te) as double) as consolidated_fs"""
 
 
 def _report_sql(types: str, sign: str) -> str:
@@ -74,15 +74,15 @@ where account_type in {types} group by parent_company, period_code""")
 
 def _working_measures(sign: str) -> str:
     return f"""
-    {sign}cast(sum(tb + recl) as double) as total_separate,
-    {sign}cast(sum(rpt) as double) as eliminate,
-    {sign}cast(sum(te) as double) as take_equity,
-    {sign}cast(sum(tb + rpt + recl + te) as double) as total_conso"""
+    cast({sign}sum(tb + recl) as double) as total_separate,
+    cast({sign}sum(rpt) as double) as eliminate,
+    cast({sign}sum(te) as double) as take_equity,
+    cast({sign}sum(tb + rpt + recl + te) as double) as total_conso"""
 
 
 def _working_sql(types: str, sign: str, total: bool) -> str:
     columns = ",\n    ".join(
-        f"{sign}cast(sum(case when company_code = '{c}' then tb + recl else 0 end) as double) as {c}"
+        f"cast({sign}sum(case when company_code = '{c}' then tb + recl else 0 end) as double) as {c}"
         for c in GROUP_CODES[PARENT]
     )
     rows = f"""

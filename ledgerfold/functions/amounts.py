@@ -1,9 +1,8 @@
 """Money: exact decimals until a report is displayed."""
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerfold.schemas import MONEY
 
@@ -27,8 +26,13 @@ def journal_amount(debit="debit", credit="credit") -> Column:
 
 
 def row_sum(*cols) -> Column:
-    """Sum across columns of one row, nulls skipped."""
-    return reduce(lambda a, b: a + b, (zero_if_null(c) for c in cols))
+    """Sum across columns of one row, nulls skipped; flat, however many columns there are."""
+    wide = T.DecimalType(38, 2)
+    return F.aggregate(
+        F.array(*(zero_if_null(c).cast(wide) for c in cols)),
+        F.lit(0).cast(wide),
+        lambda total, amount: (total + amount).cast(wide),
+    )
 
 
 def money_text(col) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerfold.functions import row_sum
-from ledgerfold.functions.amounts import zero
 from ledgerfold.schemas import STATEMENTS
 
 MAX_PIVOT_COLUMNS = 2000
@@ -40,7 +39,7 @@ def pivot_amount(
         .groupBy(*keys)
         .pivot("_code", list(codes))
         .agg(F.sum(amount))
-        .withColumns({code: F.coalesce(code, zero()) for code in codes})
+        .fillna(0, subset=list(codes))
     )
     return wide.withColumn(total, row_sum(*codes)) if total else wide
 
@@ -92,7 +91,13 @@ def wide_with_total(
     levels = [F.lit(False), F.lit(True)] if total else [F.lit(False)]
     is_total = F.col("is_total")
     entries = (
-        df.select(*partition, *keys, "amount", F.explode(F.array(*levels)).alias("is_total"), labels.alias("_labels"))
+        df.select(
+            *partition,
+            *keys,
+            "amount",
+            F.explode(F.array(*levels)).alias("is_total"),
+            labels.alias("_labels"),
+        )
         .select(*partition, *keys, "amount", "is_total", F.explode("_labels").alias("_label"))
         .withColumns(
             {

@@ -1,9 +1,17 @@
 from datetime import datetime
+from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 from small import group_of_two, rows
 
-from ledgerfold.functions import as_money, contains_ci, money_text, percent_text, time_text
+from ledgerfold.functions import (
+    as_money,
+    contains_ci,
+    money_text,
+    percent_text,
+    row_sum,
+    time_text,
+)
 from ledgerfold.operators.scope import any_equals, on_day, scope
 from ledgerfold.operators.shaping import first_n, has_rows, sorted_by
 from ledgerfold.plans import admin, listings
@@ -115,6 +123,14 @@ def test_sorting_and_first_rows(spark):
     assert has_rows(df) and not has_rows(df.where("n > 5"))
 
 
+def test_row_sum_skips_nulls_over_many_columns(spark):
+    names = [f"c{i}" for i in range(1500)]
+    df = spark.range(1).selectExpr(
+        *(f"cast({'null' if i % 2 else '1.25'} as decimal(15,2)) as {n}" for i, n in enumerate(names))
+    )
+    assert df.select(row_sum(*names)).first()[0] == D("937.50")
+
+
 def test_display_forms(spark):
     df = spark.createDataFrame([("1234567.5", 99.5, datetime(2024, 1, 2, 3, 4, 5, 678))], "m string, r double, t timestamp_ntz")
     out = df.select(

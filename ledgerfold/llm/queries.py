@@ -1,13 +1,21 @@
 """The registered queries of the text operators, and equivalent SQL where SQL has one."""
 
 from ledgerfold.llm.byte_bpe import op1_byte_bpe
+from ledgerfold.llm.class_lm import op9_brown_classes
+from ledgerfold.llm.kernel_quality import op7_kernel_quality
 from ledgerfold.llm.packing import op3_pattern_packing
+from ledgerfold.llm.quality_rules import op8_decision_list
 from ledgerfold.llm.sharding import op6_two_pass_shuffle
+from ledgerfold.llm.toxicity import op5_counterfactual_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_pattern_packing": op3_pattern_packing,
+    "op5_counterfactual_toxicity": op5_counterfactual_toxicity,
     "op6_two_pass_shuffle": op6_two_pass_shuffle,
+    "op7_kernel_quality": op7_kernel_quality,
+    "op8_decision_list": op8_decision_list,
+    "op9_brown_classes": op9_brown_classes,
 }
 
 SQL: dict[str, str] = {}

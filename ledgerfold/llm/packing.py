@@ -28,49 +28,80 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerfold.llm.byte_bpe import byte_characters
 from ledgerfold.llm.common import documents, stored, with_offsets
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 0
-#: Words kept by a Python worker; beyond it the cache starts anew.
+#: Words, and matches, kept by a Python worker; beyond it a cache starts anew.
 CACHE = 400_000
 #: Pieces of one length are numbered in buckets of about so many.
 BUCKET = 20_000
 #: Exact patterns tried for each longest length.
 PATTERNS = 24
 
+#: The vocabulary file's own split, after white space is one space and letters are small.
+_MATCHES = regex.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+).findall
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Words:
-    """Ids of texts, word by word: the vocabulary drops white space, so words stand alone."""
+    """Ids of texts, word by word: the vocabulary drops white space, so words stand alone.
+
+    Words of Latin-1 characters are split and looked up as the vocabulary file says, each
+    match by the library's BPE model; all other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.shown = dict(enumerate(byte_characters()))
         self.known: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        # Lower case is part of the vocabulary's own normalization; for ASCII it may come first.
-        cut = [((t.lower() if t.isascii() else t).split(" ") if t else []) for t in texts]
+        self.matched: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        if len(word) > 1_000 or max(word, default="") > "\xff":
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            return np.array(ids, "<u4").tobytes()
+        out = []
+        for own in _MATCHES(word.lower()):
+            ids = self.matched.get(own)
+            if ids is None:
+                if len(self.matched) > CACHE:
+                    self.matched.clear()
+                shown = own.encode().decode("latin-1").translate(self.shown)
+                ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+                self.matched[own] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def text(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian 32-bit integers."""
+        if not text:
+            return b""
+        if text.isascii():  # lower case is part of the vocabulary's own normalization
+            text = text.lower()
         if len(self.known) > CACHE:
             self.known.clear()
-        known = self.known
-        new = list({word for words in cut for word in words if word not in known})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            got = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            for word, e in zip(some, got, strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+        known, out = self.known, []
+        for word in text.split(" "):
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self._word(word)
+            out.append(ids)
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -89,7 +120,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Da
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = []
-                texts = words(path).ids(part.column(1).to_pylist())
+                texts = map(words(path).text, part.column(1).to_pylist())
                 for key, ids in zip(part.column(0).to_pylist(), texts, strict=True):
                     ids += end
                     for k in range(0, len(ids), 4 * length):

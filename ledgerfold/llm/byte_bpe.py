@@ -2,12 +2,13 @@
 
 The merges come from a rank file: any two neighbouring tokens whose joined bytes have a rank
 may merge, the lowest rank first. Every split of a token into two ranked parts is therefore
-given to the tokenizers library as a merge of that token's rank, which makes its result that
-of a rank-based encoder. Bytes are written as characters by the usual byte table.
+given to the tokenizers library's BPE model as a merge of that token's rank, which makes its
+result that of a rank-based encoder. Bytes are written as characters by the usual byte table,
+and each match of the splitting pattern is encoded alone.
 
 Texts are cut before single spaces that stand between other characters. No match of the
-splitting pattern crosses such a place, so pieces encode alone as they do in the text, and
-pieces seen before come from a cache of bounded size.
+pattern crosses such a place, so pieces encode alone as they do in the text, and pieces and
+matches seen before come from caches of bounded size.
 
 Null texts count as empty and have no tokens. Rows and other columns stay as they are.
 """
@@ -15,12 +16,14 @@ Null texts count as empty and have no tokens. Rows and other columns stay as the
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,11 +31,13 @@ from pyspark.sql import types as T
 from ledgerfold.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces kept by a Python worker; beyond it the cache starts anew.
-CACHE = 300_000
+#: Pieces, and matches, kept by a Python worker; beyond it a cache starts anew.
+CACHE = 400_000
 #: Rows worked on at once within an Arrow batch.
 BATCH = 256
 
+_BESIDE = re.compile(r"\s | \s").search
+
 
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte."""
@@ -52,11 +57,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id: the byte table reversed for every token."""
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 class Codec:
-    """Encodes texts to ids with character offsets, and ids back to bytes."""
+    """Encodes texts to ids, with the characters that each id stands for."""
 
     def __init__(self, path: str):
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+        from tokenizers import models
 
         ranks = read_ranks(path)
         shown = byte_characters()
@@ -67,64 +82,64 @@ class Codec:
             for k in range(1, len(t))
             if t[:k] in ranks and t[k:] in ranks
         ]
-        model = models.BPE(
+        self.model = models.BPE(
             vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True
         )
-        self.tokenizer = Tokenizer(model)
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
-            [
-                pre_tokenizers.Split(Regex(public_tokenizers.PATTERN), "isolated"),
-                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-            ]
-        )
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
-        self.known: dict[str, tuple[bytes, np.ndarray]] = {}
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Pieces that encode independently; joined they give the text."""
-        parts = text.split(" ")
-        out = [parts[0]]
-        for before, part in zip(parts, parts[1:], strict=False):
-            if before and part and not before[-1].isspace() and not part[0].isspace():
-                out.append(" " + part)
-            else:
-                out[-1] += " " + part
-        return out
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [piece for piece in pieces if piece not in self.known]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch(some), strict=True):
-                offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
-                self.known[piece] = (np.array(e.ids, np.int32).tobytes(), offsets)
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a text, and the first and last character (exclusive) of each."""
-        pieces = self.pieces(text) if text else []
-        self._learn(set(pieces))
-        got = [self.known[piece] for piece in pieces]
-        if not got:
-            return np.empty(0, np.int32), np.empty((0, 2), np.int32)
-        starts = np.cumsum([0, *map(len, pieces[:-1])])
-        offsets = np.concatenate([own for _, own in got])
-        offsets = offsets + np.repeat(starts, [len(own) for _, own in got])[:, None]
-        return np.frombuffer(b"".join([own for own, _ in got]), np.int32), offsets
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        cut = [self.pieces(text) if text else [] for text in texts]
-        self._learn({piece for pieces in cut for piece in pieces})
-        known = self.known
-        return [b"".join([known[piece][0] for piece in pieces]) for pieces in cut]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        self.shown = dict(enumerate(shown))
+        self.bytes_of = token_bytes(path)
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.matched: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # by the piece without the space before it
+
+    def match(self, text: str) -> bytes:
+        """The ids of one match of the pattern, as little-endian 32-bit integers."""
+        characters = text.encode().decode("latin-1").translate(self.shown)
+        ids = [token.id for token in self.model.tokenize(characters)]
+        return np.array(ids, "<i4").tobytes()
+
+    def piece(self, text: str) -> bytes:
+        """The ids of a piece that encodes alone."""
+        out = []
+        for own in self.split(text):
+            ids = self.matched.get(own)
+            if ids is None:
+                if len(self.matched) > CACHE:
+                    self.matched.clear()
+                ids = self.matched[own] = self.match(own)
+            out.append(ids)
+        return b"".join(out)
+
+    def text(self, text: str | None) -> bytes:
+        """The ids of a text, as little-endian 32-bit integers."""
+        if not text:
+            return b""
+        if len(self.spaced) > CACHE:
+            self.spaced.clear()
+        parts, spaced = text.split(" "), self.spaced
+        if text[0] == " " or text[-1] == " " or _BESIDE(text):
+            # Some space has white space beside it: only the other spaces are safe cuts.
+            pieces = [parts[0]]
+            for before, part in zip(parts, parts[1:], strict=False):
+                if before and part and not before[-1].isspace() and not part[0].isspace():
+                    pieces.append(" " + part)
+                else:
+                    pieces[-1] += " " + part
+            return b"".join(map(self.piece, pieces))
+        out = [self.piece(parts[0])]
+        for part in parts[1:]:
+            ids = spaced.get(part)
+            if ids is None:
+                ids = spaced[part] = self.piece(" " + part)
+            out.append(ids)
+        return b"".join(out)
+
+    def spans(self, text: str | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last (exclusive) character of each id: its bytes, mapped to characters."""
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        character = np.cumsum((data & 0xC0) != 0x80) - 1  # of each byte
+        ends = np.cumsum([len(self.bytes_of[i]) for i in ids], dtype=int)
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        return character[starts].astype(np.int32), (character[ends - 1] + 1).astype(np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -174,14 +189,11 @@ def encode(
     def rows(part: pa.RecordBatch) -> list[pa.Array]:
         texts = part.column(text).to_pylist()
         own = codec(path)
+        ids = [np.frombuffer(own.text(x), np.int32) for x in texts]
         if not offsets:
-            return [_lists([np.frombuffer(x, np.int32) for x in own.ids(texts)])]
-        got = [own.encode(x) for x in texts]
-        return [
-            _lists([ids for ids, _ in got]),
-            _lists([spans[:, 0].astype(np.int32) for _, spans in got]),
-            _lists([spans[:, 1].astype(np.int32) for _, spans in got]),
-        ]
+            return [_lists(ids)]
+        spans = [own.spans(x, i) for x, i in zip(texts, ids, strict=True)]
+        return [_lists(ids), _lists([a for a, _ in spans]), _lists([b for _, b in spans])]
 
     return _added(docs, [T.StructField(name, array) for name in names], rows)
 
@@ -195,9 +207,9 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFram
     path = path or public_tokenizers.path(RANKS)
 
     def rows(part: pa.RecordBatch) -> list[pa.Array]:
-        own = codec(path)
+        own = token_bytes(path).__getitem__
         lists = part.column(ids).to_pylist()
-        return [pa.array([own.decode(x or []) for x in lists], pa.binary())]
+        return [pa.array([b"".join(map(own, x or ())) for x in lists], pa.binary())]
 
     return _added(df, [T.StructField("decoded", T.BinaryType())], rows)
 

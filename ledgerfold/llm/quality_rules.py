@@ -174,18 +174,40 @@ def base_failed() -> Column:
     return few | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
-    """Statistics, `base_failed` and `kept` of each document, by rules learned from `labels`.
+def rules_for(facts: DataFrame, labels: DataFrame) -> list[list[Condition]]:
+    """Rules learned from the `quality` labels of rows with statistics.
 
-    `kept` names further columns of `docs` to carry along. Several labels of one document
-    count as its highest.
+    Several labels of one document count as its highest.
     """
-    facts = stored(with_statistics(docs.select("doc_id", *kept, "text")).drop("text"))
     own = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = facts.select("doc_id", *RATIOS).join(own, "doc_id")
+    return learned(facts.select("doc_id", *RATIOS).join(own, "doc_id"))
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, statistics, `base_failed` and `kept` of each document."""
+    facts = stored(with_statistics(docs.select("doc_id", "text")).drop("text"))
+    rules = rules_for(facts, labels)
     return facts.withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & verdict(learned(known))
+        "kept", ~F.col("base_failed") & verdict(rules)
+    )
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that pass, with all their columns.
+
+    Rejected rows are taken out by doc_id and a hash of the text, on which the verdict rests.
+    """
+    key = F.xxhash64("text").alias("_key")
+    facts = stored(with_statistics(docs.select("doc_id", "text", key)).drop("text"))
+    rules = rules_for(facts, labels)
+    rejected = stored(
+        facts.where(base_failed() | ~verdict(rules))
+        .select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"))
+        .distinct()
     )
+    row = docs.select(F.struct("*").alias("_row"), F.xxhash64("text").alias("_key"))
+    on = F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
+    return row.join(rejected, on, "left_anti").select("_row.*")
 
 
 def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from ledgerfold.llm.byte_bpe import op1_byte_bpe
 from ledgerfold.llm.class_lm import op9_brown_classes
+from ledgerfold.llm.jaccard_join import op10_metric_join
 from ledgerfold.llm.kernel_quality import op7_kernel_quality
 from ledgerfold.llm.packing import op3_pattern_packing
 from ledgerfold.llm.quality_rules import op8_decision_list
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_kernel_quality": op7_kernel_quality,
     "op8_decision_list": op8_decision_list,
     "op9_brown_classes": op9_brown_classes,
+    "op10_metric_join": op10_metric_join,
 }
 
 SQL: dict[str, str] = {}

@@ -75,8 +75,8 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = None) ->
     Other columns than the text are carried along. A text is split at its candidates, so that
     the parts between them give all places and neighbours.
     """
-    kept = [F.col(f"`{n}`") for n in docs.columns if n not in (text, "value", "start")]
-    kept = [c for c in kept]
+    own = (text, "value", "start", "before", "after", "path")
+    kept = [F.col(f"`{n}`") for n in docs.columns if n not in own]
     pattern = F.lit(CANDIDATE)
     there = docs.where(F.regexp_like(text, pattern))
     where = F.lit("") if path is None else F.coalesce(F.col(path).cast("string"), F.lit(""))
@@ -257,30 +257,43 @@ def judged(found: DataFrame, model: RandomForestClassificationModel) -> DataFram
     )
 
 
-def redacted(docs: DataFrame, secrets: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """`docs` with the spans of `secrets` (doc_id, text hash `_text`, start, length) replaced.
+def redacted(docs: DataFrame, path: str | None = None, mark: str = "[secret]") -> DataFrame:
+    """`docs` with every span that a forest judges a secret replaced by `mark`.
 
-    Several rows of one doc_id are told apart by their text.
+    Rows are told apart by doc_id and text; all columns stay, and `n_chars` is counted anew.
     """
-    spans = secrets.groupBy("doc_id", "_text").agg(
-        F.sort_array(F.collect_set(F.struct("start", "length")), asc=False).alias("_spans")
+    key = F.xxhash64("text").alias("_key")
+    where = [] if path is None else [F.col(path).alias("_where")]
+    rows = docs.select("doc_id", "text", key, *where)
+    found = candidates(rows, path="_where" if where else None)
+    secrets = judged(found, fit(labelled_findings(docs.sparkSession))).where("is_secret")
+    spans = secrets.groupBy(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).agg(
+        F.sort_array(
+            F.collect_set(F.struct("start", F.length("value").alias("length"))), asc=False
+        ).alias("_spans")
     )
-    cut = F.aggregate(
+    text = F.aggregate(
         "_spans",
-        F.col("text"),
+        F.col("_text"),
         lambda t, s: F.concat(
             F.substring(t, F.lit(1), s["start"].cast("int")),
             F.lit(mark),
             F.substring(t, (s["start"] + s["length"] + 1).cast("int"), F.length(t)),
         ),
     )
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    key = rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["_text"] == spans["_text"])
-    return rows.join(spans.select("doc_id", "_text", "_spans"), key, "left").select(
+    row = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"), key)
+    on = F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
+    new = row.join(spans, on, "left").withColumn(
+        "_new", F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(text)
+    )
+    changed = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
+    return new.select(
         *[
-            F.when(F.col("_spans").isNull(), rows["text"]).otherwise(cut).alias("text")
-            if n == "text"
-            else rows[n]
+            F.when(F.col("_spans").isNull(), F.col(f"_row.`{n}`"))
+            .otherwise(changed[n])
+            .alias(n)
+            if n in changed
+            else F.col(f"_row.`{n}`").alias(n)
             for n in docs.columns
         ]
     )

@@ -160,8 +160,13 @@ def fit(rows: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
     return w
 
 
-def scored(docs: DataFrame, weights: np.ndarray, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `kept` of all documents with `score` between 0 and 1."""
+def scored(
+    docs: DataFrame,
+    weights: np.ndarray,
+    kept: tuple[str, ...] = ("doc_id",),
+    score: str = "score",
+) -> DataFrame:
+    """Columns `kept` of all documents with a score between 0 and 1."""
     fields = docs.select(*kept).schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     used = np.flatnonzero(weights)
@@ -176,11 +181,11 @@ def scored(docs: DataFrame, weights: np.ndarray, kept: tuple[str, ...] = ("doc_i
             scores = 1.0 / (1.0 + np.exp(-np.clip(sums, -30.0, 30.0)))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in kept), pa.array(scores, pa.float64())],
-                names=[*kept, "score"],
+                names=[*kept, score],
             )
 
     source = docs.select(*kept, F.col("text").cast("string").alias("_text"))
-    return source.mapInArrow(run, f"{schema}, score double")
+    return source.mapInArrow(run, f"{schema}, `{score}` double")
 
 
 def trained(

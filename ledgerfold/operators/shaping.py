@@ -9,20 +9,14 @@ from pyspark.sql import types as T
 from ledgerfold.functions import row_sum
 from ledgerfold.schemas import STATEMENTS
 
-MAX_PIVOT_COLUMNS = 2000
 
-
-def column_codes(companies: DataFrame, limit: int = MAX_PIVOT_COLUMNS) -> list[str]:
+def column_codes(companies: DataFrame) -> list[str]:
     """Sorted company codes that become columns of a wide report.
 
-    The only rows a report brings to the driver. A group too large for columns is
-    refused: the long form of the report holds the same figures as rows.
+    The only rows a report brings to the driver, where its schema is kept anyway.
     """
-    rows = companies.select("company_code").distinct().orderBy("company_code").limit(limit + 1)
-    codes = [row.company_code for row in rows.collect()]
-    if len(codes) > limit:
-        raise ValueError(f"more than {limit} companies: use the long form of the report")
-    return codes
+    rows = companies.select("company_code").distinct().orderBy("company_code").collect()
+    return [row.company_code for row in rows]
 
 
 def pivot_amount(
@@ -84,19 +78,18 @@ def wide_with_total(
 ) -> DataFrame:
     """Sum ``amount`` into one column per label, with a total row per partition.
 
-    ``labels`` is the array of columns a row counts in. Every row is entered once per
-    label, and once more for the total row, and a single pivot does the rest, so the work
-    grows with the rows and not with the number of columns. Adds ``is_total``.
+    ``labels`` is the array of columns a row counts in. Rows are summed by keys and labels
+    first; each sum is then entered once per label, and once more for the total row, and a
+    single pivot does the rest, so the work grows with the rows and not with the number of
+    columns. Labels without a column are left out. Adds ``is_total``.
     """
     levels = [F.lit(False), F.lit(True)] if total else [F.lit(False)]
     is_total = F.col("is_total")
     entries = (
-        df.select(
-            *partition,
-            *keys,
-            "amount",
-            F.explode(F.array(*levels)).alias("is_total"),
-            labels.alias("_labels"),
+        df.groupBy(*partition, *keys, labels.alias("_labels"))
+        .agg(F.sum("amount").alias("amount"))
+        .select(
+            *partition, *keys, "amount", F.explode(F.array(*levels)).alias("is_total"), "_labels"
         )
         .select(*partition, *keys, "amount", "is_total", F.explode("_labels").alias("_label"))
         .withColumns(

@@ -4,6 +4,8 @@ Each report takes a parent and a period. Without a parent it covers every group
 companies, without a period every period; the code left open becomes a leading column.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,11 +99,16 @@ def working(
     statement: str = "bs",
     total: bool = True,
     fact: DataFrame | None = None,
+    companies: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Working paper of one group: a column per company, then the consolidation columns."""
+    """Working paper of one group: a column per company, then the consolidation columns.
+
+    ``companies`` names the companies wanted as columns, else all of the group have one; the
+    consolidation columns cover the whole group in either case.
+    """
     fact = mapped_fact(books, parent, period) if fact is None else fact
     sign = measure_sign(statement)
-    codes = column_codes(companies_under(books.company, parent))
+    codes = list(companies or column_codes(companies_under(books.company, parent)))
     source = F.col("source")
     labels = (
         F.when(
@@ -156,10 +163,14 @@ def _interco_by_account(books, parent, period) -> DataFrame:
 
 
 def rpt_result(
-    books, parent: str, period: str | None = None, total: bool = True
+    books,
+    parent: str,
+    period: str | None = None,
+    total: bool = True,
+    companies: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Intercompany matrix: working group and partner against companies."""
-    codes = column_codes(companies_under(books.company, parent))
+    """Intercompany matrix: working group and partner against companies (all, or those named)."""
+    codes = list(companies or column_codes(companies_under(books.company, parent)))
     keys = (*WORKING_KEYS, "rpt_interco_code")
     partition = _open_codes(parent, period)
     wide = wide_with_total(

@@ -177,6 +177,10 @@ MAX_LENGTHS = {
 
 ASSET = "สินทรัพย์"
 LIABILITY = "หนี้สิน"
+CURRENT_ASSET = "สินทรัพย์หมุนเวียน"
+OTHER_ASSET = "สินทรัพย์ไม่หมุนเวียน"
+CURRENT_LIABILITY = "หนี้สินหมุนเวียน"
+OTHER_LIABILITY = "หนี้สินไม่หมุนเวียน"
 EQUITY = "ส่วนของผู้ถือหุ้น"
 REVENUE = "รายได้"
 EXPENSE = "ค่าใช้จ่าย"

@@ -20,7 +20,7 @@ from ledgerfold.schemas import (
     TRIAL_BALANCE_FILE,
 )
 
-INVALID_FORMAT = "Invalid File Format!"
+INVALID_FORMAT = "bad_header"
 BYTE_ORDER_MARK = "\ufeff"
 
 

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import clean_file_name, zero_if_null
 
-PERIOD_NOT_OPEN = "Period is not open!"
-NOT_ZERO = "Validation! Sum TB amount not equal to zero 0"
+PERIOD_NOT_OPEN = "period_not_open"
+NOT_ZERO = "not_zero_sum"
 
 
 def with_open_flag(df: DataFrame, period: DataFrame, company: DataFrame) -> DataFrame:

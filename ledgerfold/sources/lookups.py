@@ -5,7 +5,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.functions import equals_ci
 from ledgerfold.operators.joins import join_hot
 
 
@@ -33,15 +32,15 @@ def lookup_account(
 ) -> DataFrame:
     """Find each row's account within its company, letter case aside.
 
-    Adds ``matched_account``, null where there is none.
+    Adds ``matched_account``, null where there is none. Of accounts that differ in letter case
+    alone the one spelled as in the row is taken, else the first by its code; a row never
+    matches twice.
     """
-    accounts = coa.select(
-        F.col("company_code").alias("_company"),
-        *(F.col(c).alias(f"_{c}") for c in columns),
-    )
-    same = [df["company_code"] == accounts["_company"]] + [
-        equals_ci(df[c], accounts[f"_{c}"]) for c in columns
-    ]
-    return df.join(accounts, same, "left").select(
-        *(df[c] for c in df.columns), F.col("_account_code").alias("matched_account")
+    lowered = {f"_{c}": F.lower(c) for c in columns}
+    accounts = coa.groupBy("company_code", *(e.alias(n) for n, e in lowered.items())).agg(
+        F.sort_array(F.collect_set("account_code")).alias("_accounts")
     )
+    found = join_hot(df.withColumns(lowered), accounts, ["company_code", *lowered], "left")
+    exact = F.array_contains("_accounts", F.col("account_code"))
+    matched = F.when(exact, F.col("account_code")).otherwise(F.try_element_at("_accounts", F.lit(1)))
+    return found.withColumn("matched_account", matched).select(*df.columns, "matched_account")

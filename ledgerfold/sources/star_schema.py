@@ -11,16 +11,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.functions.amounts import journal_amount
-from ledgerfold.schemas import ASSET, EQUITY, EXPENSE, LIABILITY, MONEY, REVENUE
+from ledgerfold.schemas import (
+    ASSET,
+    CURRENT_ASSET,
+    CURRENT_LIABILITY,
+    EQUITY,
+    EXPENSE,
+    LIABILITY,
+    MONEY,
+    OTHER_ASSET,
+    OTHER_LIABILITY,
+    REVENUE,
+)
 
-COMPANY_NUMBERS = (0, 24)
-ACCOUNT_NUMBERS = (1, 50)
 ACCOUNT_WITHOUT_CHART = 48
 LAST_GROUPED_ACCOUNT = 48
+FS_GROUPS = 100_000
 
 
 def _company_code(number) -> Column:
-    return F.concat(F.lit("C"), F.lpad(F.col(number).cast("string"), 2, "0"))
+    return F.format_string("C%02d", number)
 
 
 def _account_code(number: Column) -> Column:
@@ -32,11 +42,16 @@ def _period_code(ts) -> Column:
 
 
 def _row_label(prefix: str, number) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(F.col(number).cast("string"), 2, "0"))
+    return F.format_string(f"{prefix}%02d", number)
 
 
-def _numbers(bounds, name: str) -> Column:
-    return F.explode(F.sequence(F.lit(bounds[0]), F.lit(bounds[1]))).alias(name)
+def _numbers(first: int, last, name: str) -> Column:
+    return F.explode(F.sequence(F.lit(first), last)).alias(name)
+
+
+def _fs_group(parent: str, number: str) -> Column:
+    """A group's number within its parent, after the parent's own number."""
+    return F.substr(F.col(parent), F.lit(2)).cast("bigint") * FS_GROUPS + F.col(number)
 
 
 class StarSchemaBooks:
@@ -88,8 +103,9 @@ class StarSchemaBooks:
             )
         )
         companies = self.company.select("company_code")
+        last = self._read("nation").agg(F.max("n_nationkey").cast("int")).scalar()
         return (
-            quarters.select("*", _numbers(COMPANY_NUMBERS, "n"))
+            quarters.select("*", _numbers(0, last, "n"))
             .withColumn("company_code", _company_code("n"))
             .join(companies, "company_code", "left_semi")
             .select(
@@ -108,11 +124,10 @@ class StarSchemaBooks:
     @cached_property
     def coa(self) -> DataFrame:
         sizes = self._read("part").select(F.col("p_size").alias("s")).distinct()
+        last = self._read("part").agg(F.max("p_size").cast("int")).scalar()
         wk = F.expr("(s - 1) div 2")
         return (
-            self.company.select(
-                "company_code", "parent_company", _numbers(ACCOUNT_NUMBERS, "s")
-            )
+            self.company.select("company_code", "parent_company", _numbers(1, last, "s"))
             .where(F.col("s") != ACCOUNT_WITHOUT_CHART)
             .join(sizes, "s", "left_semi")
             .withColumn("w", wk)
@@ -120,9 +135,7 @@ class StarSchemaBooks:
                 "company_code",
                 _account_code(F.col("s")).alias("account_code"),
                 F.concat(F.lit("Account "), "s").alias("account_name"),
-                (F.substring("parent_company", 2, 2).cast("bigint") * 100 + F.col("w")).alias(
-                    "fs_group"
-                ),
+                _fs_group("parent_company", "w").alias("fs_group"),
                 _row_label("W", "w").alias("wk_group_row"),
             )
         )
@@ -139,13 +152,11 @@ class StarSchemaBooks:
         return (
             self.company.select("parent_company")
             .distinct()
-            .select("parent_company", _numbers((0, (LAST_GROUPED_ACCOUNT - 1) // 2), "w"))
+            .select("parent_company", _numbers(0, F.lit((LAST_GROUPED_ACCOUNT - 1) // 2), "w"))
             .join(groups, "w", "left_semi")
             .withColumn("f", F.expr("cast(w div 2 as int)"))
             .select(
-                (F.substring("parent_company", 2, 2).cast("bigint") * 100 + F.col("w")).alias(
-                    "fs_group_id"
-                ),
+                _fs_group("parent_company", "w").alias("fs_group_id"),
                 F.col("parent_company").alias("company_code"),
                 _row_label("W", "w").alias("wk_group_row"),
                 F.concat(F.lit("WK "), "w").alias("wk_group_name"),
@@ -157,10 +168,10 @@ class StarSchemaBooks:
                 .when(f < 10, REVENUE)
                 .otherwise(EXPENSE)
                 .alias("account_type"),
-                F.when(f < 2, "สินทรัพย์หมุนเวียน")
-                .when(f < 4, "สินทรัพย์ไม่หมุนเวียน")
-                .when(f < 5, "หนี้สินหมุนเวียน")
-                .when(f < 6, "หนี้สินไม่หมุนเวียน")
+                F.when(f < 2, CURRENT_ASSET)
+                .when(f < 4, OTHER_ASSET)
+                .when(f < 5, CURRENT_LIABILITY)
+                .when(f < 6, OTHER_LIABILITY)
                 .when(f < 8, EQUITY)
                 .when(f < 10, REVENUE)
                 .otherwise(EXPENSE)
@@ -274,14 +285,9 @@ class StarSchemaBooks:
         parents = self.company.select("company_code", "parent_company")
         urgent = F.col("o_orderpriority") == "1-URGENT"
         return (
-            self._owned_orders.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-            .join(parents, "company_code")
+            self._owned_orders.join(parents, "company_code")
             .select(
-                F.concat(
-                    "parent_company",
-                    F.lit("_JV_"),
-                    F.lpad(F.col("o_orderkey").cast("string"), 8, "0"),
-                ).alias("journal_no"),
+                F.format_string("%s_JV_%08d", "parent_company", "o_orderkey").alias("journal_no"),
                 "period_code",
                 F.col("parent_company").alias("parent_company_code"),
                 "company_code",
@@ -334,9 +340,7 @@ class StarSchemaBooks:
     def upload(self) -> DataFrame:
         """Uploaded rows with the file names as the users typed them."""
         return self._read("events").select(
-            F.concat(
-                F.lit("C"), F.lpad((F.col("user_id") % 25).cast("string"), 2, "0")
-            ).alias("company_code"),
+            F.format_string("C%02d", F.col("user_id") % 25).alias("company_code"),
             F.lit("Q1_2024").alias("period_code"),
             F.concat(
                 "event_type", F.lit("["), (F.col("user_id") % 3).cast("string"), F.lit("].xlsx")

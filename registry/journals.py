@@ -137,7 +137,7 @@ from posted p join fx_journal l on p.k = l.k""", "fx_jheader", "fx_journal"),
     "post_journals_rejected": with_tables("""
 with verdict as (
   select k, sum(coalesce(debit, 0)) - sum(coalesce(credit, 0)) as difference from fx_journal group by k)
-select h.k, 'Validation! Transaction unbalance' as reason
+select h.k, 'unbalanced' as reason
 from fx_jheader h join verdict v on h.k = v.k
 where h.period_code = 'Q1_1997' and v.difference <> 0""", "fx_jheader", "fx_journal"),
     "update_journals": with_tables("""

@@ -162,10 +162,8 @@ def _lookup_account(spark, sf):
         .withColumns(
             {
                 "account_name": F.concat(F.lit("ACCOUNT "), number),
-                "wk_group_row": F.concat(
-                    F.lit("w"), F.lpad(F.expr(
-                        "(((cast(account_code as int) - 1000) div 10) - 1) div 2"
-                    ).cast("string"), 2, "0")
+                "wk_group_row": F.format_string(
+                    "w%02d", F.expr("(((cast(account_code as int) - 1000) div 10) - 1) div 2")
                 ),
             }
         )
@@ -280,7 +278,7 @@ QUERIES = {
 
 _VERDICTS = """
 select {file} as {column}, count(*) as file_rows, cast(sum({amount}) as double) as file_total,
-       case when bool_and({open}) then null else 'Period is not open!' end as reason
+       case when bool_and({open}) then null else 'period_not_open' end as reason
 from {table} t left join fx_company c on t.company_code = c.company_code
 group by 1"""
 
@@ -367,7 +365,7 @@ group by 1, 2, 3""", "fx_interco", "fx_period", "fx_company", "fx_coa"),
 with typed as (
   select company_code, account_code, cast(sum(tb_amount) as double) as amount_sum,
          'ACCOUNT ' || cast((cast(account_code as int) - 1000) // 10 as string) as account_name,
-         'w' || lpad(cast(((cast(account_code as int) - 1000) // 10 - 1) // 2 as string), 2, '0') as wk_group_row
+         printf('w%02d', ((cast(account_code as int) - 1000) // 10 - 1) // 2) as wk_group_row
   from fx_tb group by company_code, account_code)
 select t.company_code, t.account_code, t.amount_sum, t.account_name, t.wk_group_row,
        a.account_code as matched_account

@@ -3,11 +3,11 @@
 TABLES = {
     "fx_company": ("""
 select cast(n_nationkey as bigint) as company_id,
-       'C' || lpad(cast(n_nationkey as string), 2, '0') as company_code,
+       printf('C%02d', n_nationkey) as company_code,
        n_name as company_name,
        case when n_nationkey = n_regionkey then 'Parent'
             when n_nationkey % 3 = 0 then 'Associate' else 'Subsidiary' end as company_type,
-       'C' || lpad(cast(n_regionkey as string), 2, '0') as parent_company,
+       printf('C%02d', n_regionkey) as parent_company,
        cast('2000-01-01' as date) + n_nationkey as company_est_date,
        'Thailand' as country, 'THB' as currency, cast(100.0 as double) as consolidation_rate,
        cast('2001-01-01' as date) + n_nationkey as company_start_date,
@@ -27,15 +27,15 @@ from fx_company c cross join (
     "fx_coa": ("""
 select company_code, cast(1000 + 10 * s as string) as account_code,
        'Account ' || cast(s as string) as account_name,
-       cast(substring(parent_company, 2, 2) as bigint) * 100 + cast(floor((s - 1) / 2) as bigint) as fs_group,
-       'W' || lpad(cast(cast(floor((s - 1) / 2) as int) as string), 2, '0') as wk_group_row
+       cast(substring(parent_company, 2) as bigint) * 100000 + cast(floor((s - 1) / 2) as bigint) as fs_group,
+       printf('W%02d', cast(floor((s - 1) / 2) as int)) as wk_group_row
 from fx_company cross join (select distinct p_size as s from part where p_size <> 48) p""",
                ("fx_company",)),
     "fx_fsgroup": ("""
-select cast(substring(parent_company, 2, 2) as bigint) * 100 + w as fs_group_id,
+select cast(substring(parent_company, 2) as bigint) * 100000 + w as fs_group_id,
        parent_company as company_code,
-       'F' || lpad(cast(f as string), 2, '0') as fs_group_row, 'FS ' || cast(f as string) as fs_group_name,
-       'W' || lpad(cast(w as string), 2, '0') as wk_group_row, 'WK ' || cast(w as string) as wk_group_name,
+       printf('F%02d', f) as fs_group_row, 'FS ' || cast(f as string) as fs_group_name,
+       printf('W%02d', w) as wk_group_row, 'WK ' || cast(w as string) as wk_group_name,
        case when f < 4 then 'สินทรัพย์' when f < 6 then 'หนี้สิน' when f < 8 then 'ส่วนของผู้ถือหุ้น'
             when f < 10 then 'รายได้' else 'ค่าใช้จ่าย' end as account_type,
        case when f < 2 then 'สินทรัพย์หมุนเวียน' when f < 4 then 'สินทรัพย์ไม่หมุนเวียน'
@@ -46,8 +46,8 @@ cross join (select distinct cast(floor((p_size - 1) / 2) as int) as w,
                    cast(floor(floor((p_size - 1) / 2) / 2) as int) as f
             from part where p_size <= 48) g""", ("fx_company",)),
     "fx_line": ("""
-select 'C' || lpad(cast(c_nationkey as string), 2, '0') as company_code,
-       'C' || lpad(cast(s_nationkey as string), 2, '0') as partner_code,
+select printf('C%02d', c_nationkey) as company_code,
+       printf('C%02d', s_nationkey) as partner_code,
        'Q' || cast(quarter(o_orderdate) as string) || '_' || cast(year(o_orderdate) as string) as period_code,
        p_size as s, cast(l_extendedprice as decimal(15,2)) as amt, l_returnflag
 from lineitem
@@ -75,7 +75,7 @@ join fx_company b on l.partner_code = b.company_code
 where a.parent_company = b.parent_company and a.company_code <> b.company_code""",
                    ("fx_company", "fx_line")),
     "fx_jheader": ("""
-select c.parent_company || '_JV_' || lpad(cast(o_orderkey as string), 8, '0') as journal_no,
+select c.parent_company || '_JV_' || printf('%08d', o_orderkey) as journal_no,
        'Q' || cast(quarter(o_orderdate) as string) || '_' || cast(year(o_orderdate) as string) as period_code,
        c.parent_company as parent_company_code, c.company_code,
        case when o_orderpriority = '1-URGENT' then 'Reclassify' else 'TakeEq' end as journal_type,
@@ -83,8 +83,7 @@ select c.parent_company || '_JV_' || lpad(cast(o_orderkey as string), 8, '0') as
        o_orderkey as k, cast(o_totalprice as decimal(15,2)) as amt
 from orders
 join customer on o_custkey = c_custkey
-join fx_company c on c.company_code = 'C' || lpad(cast(c_nationkey as string), 2, '0')
-where o_orderpriority in ('1-URGENT', '2-HIGH')""", ("fx_company",)),
+join fx_company c on c.company_code = printf('C%02d', c_nationkey)""", ("fx_company",)),
     "fx_journal": ("""
 select journal_no, k, cast(1000 + 10 * (k % 50 + 1) as string) as account_code,
        'Account ' || cast(k % 50 + 1 as string) as account_name,
@@ -100,7 +99,7 @@ select 'P' || cast(r_regionkey as string) as plan_code, r_name as plan_descripti
        cast(100 * (r_regionkey + 1) as double) as plan_price
 from region""", ()),
     "fx_subscription": ("""
-select 'C' || lpad(cast(n_nationkey as string), 2, '0') as company_code,
+select printf('C%02d', n_nationkey) as company_code,
        'P' || cast(n_nationkey % 6 as string) as plan_code,
        cast('2021-01-01' as date) as start_date,
        case when n_nationkey % 4 = 0 then cast('2021-12-31' as date) end as end_date
@@ -136,7 +135,7 @@ select event_id as id, ts as action_time, user_id,
        cast(event_id % 3 + 1 as int) as action_flag, props as change_message
 from events""", ()),
     "fx_upload": ("""
-select 'C' || lpad(cast(user_id % 25 as string), 2, '0') as company_code, 'Q1_2024' as period_code,
+select printf('C%02d', user_id % 25) as company_code, 'Q1_2024' as period_code,
        event_type || '[' || cast(user_id % 3 as string) || '].xlsx' as raw_file_name,
        ts as tb_date_create, cast(value as decimal(15,2)) as tb_amount
 from events""", ()),

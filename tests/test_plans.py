@@ -15,7 +15,11 @@ from ledgerfold.sources.lookups import resolve_codes
 from ledgerfold.sources.store import delete_by_key
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = {
+    name: query
+    for part in (entry.statements, entry.loads, entry.journals, entry.admin)
+    for name, query in part.QUERIES.items()
+}
 
 
 @pytest.fixture

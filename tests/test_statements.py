@@ -144,9 +144,20 @@ def test_long_and_wide_working_papers_agree(spark):
         assert wide[r.wk_group_name][r.company_code] == r.total_separate
 
 
-def test_too_many_companies_for_columns_is_refused(spark):
-    with pytest.raises(ValueError):
-        column_codes(group_of_two(spark).company, limit=2)
+def test_any_number_of_companies_or_those_named(spark):
+    books = group_of_two(spark)
+    many = spark.range(2_500).selectExpr(
+        "concat('M', id) as company_code", "'n' as company_name", "'Subsidiary' as company_type",
+        "'P' as parent_company",
+    )
+    wide = group_of_two(spark, company=books.company.union(many))
+    assert len(column_codes(wide.company.where("parent_company = 'P'"))) == 2_502
+    out = working(wide, "P", "Q1_2024", companies=["S"])
+    every = by_key(working(books, "P", "Q1_2024"), "wk_group_name")
+    for r in out.collect():
+        assert "P" not in out.columns
+        assert r.S == every[r.wk_group_name].S
+        assert r.total_conso == every[r.wk_group_name].total_conso
 
 
 def test_one_fact_serves_several_reports(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import zero_if_null
 from ledgerfold.functions.amounts import journal_amount, zero
+from ledgerfold.operators.joins import join_hot
 from ledgerfold.operators.scope import companies_under, in_period
 from ledgerfold.schemas import RECLASSIFY, TAKE_EQUITY
 
@@ -84,13 +85,16 @@ def long_fact(books, parent: str | None = None, period: str | None = None) -> Da
     companies = companies_under(books.company, parent).select("company_code")
 
     def scoped(df: DataFrame) -> DataFrame:
-        return in_period(df, period).join(companies, "company_code", "left_semi")
+        return join_hot(in_period(df, period), companies, ["company_code"], "left_semi")
 
     facts = []
     if books.trial_balance is not None:
         facts.append(trial_balance_fact(scoped(books.trial_balance)))
     if books.journal_header is not None and books.journal_line is not None:
-        facts.append(journal_fact(scoped(books.journal_header), books.journal_line))
+        lines = books.journal_line
+        if "period_code" in lines.columns:  # stored by period, so that this prunes
+            lines = in_period(lines, period)
+        facts.append(journal_fact(scoped(books.journal_header), lines))
     if books.interco is not None:
         facts.append(interco_fact(scoped(books.interco)))
     if not facts:

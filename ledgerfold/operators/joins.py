@@ -16,8 +16,8 @@ def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -
     side turns out small enough, Spark broadcasts it instead, as for any join.
     """
     spread = F.xxhash64(*keys)
-    return (
-        left.withColumn("_spread", spread)
-        .join(right.withColumn("_spread", spread), [*keys, "_spread"], how)
-        .drop("_spread")
+    joined = left.withColumn("_spread", spread).join(
+        right.withColumn("_spread", spread), [*keys, "_spread"], how
     )
+    # a semi or anti join leaves the columns where they were
+    return joined.select(*left.columns) if how in ("left_semi", "left_anti") else joined.drop("_spread")

@@ -111,8 +111,8 @@ def post_journals(
         accepted = accepted.withColumn("journal_type", F.lit(journal_type))
     numbered = number_journals(existing, accepted, order_key)
     posted = (
-        entered.drop("journal_no")
-        .join(numbered.select(order_key, "journal_no"), order_key)
+        entered.drop("journal_no", "period_code")
+        .join(numbered.select(order_key, "journal_no", "period_code"), order_key)
     )
     posted = _with_amounts(posted)
     return Posting(numbered, posted, judged.where(F.col("reason").isNotNull()))
@@ -133,6 +133,10 @@ def update_journals(
     )
     if header is not None:
         balanced = balanced.join(header.select("journal_no").distinct(), "journal_no", "left_semi")
+    if "period_code" in line.columns and "period_code" not in entered.columns:
+        # a journal's lines stay in the period of its header, or of its earlier lines
+        known = (line if header is None else header).select("journal_no", "period_code").distinct()
+        entered = join_hot(entered, known, ["journal_no"], "inner")
     accepted = _with_amounts(join_hot(entered, balanced, ["journal_no"], "left_semi"))
     return join_hot(line, balanced, ["journal_no"], "left_anti").select(*line.columns).unionByName(
         accepted.select(*line.columns)

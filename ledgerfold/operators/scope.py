@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import contains_ci
+from ledgerfold.operators.joins import join_hot
 from ledgerfold.schemas import STATEMENTS
 
 
@@ -22,9 +23,8 @@ def companies_under(company: DataFrame, parent: str | None = None) -> DataFrame:
 
 def scope(df: DataFrame, company: DataFrame, parent: str | None = None) -> DataFrame:
     """Rows whose company belongs to the parent."""
-    return df.join(
-        companies_under(company, parent).select("company_code"), "company_code", "left_semi"
-    )
+    companies = companies_under(company, parent).select("company_code")
+    return join_hot(df, companies, ["company_code"], "left_semi")
 
 
 def in_period(df: DataFrame, period: str | None) -> DataFrame:

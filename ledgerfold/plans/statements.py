@@ -18,6 +18,7 @@ from ledgerfold.operators.facts import (
     long_fact,
     measure,
 )
+from ledgerfold.operators.joins import join_hot
 from ledgerfold.operators.mapping import STATEMENT_KEYS, WORKING_KEYS, map_to_groups
 from ledgerfold.operators.scope import companies_under, in_period, statement_filter
 from ledgerfold.operators.shaping import (
@@ -151,9 +152,10 @@ def consolidate_by_company(
 
 def _interco_by_account(books, parent, period) -> DataFrame:
     companies = companies_under(books.company, parent)
-    scoped = in_period(books.interco, period).join(
-        companies.select("company_code"), "company_code", "left_semi"
-    )
+    scoped = join_hot(
+        in_period(books.interco, period), companies.select("company_code"), ["company_code"],
+        "left_semi",
+    )
     summed = (
         interco_fact(scoped, "rpt_interco_code")
         .groupBy(*FACT_KEYS, "rpt_interco_code", "source")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerfold.schemas import TABLES
 from ledgerfold.sources.files import write_facts
 
-STORED_BY_PERIOD = ("trial_balance", "interco", "journal_header")
+STORED_BY_PERIOD = ("trial_balance", "interco", "journal_header", "journal_line")
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerfold.operators.joins import join_hot
 from ledgerfold.schemas import (
     COA_FILE,
     FS_GROUP_FILE,
@@ -26,10 +27,16 @@ BYTE_ORDER_MARK = "\ufeff"
 
 @dataclass(frozen=True)
 class Upload:
-    """Rows of well-formed files, and the names of the files turned away."""
+    """Rows of well-formed files, the files turned away, and all well-formed files.
+
+    Rows carry the ``file_name``; those read from files also the ``file_path``, which tells
+    files of one name apart, and ``unreadable``: whether a filled cell is no value of its
+    column's type. ``files`` has a row for each well-formed file, with rows or without.
+    """
 
     rows: DataFrame
-    rejected: DataFrame
+    rejected: DataFrame | None
+    files: DataFrame | None = None
 
 
 def check_header(df: DataFrame, expected: T.StructType) -> bool:
@@ -43,6 +50,20 @@ def _file_name() -> Column:
     return F.url_decode(encoded).alias("file_name")
 
 
+def _file_path() -> Column:
+    return F.col("_metadata.file_path").alias("file_path")
+
+
+def _readable(cells: dict[str, Column], expected: T.StructType) -> list[Column]:
+    """Each cell as its column's type, and whether any filled one cannot be read as that."""
+    values = {f.name: cells[f.name].try_cast(f.dataType) for f in expected}
+    lost = F.lit(False)
+    for name, value in values.items():
+        filled = F.coalesce(F.trim(cells[name].cast("string")) != "", F.lit(False))
+        lost = lost | (filled & value.isNull())
+    return [*(value.alias(name) for name, value in values.items()), lost.alias("unreadable")]
+
+
 def read_csv_upload(
     spark: SparkSession, path: str | Sequence[str], expected: T.StructType, sep: str = ","
 ) -> Upload:
@@ -50,7 +71,8 @@ def read_csv_upload(
 
     The line holding exactly the expected names is a file's header, and it says which
     position each column has in that file; a file without one is rejected. Headers are
-    one row per file, so joining them back is small however long the files are.
+    looked for in the first block of a file alone, and are one row per file, so joining
+    them back is small however long the files are.
     """
     width = len(expected)
     # one spare column, so that a file with extra columns shows itself
@@ -63,43 +85,55 @@ def read_csv_upload(
         .csv(path if isinstance(path, str) else list(path))
         .select(
             _file_name(),
+            _file_path(),
+            (F.col("_metadata.file_block_start") == 0).alias("first_block"),
             cells.alias("cells"),
         )
     )
     trimmed = F.transform(
         F.array_compact(F.col("cells")), lambda cell: F.trim(F.translate(cell, BYTE_ORDER_MARK, ""))
     )
-    is_header = F.array_sort(trimmed) == names
-    files = raw.groupBy("file_name").agg(F.max(F.when(is_header, trimmed)).alias("header"))
-    headers = files.where(F.col("header").isNotNull())
+    is_header = F.col("first_block") & (F.array_sort(trimmed) == names)
+    files = raw.groupBy("file_path", "file_name").agg(
+        F.max(F.when(is_header, trimmed)).alias("header")
+    )
+    good = files.where(F.col("header").isNotNull())
     rejected = files.where(F.col("header").isNull()).select(
         "file_name", F.lit(INVALID_FORMAT).alias("reason")
     )
-    columns = [
-        F.element_at(
-            "cells", F.array_position("header", F.lit(field.name)).cast("int")
-        )
-        .try_cast(field.dataType)
-        .alias(field.name)
-        for field in expected
-    ]
-    rows = raw.where(~is_header).join(headers, "file_name").select(*columns, "file_name")
-    return Upload(rows, rejected)
+    found = {
+        f.name: F.element_at("cells", F.array_position("header", F.lit(f.name)).cast("int"))
+        for f in expected
+    }
+    headers = good.select("file_path", "header")
+    rows = join_hot(raw.where(~is_header), headers, ["file_path"], "inner").select(
+        *_readable(found, expected), "file_name", "file_path"
+    )
+    return Upload(rows, rejected, good.select("file_path", "file_name"))
 
 
 def read_parquet_upload(spark: SparkSession, path: str, expected: T.StructType) -> Upload:
-    """Parquet carries its names: the header check looks at the schema alone."""
-    df = spark.read.parquet(path)
-    named = df.select("*", _file_name())
-    if not check_header(df, expected):
-        rejected = named.select("file_name", F.lit(INVALID_FORMAT).alias("reason")).distinct()
-        empty = spark.createDataFrame([], expected.add("file_name", T.StringType()))
-        return Upload(empty, rejected)
-    rows = named.select(
-        *(F.col(f.name).cast(f.dataType).alias(f.name) for f in expected), "file_name"
+    """Parquet files, each judged by itself.
+
+    A file lacks a column if it has no value in it, and has a foreign one if it has a value in
+    that; either rejects it. Columns whose types cannot be merged over all files are an error.
+    """
+    df = spark.read.option("mergeSchema", True).parquet(path)
+    named = df.select("*", _file_name(), _file_path())
+    there = {c: F.max(F.col(f"`{c}`").isNotNull()) for c in df.columns}
+    right = F.lit(set(expected.names) <= set(df.columns))
+    for c, filled in there.items():
+        right = right & (filled if c in expected.names else ~filled)
+    files = named.groupBy("file_path", "file_name").agg(right.alias("right"))
+    good = files.where("right").select("file_path", "file_name")
+    rejected = files.where("not right").select("file_name", F.lit(INVALID_FORMAT).alias("reason"))
+    found = {
+        f.name: F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None) for f in expected
+    }
+    rows = join_hot(named, good.select("file_path"), ["file_path"], "left_semi").select(
+        *_readable(found, expected), "file_name", "file_path"
     )
-    rejected = named.limit(0).select("file_name", F.lit(INVALID_FORMAT).alias("reason"))
-    return Upload(rows, rejected)
+    return Upload(rows, rejected, good)
 
 
 def read_upload(spark: SparkSession, path: str, expected: T.StructType, fmt: str = "csv") -> Upload:
@@ -110,13 +144,13 @@ def read_upload(spark: SparkSession, path: str, expected: T.StructType, fmt: str
 def read_tb(spark: SparkSession, path: str, fmt: str = "csv") -> Upload:
     """Trial-balance files; the account name is checked for and then left behind."""
     upload = read_upload(spark, path, TRIAL_BALANCE_FILE, fmt)
-    return Upload(upload.rows.drop("account_name"), upload.rejected)
+    return Upload(upload.rows.drop("account_name"), upload.rejected, upload.files)
 
 
 def read_interco(spark: SparkSession, path: str, fmt: str = "csv") -> Upload:
     """Intercompany files; the account name is checked for and then left behind."""
     upload = read_upload(spark, path, INTERCO_FILE, fmt)
-    return Upload(upload.rows.drop("account_name"), upload.rejected)
+    return Upload(upload.rows.drop("account_name"), upload.rejected, upload.files)
 
 
 def _read_by_position(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -148,6 +182,16 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
         writer.format(fmt).save(path)
 
 
+def write_periods(df: DataFrame, path: str) -> None:
+    """Put the given periods in the place of the same periods of a stored fact.
+
+    Periods that have no row in ``df`` stay as they are.
+    """
+    df.hint("rebalance", F.col("period_code")).write.partitionBy("period_code").mode(
+        "overwrite"
+    ).option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def write_facts(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Store a fact by period, so that a report of one period reads that period only.
 

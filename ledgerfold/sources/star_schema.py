@@ -311,6 +311,7 @@ class StarSchemaBooks:
         return (
             self.journal_batch.select(
                 "journal_no",
+                "period_code",
                 "k",
                 F.inline(
                     F.array(
@@ -327,6 +328,7 @@ class StarSchemaBooks:
             )
             .select(
                 "journal_no",
+                "period_code",
                 "k",
                 _account_code(F.col("s")).alias("account_code"),
                 F.concat(F.lit("Account "), "s").alias("account_name"),

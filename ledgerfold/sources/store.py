@@ -2,13 +2,14 @@
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import clean_file_name
 from ledgerfold.operators.joins import join_hot
-from ledgerfold.sources.files import Upload
+from ledgerfold.sources.files import Upload, write_periods
 from ledgerfold.sources.gates import file_verdicts
 
 
@@ -65,34 +66,63 @@ class Load:
     table: DataFrame
     accepted: DataFrame
     files: DataFrame
+    replaced: DataFrame
 
 
-def _load(target, rows, rejected, books, file_column, amount, must_be_zero) -> Load:
+def _load(
+    target, upload, books, file_column, amount, must_be_zero, created, loaded_at: datetime | None
+) -> Load:
+    rows = upload.rows
     verdicts = file_verdicts(
-        rows, books.period, books.company, file_column, amount, must_be_zero
+        rows, books.period, books.company, file_column, amount, must_be_zero, upload.files
     )
-    rows = rows.withColumn(file_column, clean_file_name("file_name")).drop("file_name")
-    passed = verdicts.where(F.col("reason").isNull()).select(file_column)
-    accepted = join_hot(rows, passed, [file_column], "left_semi")
-    files = verdicts
-    if rejected is not None:
-        malformed = rejected.select(
+    key = "file_path" if "file_path" in rows.columns else "file_name"
+    passed = verdicts.where(F.col("reason").isNull())
+    now = F.current_timestamp() if loaded_at is None else F.lit(loaded_at)
+    accepted = (
+        join_hot(rows, passed.select(key), [key], "left_semi")
+        .withColumn(file_column, clean_file_name("file_name"))
+        .drop("file_name", "file_path", "unreadable")
+    )
+    if created not in accepted.columns:
+        accepted = accepted.withColumn(created, now.cast("timestamp_ntz"))
+    files = verdicts.select(file_column, "file_rows", "file_total", "reason")
+    if upload.rejected is not None:
+        malformed = upload.rejected.select(
             clean_file_name("file_name").alias(file_column), "reason"
         )
-        files = verdicts.unionByName(malformed, allowMissingColumns=True)
-    return Load(append(delete_by_key(target, passed), accepted), accepted, files)
+        files = files.unionByName(malformed, allowMissingColumns=True)
+    names = passed.select(file_column)
+    replaced = join_hot(target, names, [file_column], "left_semi")
+    return Load(append(delete_by_key(target, names), accepted), accepted, files, replaced)
 
 
-def import_tb(books, upload: Upload) -> Load:
-    """Load trial-balance files: header, open period and zero sum are checked per file,
-    and only then do the accepted files replace their earlier rows."""
+def import_tb(books, upload: Upload, loaded_at: datetime | None = None) -> Load:
+    """Load trial-balance files: header, readable cells, open period and zero sum are checked
+    per file, and only then do the accepted files replace their earlier rows. Rows are stamped
+    with ``loaded_at``, or else with the current time."""
     return _load(
-        books.trial_balance, upload.rows, upload.rejected, books, "tb_file_name", "tb_amount", True
-    )
+        books.trial_balance, upload, books, "tb_file_name", "tb_amount", True, "tb_date_create",
+        loaded_at,
+    )
 
 
-def import_interco(books, upload: Upload) -> Load:
-    """Load intercompany files: header and open period are checked per file."""
+def import_interco(books, upload: Upload, loaded_at: datetime | None = None) -> Load:
+    """Load intercompany files: as trial balances, but they need not sum to zero."""
     return _load(
-        books.interco, upload.rows, upload.rejected, books, "rpt_file_name", "rpt_amount", False
+        books.interco, upload, books, "rpt_file_name", "rpt_amount", False, "rpt_date_create",
+        loaded_at,
+    )
+
+
+def store_load(load: Load, path: str) -> None:
+    """Write the next state of the touched periods only, in a fact stored by period.
+
+    Touched are the periods of new rows and of the rows they replace. Storing the same import
+    again gives the same state. A period that would lose all its rows keeps them: a file
+    always brings rows, so this needs a file that moved to another period; delete such by name.
+    """
+    touched = (
+        load.accepted.select("period_code").union(load.replaced.select("period_code")).distinct()
     )
+    write_periods(join_hot(load.table, touched, ["period_code"], "left_semi"), path)

@@ -14,7 +14,7 @@ from registry.tables_sql import with_tables
 _HEADER = ["journal_no", "period_code", "parent_company_code", "company_code", "journal_type"]
 
 
-def _posting(spark, sf):
+def _posting(spark, sf, **scope):
     """Journals of the open period are posted anew, onto those of every other period."""
     b = books(spark, sf)
     in_batch = F.col("period_code") == PERIOD
@@ -23,6 +23,7 @@ def _posting(spark, sf):
         b.journal_line,
         b.journal_header.where(~in_batch),
         "k",
+        **scope,
     )
 
 
@@ -42,7 +43,14 @@ def _post_journals_rejected(spark, sf):
     return _posting(spark, sf).rejected.select("k", "reason")
 
 
-def _update_journals(spark, sf):
+def _post_journals_scoped(spark, sf):
+    """As above under the scope rules; the parent comes from the company."""
+    b = books(spark, sf)
+    posting = _posting(spark, sf, company=b.company, period=b.period, coa=b.coa)
+    return posting.rejected.select("k", "reason", "parent_company_code")
+
+
+def _updated(spark, sf):
     b = books(spark, sf)
     swapped = (
         b.journal_line.join(
@@ -52,8 +60,21 @@ def _update_journals(spark, sf):
         )
         .withColumns({"debit": F.col("credit"), "credit": F.col("debit")})
     )
+    unknown = swapped.withColumn("journal_no", F.concat("journal_no", F.lit("?")))
+    return jv.update_journals(b.journal_line, swapped.unionByName(unknown), b.journal_header)
+
+
+def _update_journals_lines(spark, sf):
     return plain(
-        jv.update_journals(b.journal_line, swapped)
+        _updated(spark, sf).select(
+            "journal_no", "account_code", "debit", "credit", "journal_amount", "period_code"
+        )
+    )
+
+
+def _update_journals(spark, sf):
+    return plain(
+        _updated(spark, sf)
         .groupBy("account_code")
         .agg(
             F.count(F.lit(1)).alias("row_count"),
@@ -99,7 +120,9 @@ QUERIES = {
     "post_journals": _post_journals,
     "post_journals_lines": _post_journals_lines,
     "post_journals_rejected": _post_journals_rejected,
+    "post_journals_scoped": _post_journals_scoped,
     "update_journals": _update_journals,
+    "update_journals_lines": _update_journals_lines,
     "cascade_delete": _cascade_delete,
     "number_journals": _number_journals,
     "journal_totals": lambda spark, sf: plain(journal_totals(books(spark, sf).journal_line)),
@@ -140,18 +163,44 @@ with verdict as (
 select h.k, 'unbalanced' as reason
 from fx_jheader h join verdict v on h.k = v.k
 where h.period_code = 'Q1_1997' and v.difference <> 0""", "fx_jheader", "fx_journal"),
+    "post_journals_scoped": with_tables("""
+with verdict as (
+  select h.k, h.parent_company_code, h.company_code, h.period_code,
+         sum(coalesce(debit, 0)) - sum(coalesce(credit, 0)) as difference,
+         bool_and(a.account_code is not null) as charted
+  from fx_jheader h join fx_journal l on h.k = l.k
+  left join fx_coa a on a.company_code = h.parent_company_code and a.account_code = l.account_code
+  where h.period_code = 'Q1_1997' group by 1, 2, 3, 4)
+select k, case when difference <> 0 then 'unbalanced' else 'out_of_scope' end as reason, parent_company_code
+from verdict v
+where difference <> 0 or not charted or not exists (
+  select 1 from fx_period p where p.period_status = 'Open' and p.company_code = v.parent_company_code
+                             and p.period_code = v.period_code)""",
+                                        "fx_jheader", "fx_journal", "fx_coa", "fx_period"),
     "update_journals": with_tables("""
 with swapped as (
   select h.k from fx_jheader h join fx_journal l on h.k = l.k where h.period_code = 'Q1_1997'
   group by h.k having sum(coalesce(debit, 0)) = sum(coalesce(credit, 0))),
 now as (
-  select account_code, case when s.k is null then debit else credit end as debit,
-         case when s.k is null then credit else debit end as credit
+  select account_code, case when s.k is null then debit else coalesce(credit, 0) end as debit,
+         case when s.k is null then credit else coalesce(debit, 0) end as credit
   from fx_journal l left join swapped s on l.k = s.k)
 select account_code, count(*) as row_count, cast(sum(debit) as double) as sum_debit,
        cast(sum(credit) as double) as sum_credit,
        cast(sum(coalesce(debit, 0) - coalesce(credit, 0)) as double) as sum_amount
 from now group by account_code""", "fx_jheader", "fx_journal"),
+    "update_journals_lines": with_tables("""
+with swapped as (
+  select h.k from fx_jheader h join fx_journal l on h.k = l.k where h.period_code = 'Q1_1997'
+  group by h.k having sum(coalesce(debit, 0)) = sum(coalesce(credit, 0)))
+select l.journal_no, l.account_code,
+       cast(case when s.k is null then debit else coalesce(credit, 0) end as double) as debit,
+       cast(case when s.k is null then credit else coalesce(debit, 0) end as double) as credit,
+       cast(case when s.k is null then coalesce(debit, 0) - coalesce(credit, 0)
+                 else coalesce(credit, 0) - coalesce(debit, 0) end as double) as journal_amount,
+       h.period_code
+from fx_journal l join fx_jheader h on l.k = h.k left join swapped s on l.k = s.k""",
+                                         "fx_jheader", "fx_journal"),
     "cascade_delete": with_tables("""
 select journal_type as kind, count(*) as row_count from fx_jheader where period_code <> 'Q1_1997'
 group by journal_type

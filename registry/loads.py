@@ -8,7 +8,7 @@ from ledgerfold.operators.scope import in_period, scope
 from ledgerfold.plans import listings
 from ledgerfold.schemas import EXPENSE, MONEY
 from ledgerfold.sources import gates, lookups, store
-from ledgerfold.sources.files import Upload
+from ledgerfold.sources.files import INVALID_FORMAT, Upload
 from registry.inputs import PARENT, PERIOD, books, plain
 from registry.tables_sql import with_tables
 
@@ -105,35 +105,71 @@ def _insert_if_absent(spark, sf):
     )
 
 
-def _tb_upload(b):
-    rows = b.trial_balance.withColumn(
-        "file_name",
-        F.concat(F.lit("TB["), "company_code", F.lit("]"), "period_code", F.lit(".xlsx")),
-    ).drop("tb_file_name")
-    return Upload(rows, None)
+def _upload(df, name, file_column, amount):
+    """Stored rows as new files: doubled; a unit too much in each row of companies C.3; and
+    the files of companies C.7 turned away for their header."""
+    company = F.col("company_code")
+    rows = df.withColumns(
+        {
+            "file_name": F.concat(F.lit(name), "company_code", F.lit("]"), "period_code", F.lit(".xlsx")),
+            amount: F.when(company.endswith("3"), F.col(amount) + 1)
+            .otherwise(F.col(amount) * 2)
+            .cast(MONEY),
+        }
+    ).drop(file_column)
+    bad = company.endswith("7")
+    rejected = rows.where(bad).select("file_name", F.lit(INVALID_FORMAT).alias("reason")).distinct()
+    return Upload(rows.where(~bad), rejected)
+
+
+def _tb_load(spark, sf):
+    b = books(spark, sf)
+    return store.import_tb(b, _upload(b.trial_balance, "TB[", "tb_file_name", "tb_amount"))
 
 
-def _interco_upload(b):
-    rows = b.interco.withColumn(
-        "file_name",
-        F.concat(F.lit("RPT{"), "company_code", F.lit("}"), "period_code", F.lit(".xlsx")),
-    ).drop("rpt_file_name")
-    return Upload(rows, None)
+def _interco_load(spark, sf):
+    b = books(spark, sf)
+    return store.import_interco(b, _upload(b.interco, "RPT[", "rpt_file_name", "rpt_amount"))
 
 
 def _import_tb(spark, sf):
-    b = books(spark, sf)
-    return _per_file(store.import_tb(b, _tb_upload(b)).table)
+    return plain(
+        _tb_load(spark, sf)
+        .table.groupBy("tb_file_name")
+        .agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.sum("tb_amount").alias("amount_sum"),
+            F.sum(F.abs("tb_amount")).alias("absolute_sum"),
+        )
+    )
 
 
 def _import_tb_files(spark, sf):
-    b = books(spark, sf)
-    return plain(store.import_tb(b, _tb_upload(b)).files)
+    return plain(_tb_load(spark, sf).files)
+
+
+def _import_tb_rejected(spark, sf):
+    files = _tb_load(spark, sf).files.where(F.col("reason").isNotNull())
+    return files.groupBy("reason").agg(F.count(F.lit(1)).alias("file_count"))
 
 
 def _import_interco_files(spark, sf):
+    return plain(_interco_load(spark, sf).files)
+
+
+def _delete_named_file(spark, sf):
+    tb = books(spark, sf).trial_balance
+    return _per_file(store.delete_file(tb, "tb_file_name", f"TB_{PARENT}_{PERIOD}.xlsx"))
+
+
+def _upload_summary_rpt(spark, sf):
     b = books(spark, sf)
-    return plain(store.import_interco(b, _interco_upload(b)).files)
+    stamped = b.interco.withColumn(
+        "rpt_date_create", F.lit("2024-01-15 10:20:30").cast("timestamp_ntz")
+    )
+    return plain(
+        listings.upload_summary(stamped, "rpt_file_name", "rpt_amount", "rpt_date_create")
+    )
 
 
 def _resolve_codes(spark, sf):
@@ -256,6 +292,9 @@ QUERIES = {
     "insert_if_absent": _insert_if_absent,
     "import_tb": _import_tb,
     "import_tb_files": _import_tb_files,
+    "import_tb_rejected": _import_tb_rejected,
+    "delete_named_file": _delete_named_file,
+    "upload_summary_rpt": _upload_summary_rpt,
     "import_interco_files": _import_interco_files,
     "resolve_codes": _resolve_codes,
     "lookup_account": _lookup_account,
@@ -277,10 +316,23 @@ QUERIES = {
 }
 
 _VERDICTS = """
-select {file} as {column}, count(*) as file_rows, cast(sum({amount}) as double) as file_total,
-       case when bool_and({open}) then null else 'period_not_open' end as reason
-from {table} t left join fx_company c on t.company_code = c.company_code
-group by 1"""
+uploaded as (
+  select t.company_code, t.period_code,
+         case when t.company_code like '%3' then {amount} + 1 else 2 * {amount} end as amount,
+         {open} as is_open
+  from {table} t left join fx_company c on t.company_code = c.company_code),
+v as (
+  select '{name}_' || company_code || '_' || period_code || '.xlsx' as {column},
+         case when company_code not like '%7' then count(*) end as file_rows,
+         case when company_code not like '%7' then cast(sum(amount) as double) end as file_total,
+         case when company_code like '%7' then 'bad_header' when not bool_and(is_open) then 'period_not_open'
+              {zero} end as reason
+  from uploaded group by company_code, period_code)"""
+_TB_VERDICTS = "with " + _VERDICTS.strip().format(
+    amount="t.tb_amount", open=_OPEN_ROW, table="fx_tb", name="TB", column="tb_file_name",
+    zero="when sum(amount) <> 0 then 'not_zero_sum'")
+_RPT_VERDICTS = "with " + _VERDICTS.strip().format(
+    amount="t.rpt_amount", open=_OPEN_ROW, table="fx_interco", name="RPT", column="rpt_file_name", zero="")
 
 SQL = {
     "zero_sum_gate": with_tables("""
@@ -337,19 +389,26 @@ select company_code, period_code, count(*) as row_count, cast(sum(tb_amount) as
 from (select company_code, period_code, account_code, tb_amount from fx_tb
       union all select company_code, period_code, account_code, tb_amount from added)
 group by company_code, period_code""", "fx_tb", "fx_interco"),
-    "import_tb": with_tables("""
-select tb_file_name, count(*) as row_count, cast(sum(tb_amount) as double) as amount_sum
-from fx_tb group by tb_file_name""", "fx_tb"),
-    "import_tb_files": with_tables(
-        "with v as (" + _VERDICTS.format(
-            file="'TB_' || t.company_code || '_' || t.period_code || '.xlsx'",
-            column="tb_file_name", amount="t.tb_amount", open=_OPEN_ROW, table="fx_tb")
-        + ") select * from v", "fx_tb", "fx_period", "fx_company"),
+    "import_tb": with_tables(_TB_VERDICTS + """,
+now as (
+  select t.tb_file_name, case when v.reason is null then 2 * t.tb_amount else t.tb_amount end as tb_amount
+  from fx_tb t join v on t.tb_file_name = v.tb_file_name)
+select tb_file_name, count(*) as row_count, cast(sum(tb_amount) as double) as amount_sum,
+       cast(sum(abs(tb_amount)) as double) as absolute_sum
+from now group by tb_file_name""", "fx_tb", "fx_period", "fx_company"),
+    "import_tb_files": with_tables(_TB_VERDICTS + " select * from v", "fx_tb", "fx_period", "fx_company"),
+    "import_tb_rejected": with_tables(_TB_VERDICTS + """
+select reason, count(*) as file_count from v where reason is not null group by reason""",
+                                      "fx_tb", "fx_period", "fx_company"),
     "import_interco_files": with_tables(
-        "with v as (" + _VERDICTS.format(
-            file="'RPT_' || t.company_code || '_' || t.period_code || '.xlsx'",
-            column="rpt_file_name", amount="t.rpt_amount", open=_OPEN_ROW, table="fx_interco")
-        + ") select * from v", "fx_interco", "fx_period", "fx_company"),
+        _RPT_VERDICTS + " select * from v", "fx_interco", "fx_period", "fx_company"),
+    "delete_named_file": with_tables("""
+select tb_file_name, count(*) as row_count, cast(sum(tb_amount) as double) as amount_sum
+from fx_tb where tb_file_name <> 'TB_C00_Q1_1997.xlsx' group by tb_file_name""", "fx_tb"),
+    "upload_summary_rpt": with_tables("""
+select company_code, period_code, timestamp '2024-01-15 10:20:00' as date_create, rpt_file_name,
+       cast(sum(rpt_amount) as double) as amount_sum, '15 Jan 2024 10:20' as date_label
+from fx_interco group by all""", "fx_interco"),
     "resolve_codes": with_tables("""
 select i.company_code, i.account_code,
        concat_ws(',', case when p.company_code is null then 'period' end,

@@ -3,6 +3,7 @@ from datetime import datetime
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 from small import TB, group_of_two, rows
 
 from ledgerfold.functions import clean_file_name
@@ -11,6 +12,7 @@ from ledgerfold.schemas import INTERCO_FILE, TRIAL_BALANCE_FILE
 from ledgerfold.sources import files, gates, lookups, store
 from ledgerfold.sources.books import read_books, write_books
 
+AT = datetime(2024, 1, 15, 10, 20)
 AMOUNTS = "tb_file_name string, tb_amount decimal(15,2)"
 
 
@@ -149,8 +151,8 @@ def test_import_twice_is_the_same_as_once(spark):
         ("P", "Q1_2024", "0100", D("8.00"), "new[1].csv"),
         ("P", "Q1_2024", "0300", D("-8.00"), "new[1].csv"),
     )
-    once = store.import_tb(b, upload).table
-    twice = store.import_tb(replace(b, trial_balance=once), upload).table
+    once = store.import_tb(b, upload, AT).table
+    twice = store.import_tb(replace(b, trial_balance=once), upload, AT).table
     assert rows(once) == rows(twice)
     assert once.where("tb_file_name = 'new_1_.csv'").count() == 2
 
@@ -271,3 +273,83 @@ def test_report_export(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == out.count()
     files.write_report(out, str(tmp_path / "pq"), "parquet")
     assert spark.read.parquet(str(tmp_path / "pq")).columns == out.columns
+
+
+TB_HEAD = "company_code,period_code,account_code,account_name,tb_amount\n"
+
+
+def verdicts(load):
+    return {r.tb_file_name: (r.file_rows, r.reason) for r in load.files.collect()}
+
+
+def test_unreadable_amounts_reject_their_file(spark, tmp_path):
+    line = "P,Q1_2024,0100,Cash,"
+    write(tmp_path / "bad.csv", TB_HEAD + f'{line}"1,234.50"\n{line}abc\n{line}0\n')
+    write(tmp_path / "big.csv", TB_HEAD + f"{line}99999999999999999.00\n{line}0\n")
+    write(tmp_path / "ok.csv", TB_HEAD + f"{line}2.00\n{line}-2.00\n{line}\n")
+    load = store.import_tb(group_of_two(spark), files.read_tb(spark, str(tmp_path)))
+    assert verdicts(load) == {
+        "bad.csv": (3, "unreadable_value"), "big.csv": (2, "unreadable_value"), "ok.csv": (3, None)
+    }
+
+
+def test_each_file_is_read_by_its_own_header_and_gets_a_verdict(spark, tmp_path):
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+    write(tmp_path / "a" / "x.csv", TB_HEAD + "P,Q1_2024,0100,Cash,5.00\nP,Q1_2024,0300,Loans,-5.00\n")
+    write(tmp_path / "b" / "x.csv",
+          "tb_amount,account_name,account_code,period_code,company_code\n5.00,Cash,0100,Q1_2024,S\n")
+    write(tmp_path / "a" / "TB[1].csv", TB_HEAD + "P,Q1_2024,0100,Cash,0.00\n")
+    write(tmp_path / "a" / "TB{1}.csv", TB_HEAD + "P,Q1_2024,0100,Cash,0.00\n")
+    write(tmp_path / "a" / "none.csv", TB_HEAD)
+    upload = files.read_tb(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert sorted((r.company_code, r.tb_amount) for r in upload.rows.where("file_name = 'x.csv'").collect()) == [
+        ("P", D("-5.00")), ("P", D("5.00")), ("S", D("5.00"))
+    ]
+    got = sorted((r.tb_file_name, r.file_rows, r.reason) for r in store.import_tb(group_of_two(spark), upload).files.collect())
+    assert got == [
+        ("TB_1_.csv", 1, "same_name"), ("TB_1_.csv", 1, "same_name"), ("none.csv", 0, "no_rows"),
+        ("x.csv", 1, "same_name"), ("x.csv", 2, "same_name"),
+    ]
+
+
+def test_parquet_files_are_judged_one_by_one(spark, tmp_path):
+    good = spark.createDataFrame([("P", "Q1_2024", "0100", "Cash", "0.00")],
+                                 "company_code string, period_code string, account_code string,"
+                                 " account_name string, tb_amount string")
+    bad = good.withColumnRenamed("tb_amount", "amount")
+    text = good.withColumn("tb_amount", F.lit("n/a"))
+    for name, df in {"good": good, "bad": bad, "text": text}.items():
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+        part = next((tmp_path / name).glob("part-*.parquet"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.parquet").write_bytes(part.read_bytes())
+    load = store.import_tb(group_of_two(spark), files.read_tb(spark, str(tmp_path / "in"), "parquet"))
+    assert verdicts(load) == {
+        "good.parquet": (1, None), "bad.parquet": (None, "bad_header"), "text.parquet": (1, "unreadable_value")
+    }
+
+
+def test_an_import_is_stamped_and_stored_by_period(spark, tmp_path):
+    books = group_of_two(spark)
+    path = str(tmp_path / "tb")
+    files.write_facts(books.trial_balance.withColumn("tb_date_create", F.lit(None).cast("timestamp_ntz")), path)
+    stored = spark.read.parquet(path)
+    before = rows(stored.where("period_code <> 'Q1_2024'"))
+    (tmp_path / "up").mkdir()
+    write(tmp_path / "up" / "new.csv", TB_HEAD + "P,Q1_2024,0100,Cash,5.00\nP,Q1_2024,0300,Loans,-5.00\n")
+    kept = {p for p in (tmp_path / "tb").rglob("*.parquet") if "Q1_2024" not in str(p)}
+    states = []
+    for _ in range(2):
+        at = datetime(2024, 1, 15, 10, 20)
+        load = store.import_tb(
+            group_of_two(spark, trial_balance=spark.read.parquet(path)), files.read_tb(spark, str(tmp_path / "up")), at
+        )
+        store.store_load(load, path)
+        spark.catalog.refreshByPath(path)
+        states.append(rows(spark.read.parquet(path)))
+        new = spark.read.parquet(path).where("tb_file_name = 'new.csv'")
+        assert new.count() == 2 and {r.tb_date_create for r in new.collect()} == {at}
+    assert states[0] == states[1]
+    assert rows(spark.read.parquet(path).where("period_code <> 'Q1_2024'")) == before
+    assert kept <= set((tmp_path / "tb").rglob("*.parquet"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import weakref
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +16,30 @@ from pyspark.sql.window import Window
 #: White space between words, as in the pattern `[^\x20\x09-\x0D]+` for a word.
 BLANKS = " \t\n\x0b\f\r"
 
+_shipped: weakref.WeakSet = weakref.WeakSet()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each session, unless they can import it.
+
+    They can where it is installed or named in PYTHONPATH, or lies in the working folder.
+    """
+    root = Path(__file__).resolve().parents[2]
+    places = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    context = spark.sparkContext
+    if "site-packages" in root.parts or any(p and Path(p).resolve() == root for p in places):
+        return
+    if context not in _shipped:
+        archive = Path(tempfile.mkdtemp(prefix="package-")) / "ledgerfold_package.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted((root / "ledgerfold").rglob("*.py")):
+                out.write(path, path.relative_to(root))
+        context.addPyFile(str(archive))
+        _shipped.add(context)
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -17,8 +17,9 @@ so regions around pivots can be joined one by one without losing a link:
    apart: |d(x, p) - d(y, p)| > e.
 4. Links are verified on the whole sets, and components are found by alternating star steps.
 
-Regions also drop pairs whose sizes, or places in the order, rule the threshold out. All of
-this is exact; the list of frequent shingles is bounded and changes the order of pivots alone.
+Pairs are dropped where their sizes, their places in the order, or the number of regions that
+they share rule the threshold out, so that whole sets are sent for near pairs almost alone. All
+of this is exact; the list of frequent shingles is bounded and changes the order of pivots only.
 
 Null and empty texts have empty sets and link with nothing. Texts of fewer words than a shingle
 have their whole sequence as one shingle. Repeated rows are members of one class. Documents
@@ -321,6 +322,20 @@ def candidate_pairs(rows: DataFrame, turn: int, percent: int = PERCENT) -> DataF
     return _by_region(rows, each, schema).distinct()
 
 
+def near_windows(pairs: DataFrame, windows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose windows share regions enough.
+
+    Of two sets, take the one whose window ends first in the order. What both have up to there
+    is in both windows, and beyond it that set has n less its window's size left.
+    """
+    a = windows.select(F.col("class").alias("a"), F.col("n").alias("_n"), F.col("all").alias("_r"))
+    b = windows.select(F.col("class").alias("b"), F.col("n").alias("_m"), F.col("all").alias("_s"))
+    rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1
+    most = F.size(F.array_intersect("_r", "_s")) + F.greatest(rest("_n"), rest("_m"))
+    enough = (100 + percent) * most >= percent * (F.col("_n") + F.col("_m"))
+    return pairs.join(a, "a").join(b, "b").where(enough).select("a", "b")
+
+
 def class_sets(docs: DataFrame, classes: DataFrame, size: int = WORDS) -> DataFrame:
     """(class, members) of the given classes: the whole sets as bytes, one row for each class.
 
@@ -436,7 +451,9 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     own = first.where(F.col("n").isNotNull()).select("doc_id", "text_key", "class", "n")
     frequent = frequent_shingles(first.where(F.col("shingle").isNotNull()).select("shingle", "df"))
     rows = stored(shared_regions(regions(docs, frequent, size, percent)))
-    sets = stored(class_sets(docs, rows.select("class").distinct(), size))
+    windows = stored(
+        rows.groupBy("class").agg(F.first("n").alias("n"), F.collect_list("region").alias("all"))
+    )
 
     tested = links = None
     labels = None
@@ -469,7 +486,9 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
         pairs = candidate_pairs(found, turn, percent)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = stored(measured(stored(pairs), sets))
+        pairs = stored(near_windows(pairs, windows, percent))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        new = stored(measured(pairs, stored(class_sets(docs, stored(ends), size))))
         tested = new if tested is None else tested.union(new)
         near = 100 * F.col("inter") >= percent * F.col("either")
         links = tested.where(near).select("a", "b")

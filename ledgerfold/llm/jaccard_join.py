@@ -28,6 +28,7 @@ without an id link nothing and have no component. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,8 +47,9 @@ PERCENT = 85
 FREQUENT, LEAST = 200_000, 4
 #: Regions up to this size are paired at once; larger ones get so many pivots a round.
 SMALL, PIVOTS = 8, 4
-#: Star rounds before the remaining pairs of a crowded region.
-STARS = 2
+#: Star rounds before the remaining pairs of crowded regions, and the share (one in so many)
+#: of crowded regions that they look at.
+STARS, STAR_SHARE = 2, 8
 #: Bits of the filter on documents that take part in a candidate pair.
 FILTER_BITS = 1 << 24
 #: Shingles gathered before they are counted; classes a task remembers as seen.
@@ -275,43 +277,82 @@ def _may_link(na: int, pa_: int, nb: int, pb: int, percent: int) -> bool:
     return (100 + percent) * most >= percent * (na + nb)
 
 
-def candidate_pairs(rows: DataFrame, turn: int, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of classes to verify in a turn; rows have `label` and, at last, `far`."""
+def star_pairs(rows: DataFrame, turn: int, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) for a star turn: members with a region's next pivots, across labels.
+
+    Small regions are paired whole in the first turn. Rows have region, class, n, place, label.
+    """
     schema = "a binary, b binary"
-    window = (100 - percent) / 100 + 1e-9
 
     def pairs(own: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        # own: class, n, place, label, far; in ascending order of n
+        # own: class, n, place, label; in ascending order of n
         if len({x[3] for x in own}) < 2:
             return
         if len(own) <= SMALL:
-            left, right = (own, own) if turn == 0 else ([], [])
+            left = own if turn == 0 else []
         else:
-            ranked = sorted(own)
-            if turn < STARS:
-                left, right = ranked[turn * PIVOTS : (turn + 1) * PIVOTS], own
-            else:
-                left = right = ranked[STARS * PIVOTS :]
-        both = left is right
+            left = sorted(own)[turn * PIVOTS : (turn + 1) * PIVOTS]
         for i, x in enumerate(left):
-            for y in right[i + 1 :] if both else right:
-                if x[3] == y[3]:
-                    continue
-                if turn >= STARS and x[4] is not None and y[4] is not None:
-                    if abs(x[4] - y[4]) > window:
+            for y in own[i + 1 :] if left is own else own:
+                if x[3] != y[3]:
+                    s, t = (x, y) if x[1] <= y[1] else (y, x)
+                    if _may_link(s[1], s[2], t[1], t[2], percent):
+                        yield (x[0], y[0]) if x[0] < y[0] else (y[0], x[0])
+
+    return _by_region(rows, _paired(pairs, ("class", "n", "place", "label"), schema), schema).distinct()
+
+
+def rest_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) across labels that crowded regions still hold, each in one region only.
+
+    Rows have region, class, n, place, label, far (the distance to the region's first pivot,
+    or null), `all` and `crowded` (the regions of the class, and those of them that are crowded).
+    A pair belongs to the least crowded region that both are in, and is dropped if the triangle
+    inequality, or the regions that both share, rule it out. Members of the largest component
+    are not paired with each other.
+    """
+    schema = "a binary, b binary"
+    window = (100 - percent) / 100 + 1e-9
+
+    def pairs(own: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        # own: region, class, n, place, label, far, all, crowded
+        sizes = Counter(x[4] for x in own)
+        if len(sizes) < 2:
+            return
+        largest = sizes.most_common(1)[0][0]
+        few = [(*x[:6], frozenset(x[6]), frozenset(x[7])) for x in own if x[4] != largest]
+        many = [(*x[:6], frozenset(x[6]), frozenset(x[7])) for x in own if x[4] == largest]
+        for i, x in enumerate(few):
+            for group in (many, few[i + 1 :]):
+                for y in group:
+                    if x[4] == y[4]:
+                        continue
+                    if x[5] is not None and y[5] is not None and abs(x[5] - y[5]) > window:
+                        continue
+                    s, t = (x, y) if x[2] <= y[2] else (y, x)
+                    if not _may_link(s[2], s[3], t[2], t[3], percent):
+                        continue
+                    most = len(x[6] & y[6]) + (percent * t[2] + 99) // 100 - 1
+                    if (100 + percent) * most < percent * (s[2] + t[2]):
                         continue
-                s, t = (x, y) if x[1] <= y[1] else (y, x)
-                if _may_link(s[1], s[2], t[1], t[2], percent):
-                    yield (x[0], y[0]) if x[0] < y[0] else (y[0], x[0])
+                    if min(x[7] & y[7]) == x[0]:
+                        yield (x[1], y[1]) if x[1] < y[1] else (y[1], x[1])
+
+    names = ("region", "class", "n", "place", "label", "far", "all", "crowded")
+    return _by_region(rows, _paired(pairs, names, schema), schema).distinct()
+
+
+def _paired(pairs: Callable, names: tuple[str, ...], schema: str) -> Callable:
+    """Distinct pairs of each region of a table sorted by region."""
 
     def each(table: pa.Table) -> Iterator[pa.RecordBatch]:
         region = table["region"].to_numpy()
-        names = ("class", "n", "place", "label", "far")
-        rows_ = list(zip(*(table[n].to_pylist() for n in names), strict=True))
         bounds = np.flatnonzero(np.append(True, region[1:] != region[:-1])).tolist()
         found: set[tuple[bytes, bytes]] = set()
         for start, end in zip(bounds, [*bounds[1:], len(region)], strict=True):
-            for pair in pairs(rows_[start:end]):
+            part = table.slice(start, end - start)
+            own = list(zip(*(part[n].to_pylist() for n in names), strict=True))
+            for pair in pairs(own):
                 found.add(pair)
                 if len(found) >= 100_000:
                     yield _rows(list(found), schema)
@@ -319,7 +360,7 @@ def candidate_pairs(rows: DataFrame, turn: int, percent: int = PERCENT) -> DataF
         if found:
             yield _rows(list(found), schema)
 
-    return _by_region(rows, each, schema).distinct()
+    return each
 
 
 def near_windows(pairs: DataFrame, windows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -451,39 +492,46 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     own = first.where(F.col("n").isNotNull()).select("doc_id", "text_key", "class", "n")
     frequent = frequent_shingles(first.where(F.col("shingle").isNotNull()).select("shingle", "df"))
     rows = stored(shared_regions(regions(docs, frequent, size, percent)))
+    sizes = rows.groupBy("region").agg(F.count("*").alias("_n"), F.min("class").alias("pivot"))
+    rows = stored(
+        rows.join(sizes, "region").select(*rows.columns, "pivot", (F.col("_n") > SMALL).alias("_c"))
+    )
     windows = stored(
-        rows.groupBy("class").agg(F.first("n").alias("n"), F.collect_list("region").alias("all"))
+        rows.groupBy("class").agg(
+            F.first("n").alias("n"),
+            F.collect_list("region").alias("all"),
+            F.collect_list(F.when(F.col("_c"), F.col("region"))).alias("crowded"),
+        )
     )
+    crowded = rows.where("_c").drop("_c")
+    # Star turns need not see every region: near copies share most of theirs.
+    star = F.pmod(F.col("region"), F.lit(STAR_SHARE)) == 0
+
+    def labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
+        named = labels.select(F.col("class").alias("_k"), F.col("label").alias("_l"))
+        joined = found.join(named, F.col("class") == F.col("_k"), "left")
+        return joined.withColumn("label", F.coalesce("_l", "class")).drop("_k", "_l")
 
-    tested = links = None
-    labels = None
+    tested = labels = None
     for turn in range(STARS + 1):
-        found = rows.withColumn("label", F.col("class")).withColumn("far", F.lit(None).cast("double"))
-        if turn:
-            named = labels.select(F.col("class").alias("_c"), F.col("label").alias("_l"))
-            found = (
-                rows.where(F.col("crowded"))
-                .join(named, F.col("class") == F.col("_c"), "left")
-                .withColumn("label", F.coalesce("_l", "class"))
-                .drop("_c", "_l")
-                .withColumn("far", F.lit(None).cast("double"))
-            )
+        if turn == 0:
+            found = rows.where(~F.col("_c") | star).withColumn("label", F.col("class"))
         else:
-            sizes = rows.groupBy("region").agg(
-                F.count("*").alias("_n"), F.min("class").alias("pivot")
-            )
-            rows = stored(
-                rows.join(sizes, "region").select(
-                    *rows.columns, "pivot", (F.col("_n") > SMALL).alias("crowded")
-                )
+            found = labelled(crowded.where(star) if turn < STARS else crowded, labels)
+        if turn < STARS:
+            pairs = star_pairs(found, turn, percent)
+        else:
+            found = stored(found)
+            mixed = found.groupBy("region").agg(
+                (F.min("label") != F.max("label")).alias("_mixed")
             )
-        if turn == STARS:
-            far = (1 - F.col("inter") / F.col("either")).alias("_d")
-            known = tested.select(F.col("a").alias("_p"), F.col("b").alias("_c"), far)
-            on = (F.col("pivot") == F.col("_p")) & (F.col("class") == F.col("_c"))
-            found = found.join(known, on, "left").withColumn("far", F.col("_d"))
-        found = found.select("region", "class", "n", "place", "label", "far")
-        pairs = candidate_pairs(found, turn, percent)
+            found = found.join(mixed.where("_mixed").select("region"), "region", "left_semi")
+            far = (1 - F.col("inter") / F.col("either")).alias("far")
+            known = tested.select(F.col("a").alias("_p"), F.col("b").alias("_k"), far)
+            on = (F.col("pivot") == F.col("_p")) & (F.col("class") == F.col("_k"))
+            found = found.join(known, on, "left").drop("_p", "_k")
+            found = found.join(windows.select("class", "all", "crowded"), "class")
+            pairs = rest_pairs(found, percent)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = stored(near_windows(pairs, windows, percent))
@@ -491,8 +539,7 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
         new = stored(measured(pairs, stored(class_sets(docs, stored(ends), size))))
         tested = new if tested is None else tested.union(new)
         near = 100 * F.col("inter") >= percent * F.col("either")
-        links = tested.where(near).select("a", "b")
-        labels = stored(components(links))
+        labels = stored(components(tested.where(near).select("a", "b")))
 
     classes = own.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"))
     ends = labels.join(classes, "class")

@@ -124,6 +124,8 @@ def fit(rows: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
         return w
     terms = [np.array(sorted(set(word_features(t))), np.int32) for t in IDENTITY_TERMS]
 
+    present = np.zeros(PLACES + 1, bool)
+
     def step(at: np.ndarray, g: np.ndarray | float) -> None:
         own = np.broadcast_to(np.asarray(g, float), at.shape)
         root = np.sqrt(n[at])
@@ -148,7 +150,9 @@ def fit(rows: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
             step(places, p - y)
             constant(p - y)
             if random.random() < SWAPPED:
-                there = [t for t in terms if np.isin(t, places).all()]
+                present[places] = True
+                there = [t for t in terms if present[t].all()]
+                present[places] = False
                 new = terms[random.integers(len(terms))]
                 old = there[random.integers(len(there))] if there else new[:0]
                 gone, come = np.setdiff1d(old, new), np.setdiff1d(new, places)

@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.common import documents
+from ledgerfold.llm.common import documents, stored
 
 _RUN = "A-Za-z0-9_+/\\-"
 #: A run of at least 12 characters with a digit in it, or at least 8 assigned to a secret's name.
@@ -266,7 +266,8 @@ def redacted(docs: DataFrame, path: str | None = None, mark: str = "[secret]") -
     where = [] if path is None else [F.col(path).alias("_where")]
     rows = docs.select("doc_id", "text", key, *where)
     found = candidates(rows, path="_where" if where else None)
-    secrets = judged(found, fit(labelled_findings(docs.sparkSession))).where("is_secret")
+    # Stored first, so that the filter is not pushed below the search and the forest.
+    secrets = stored(judged(found, fit(labelled_findings(docs.sparkSession)))).where("is_secret")
     spans = secrets.groupBy(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).agg(
         F.sort_array(
             F.collect_set(F.struct("start", F.length("value").alias("length"))), asc=False

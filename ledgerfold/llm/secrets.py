@@ -1,7 +1,7 @@
 """Secrets in texts, told from look-alikes by a random forest.
 
-A pattern finds candidates: long runs of letters and digits, and values assigned to names like
-password. A forest then judges each by its length, its characters and their transitions, how
+A pattern finds candidates: long runs of letters and digits or of mixed case, and values
+assigned to names like password, in configurations, code and JSON. A forest then judges each by its length, its characters and their transitions, how
 much of it dictionary words cover, the path of its text and the words next to it. It learns
 from labelled findings; by default these are written out from templates of true secrets and of
 the usual false alarms (hashes of commits, ids, numbers, placeholders, names in code) around
@@ -13,6 +13,8 @@ Null and empty texts have no candidates. Repeated rows are searched once each.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,12 +23,21 @@ from pyspark.sql import functions as F
 
 from ledgerfold.llm.common import documents, stored
 
+#: Names a secret is given, and words before harmless hashes and ids.
+NAMES = (
+    "password|passwd|pwd|passphrase|secret|token|api_?key|access_?key|private_?key|auth|credentials?"
+)
+HARMLESS = "commit|sha1|sha256|md5|checksum|hash|uuid|guid|digest|order|phone|tel|isbn|version|id"
 _RUN = "A-Za-z0-9_+/\\-"
-#: A run of at least 12 characters with a digit in it, or at least 8 assigned to a secret's name.
+_ASSIGNED = r"[ \t]{0,16}(?:=>|:=|[=:])[ \t]{0,16}[\"']?"
+#: At least 8 characters assigned to a secret's name, which may be quoted; or a whole run of at
+#: least 12 with a digit, or with a small letter and a capital after the first character.
+#: The tests before the long look-behind only spare it where no value can start.
 CANDIDATE = (
-    r"(?<=(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Kk]ey|KEY)"
-    r"[ ]{0,2}[=:][ ]{0,2}[\"']?)[^\s\"'=:]{8,}"
-    rf"|(?<![{_RUN}])(?=[A-Za-z_+/\-]{{0,40}}[0-9])[{_RUN}]{{12,}}={{0,2}}"
+    r"(?<=[=:>\"' \t])(?=[^\s\"'=:]{8})"
+    rf"(?<=(?i:{NAMES}|key)[\"']?{_ASSIGNED})[^\s\"'=:]{{8,}}"
+    rf"|(?<![{_RUN}])(?=[A-Za-z_+/\-]*+[0-9]|(?=[A-Z_+/\-]*+[a-z])[{_RUN}][a-z_+/\-]*+[A-Z])"
+    rf"[{_RUN}]{{12,}}={{0,2}}"
 )
 #: Words of code and prose that true secrets hardly hold.
 DICTIONARY = (
@@ -34,9 +45,6 @@ DICTIONARY = (
     "image index main public static config default string number version update client server "
     "service handler request response the and for with that this from have"
 ).split()
-#: Names a secret is given, and words before harmless hashes and ids.
-NAMES = "password|passwd|pwd|secret|token|api_?key|access_?key|auth|credential"
-HARMLESS = "commit|sha1|sha256|md5|checksum|hash|uuid|guid|digest|order|phone|tel|isbn|version|id"
 TEST_PATH = "test|example|sample|fixture|mock|docs?"
 TREES, DEPTH, SEED = 40, 8, 29
 #: Labelled findings written from each template.
@@ -58,6 +66,7 @@ FEATURES = (
     "distinct",
     "vowels",
     "dictionary",
+    "worded",
     "dashes",
     "known_prefix",
     "named",
@@ -104,14 +113,20 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = None) ->
         *kept,
         "_path",
         "_gaps",
+        "_values",
         F.posexplode(F.arrays_zip("_values", "_starts")).alias("_k", "_x"),
     )
+    # A name or a path before a candidate may be a candidate itself.
+    k, none = F.col("_k"), F.lit("")
+    near = lambda name, j: F.coalesce(F.get(name, j), none)
+    before = F.concat(near("_gaps", k - 1), near("_values", k - 1), near("_gaps", k))
+    after = F.concat(near("_gaps", k + 1), near("_values", k + 1))
     return rows.select(
         *kept,
         F.col("_x._values").alias("value"),
         F.col("_x._starts").cast("long").alias("start"),
-        F.right(F.get("_gaps", F.col("_k")), F.lit(BEFORE)).alias("before"),
-        F.left(F.get("_gaps", F.col("_k") + 1), F.lit(AFTER)).alias("after"),
+        F.right(before, F.lit(BEFORE)).alias("before"),
+        F.left(after, F.lit(AFTER)).alias("after"),
         F.col("_path").alias("path"),
     )
 
@@ -137,10 +152,11 @@ def with_features(found: DataFrame) -> DataFrame:
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
         "vowels": share("[aeiouAEIOU]"),
         "dictionary": 1.0 - F.length(rest) / n,
+        "worded": 1.0 - F.length(F.regexp_replace(v, "[A-Z]?[a-z]{3,}", "")) / n,
         "dashes": share("-"),
-        "known_prefix": flag(v.rlike("^(?:AKIA|ASIA|ghp_|gho_|xox[bp]-|sk_live_|AIza|eyJ)")),
-        "named": flag(before.rlike(rf"(?i)(?:{NAMES})[^\n]{{0,12}}$")),
-        "assigned": flag(before.rlike(r"[=:]\s{0,2}[\"']?$")),
+        "known_prefix": flag(v.rlike("(?:^|/)(?:AKIA|ASIA|ghp_|gho_|xox[bp]-|sk_live_|AIza|eyJ)")),
+        "named": flag(before.rlike(rf"(?i)(?:{NAMES})[^\n]{{0,12}}(?:{_ASSIGNED})?$")),
+        "assigned": flag(before.rlike(rf"(?:[=:]\s{{0,2}}[\"']?|{_ASSIGNED})$")),
         "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
         "harmless": flag(before.rlike(rf"(?i)\b(?:{HARMLESS})\W{{0,3}}$")),
         "in_url": flag(before.rlike(r"(?i)(?:://|www\.|@)\S*$")),
@@ -152,7 +168,8 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 #: Templates (label, before, value, after). `{h}` is a hexadecimal string, `{u}`
-#: one of capitals and digits, `{m}` of mixed characters, `{d}` of digits, `{w}` a word.
+#: one of capitals and digits, `{m}` of mixed characters, `{x}` of mixed letters, `{d}` of digits,
+#: `{w}` a word, `{s}` one of the dictionary, `{W}` and `{S}` the same with a capital.
 TEMPLATES = (
     (1, "{w} {w} ", "AKIA{u16}", " {w}"),
     (1, "key: ", "AKIA{u16}", "\n{w}"),
@@ -166,6 +183,30 @@ TEMPLATES = (
     (1, "{w} ", "ghp_{m36}", " {w}"),
     (1, "Authorization: Bearer ", "{m48}", "\n"),
     (1, "{w}: ", "sk_live_{m24}", " {w}"),
+    (1, '"password": "', "{m5}!{m6}", '"'),
+    (1, '"api_key": "', "{m32}", '"'),
+    (1, "'secret' => '", "{m20}", "',"),
+    (1, "pwd=", "{w}{d1}!{h3}", "\n"),
+    (1, "{w}_pwd\t=\t", "{m10}", "\n"),
+    (1, "credential: ", "{m3}${m6}", "\n{w}"),
+    (1, "passphrase=", "{x14}", "\n"),
+    (1, "auth := ", "{m24}", "\n"),
+    (1, "private_key = '", "{x40}", "'"),
+    (1, "{w} ", "{x40}", " {w}"),
+    (1, "{w} ", "/{w}/{w}/{w}/{w}/ghp_{m36}", " {w}"),
+    (1, "{w} ", "{w}/{w}/{w}/{w}/{w}/{w}/AKIA{u16}", "\n"),
+    (0, "{w} ", "{s}{S}{S}{S}", "({w}"),
+    (0, "{w} ", "{s}{S}{S}", ' = "'),
+    (0, "{w} ", "{S}{S}{S}", " {w}"),
+    (0, "{w} ", "{S}-{S}{S}", " {w}"),
+    (0, "{w} ", "{w}{W}{W}", "({w}"),
+    (0, "{w}.", "{w}_{w}{W}", " {w}"),
+    (0, "{w} ", "{W}{W}", " {w}"),
+    (0, "{w} ", "{W}-{W}", ", {w}"),
+    (0, "{w} ", "{W}/{W}/{W}", " {w}"),
+    (0, "{w} ", "/{w}/{w}/{w}/{w}/{w}/{w}{d2}", " {w}"),
+    (0, '"token": "', "your_token_here_{d2}", '"'),
+    (0, "auth: ", "{w}{W}", "\n"),
     (0, "commit ", "{h40}", "\n{w}"),
     (0, "{w} sha1 ", "{h40}", " {w}"),
     (0, "md5: ", "{h32}", " {w}"),
@@ -194,49 +235,71 @@ def labelled_findings(spark: SparkSession, each: int = EACH, seed: int = SEED) -
     rows = spark.range(len(TEMPLATES) * each).select(
         (F.col("id") % len(TEMPLATES)).cast("int").alias("t"), "id"
     )
-    digest = lambda k: F.sha2(F.concat_ws("-", F.lit(seed), "id", F.lit(k)), 256)
-
-    def piece(kind: str, size: int, k: int) -> Column:
-        raw = F.concat(digest(f"{k}a"), digest(f"{k}b"))
-        mixed = F.translate(
-            F.base64(F.concat(F.unhex(raw), F.unhex(F.reverse(raw)))), "+/=\r\n", "ZQ"
-        )
-        source = {
-            "h": raw,
-            "u": F.translate(F.upper(mixed), "0189", "WXYZ"),
-            "m": mixed,
-            "d": F.translate(raw, "abcdef", "283746"),
-        }[kind]
-        return F.substring(source, 1, size)
-
     syllables = "an the er ing on ver sch lich cion para tion que ment data user file".split()
 
-    def word(k: int) -> Column:
-        at = [F.pmod(F.xxhash64("id", F.lit(f"{seed}{k}{j}")), F.lit(len(syllables))) for j in (0, 1, 2)]
-        table = F.array(*[F.lit(s) for s in syllables])
-        return F.concat(*[F.get(table, i.cast("int")) for i in at])
-
-    def written(template: str, k: int) -> Column:
+    def parsed(template: str, k: int) -> list[dict]:
         parts, rest = [], template
         while "{" in rest:
             plain, _, rest = rest.partition("{")
             name, _, rest = rest.partition("}")
             k += 1
-            parts += [F.lit(plain), word(k) if name == "w" else piece(name[0], int(name[1:]), k)]
-        return F.concat(*parts, F.lit(rest))
-
-    def chosen(values: list[Column]) -> Column:
-        out = F.when(F.col("t") == 0, values[0])
-        for k, value in enumerate(values[1:], 1):
-            out = out.when(F.col("t") == k, value)
-        return out
+            parts.append({"plain": plain, "kind": name[0], "size": int(name[1:] or 0), "k": k})
+        return [*parts, {"plain": rest, "kind": "", "size": 0, "k": 0}]
 
+    def piece(part: Column) -> Column:
+        digest = lambda end: F.sha2(
+            F.concat_ws("-", F.lit(seed), "id", F.concat(part["k"].cast("string"), F.lit(end))), 256
+        )
+        raw = F.concat(digest("a"), digest("b"))
+        mixed = F.translate(
+            F.base64(F.concat(F.unhex(raw), F.unhex(F.reverse(raw)))), "+/=\r\n", "ZQ"
+        )
+        table = F.array(*[F.lit(x) for x in syllables])
+        at = [
+            F.pmod(
+                F.xxhash64("id", F.concat(F.lit(str(seed)), part["k"].cast("string"), F.lit(str(j)))),
+                F.lit(len(syllables)),
+            )
+            for j in (0, 1, 2)
+        ]
+        word = F.concat(*[F.get(table, i.cast("int")) for i in at])
+        listed = F.get(
+            F.array(*[F.lit(x) for x in DICTIONARY]),
+            F.pmod(F.xxhash64("id", part["k"]), F.lit(len(DICTIONARY))).cast("int"),
+        )
+        kind = part["kind"]
+        source = (
+            F.when(kind == "h", raw)
+            .when(kind == "u", F.translate(F.upper(mixed), "0189", "WXYZ"))
+            .when(kind == "m", mixed)
+            .when(kind == "x", F.translate(mixed, "0123456789", "qRsTuVwXyZ"))
+            .when(kind == "d", F.translate(raw, "abcdef", "283746"))
+        )
+        own = (
+            F.when(kind == "w", word)
+            .when(kind == "W", F.initcap(word))
+            .when(kind == "s", listed)
+            .when(kind == "S", F.initcap(listed))
+            .when(kind == "", F.lit(""))
+            .otherwise(F.substring(source, F.lit(1), part["size"]))
+        )
+        return F.concat(part["plain"], own)
+
+    # One literal for all templates, as an expression for each would outgrow compiled code.
+    kinds = "array<struct<plain:string,kind:string,size:int,k:int>>"
+    texts = [
+        {"value": parsed(v, 100), "before": parsed(b, 200), "after": parsed(a, 300), "label": float(y)}
+        for y, b, v, a in TEMPLATES
+    ]
+    schema = f"array<struct<value:{kinds},before:{kinds},after:{kinds},label:double>>"
+    own = F.get(F.from_json(F.lit(json.dumps(texts)), schema), F.col("t"))
+    written = lambda name: F.array_join(F.transform(own[name], piece), "").alias(name)
     return rows.select(
-        chosen([written(v, 100) for _, _, v, _ in TEMPLATES]).alias("value"),
-        chosen([written(b, 200) for _, b, _, _ in TEMPLATES]).alias("before"),
-        chosen([written(a, 300) for _, _, _, a in TEMPLATES]).alias("after"),
+        written("value"),
+        written("before"),
+        written("after"),
         F.lit("").alias("path"),
-        chosen([F.lit(y) for y, *_ in TEMPLATES]).cast("double").alias("label"),
+        own["label"].alias("label"),
     )
 
 

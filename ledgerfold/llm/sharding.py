@@ -2,7 +2,8 @@
 
 First pass: a seeded hash scatters records uniformly into buckets small enough for memory.
 Second pass: the records of each bucket are put in a fixed order and shuffled by Fisher and
-Yates' method with the bucket's seed. A record's place in the whole is the rows of all earlier
+Yates' method with the bucket's seed. Buckets refer to the records by number; each whole record
+is sent to its places once these are known. A record's place in the whole is the rows of all earlier
 buckets plus its place in its own; places are dealt to shards in turn, so that shards' row
 counts are at most one apart and each shard is a random sample in random order.
 
@@ -13,6 +14,8 @@ like a new column are replaced.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ from ledgerfold.llm.common import documents, stored, with_offsets
 
 SHARDS = 16
 SEED = 20_011
-#: Bounds of a bucket: rows, and bytes of its records in memory.
+#: Rows of a bucket, which holds keys of fixed size, however long the records are.
 BUCKET_ROWS = 4_096
 #: Copies of one record that are expanded at once.
 COPIES = 4_096
@@ -36,36 +39,44 @@ def shuffled(
     Columns must be comparable; a map column has to be turned into an array of entries first.
     """
     kept = [name for name in df.columns if name not in _OWN]
-    distinct = stored(df.groupBy(*[F.col(f"`{n}`") for n in kept]).agg(F.count("*").alias("_n")))
+    counted = df.groupBy(*[F.col(f"`{n}`") for n in kept]).agg(F.count("*").alias("_n"))
+    distinct = stored(counted.withColumn("_id", F.monotonically_increasing_id()))
     total = distinct.agg(F.sum("_n")).first()[0] or 0
     buckets = max(1, -(-total // bucket_rows))
 
-    block = F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPIES).cast("long"))
+    block = F.explode(
+        F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPIES).cast("long"))
+    ).alias("_block")
     last = F.least(F.col("_n"), (F.col("_block") + 1) * COPIES) - 1
     record = F.struct(*[F.col(f"`{n}`") for n in kept])
     scattered = (
-        distinct.select(record.alias("_record"), "_n", F.explode(block).alias("_block"))
+        distinct.select(
+            "_id", "_n", F.xxhash64(F.lit(seed), F.to_json(record)).alias("_digest"), block
+        )
         .select(
-            "_record", F.explode(F.sequence(F.col("_block") * COPIES, last)).alias("_copy")
+            "_id",
+            "_digest",
+            "_block",
+            F.explode(F.sequence(F.col("_block") * COPIES, last)).alias("_copy"),
         )
-        .withColumn("_hash", F.xxhash64(F.lit(seed), F.to_json("_record"), "_copy"))
+        .withColumn("_hash", F.xxhash64("_digest", "_copy"))
         .withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
     )
     filled = scattered.groupBy("_bucket").agg(
-        F.count("*").alias("_rows"),
-        F.shuffle(F.array_sort(F.collect_list(F.struct("_hash", "_copy", "_record"))), seed).alias(
-            "_records"
-        ),
+        F.shuffle(
+            F.array_sort(F.collect_list(F.struct("_hash", "_copy", "_id", "_block"))), seed
+        ).alias("_keys")
     )
     sizes = scattered.groupBy("_bucket").agg(F.count("*").alias("_rows"))
-    placed = (
-        filled.drop("_rows")
-        .join(with_offsets(sizes, "_bucket", "_rows").select("_bucket", "offset"), "_bucket")
-        .select("offset", F.posexplode("_records").alias("_at", "_own"))
-        .withColumn("_place", F.col("offset") + F.col("_at"))
+    places = (
+        filled.join(with_offsets(sizes, "_bucket", "_rows").select("_bucket", "offset"), "_bucket")
+        .select("offset", F.posexplode("_keys").alias("_at", "_key"))
+        .select("_key._id", "_key._block", (F.col("offset") + F.col("_at")).alias("_place"))
     )
+    # A record's copies meet it in blocks, so that one repeated often is not sent out in one task.
+    placed = places.join(distinct.select("_id", record.alias("_record"), block), ["_id", "_block"])
     return placed.select(
-        *[F.col(f"_own._record.`{n}`").alias(n) for n in kept],
+        *[F.col(f"_record.`{n}`").alias(n) for n in kept],
         F.lit("rows").alias("law"),
         (F.col("_place") % shards).cast("int").alias("shard"),
         F.floor(F.col("_place") / shards).cast("long").alias("slot"),
@@ -83,11 +94,20 @@ def write_shards(sharded: DataFrame, path: str) -> None:
     )
 
 
+def written(sharded: DataFrame) -> DataFrame:
+    """The rows as read from shards in the session's checkpoint folder (see `stored`)."""
+    spark = sharded.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
+    write_shards(sharded, path)
+    return spark.read.schema(sharded.schema).parquet(path).select(*sharded.columns)
+
+
 def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shuffles and writes the whole documents; the rows are digests of what the shards hold."""
     text = F.col("text").cast("string")
-    records = documents(spark, sf_dir).select(
+    return written(shuffled(documents(spark, sf_dir))).select(
         "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        *_OWN,
     )
-    return shuffled(records)

@@ -128,3 +128,28 @@ def test_written_shards_keep_their_order(spark, tmp_path):
     for shard in range(4):
         part = spark.read.parquet(str(tmp_path / "shards" / f"shard={shard}"))
         assert [r.slot for r in part.collect()] == list(range(10))
+
+
+def test_the_query_writes_whole_documents_to_shards(spark, tmp_path, monkeypatch):
+    docs = odd(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    paths = []
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path: (paths.append(path), write(df, path)))
+    rows = sharding.op6_two_pass_shuffle(spark, str(tmp_path)).collect()
+    held = spark.read.parquet(paths[0]).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id, r.text or "")
+    assert sorted(map(key, held)) == sorted(map(key, docs.collect()))
+    by_place = {(r.shard, r.slot): r for r in held}
+    assert len(rows) == len(by_place) == docs.count()
+    for r in rows:
+        own = (by_place[r.shard, r.slot].text or "").encode()
+        assert (r.size, r.text_crc32) == (len(own) + 1, zlib.crc32(own))
+
+
+def test_copies_of_a_record_are_sent_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 3)
+    docs = spark.createDataFrame([(1, "a")] * 20 + [(2, "b")], "doc_id long, text string")
+    rows = sharding.shuffled(docs, shards=2).collect()
+    assert sorted(r.doc_id for r in rows) == [1] * 20 + [2]
+    assert len({(r.shard, r.slot) for r in rows}) == 21

@@ -19,7 +19,6 @@ often as they come. An empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -51,7 +50,8 @@ _MATCHES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ).findall
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: `ids` are little-endian 32-bit integers.
+PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 class Words:
@@ -111,7 +111,7 @@ def words(path: str) -> Words:
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
-    """The pieces of each document: place, length and checksum of their ids."""
+    """The pieces of each document: place, length and ids."""
     path = path or public_tokenizers.path(VOCABULARY)
     end = np.array([END_ID], "<u4").tobytes()
 
@@ -126,13 +126,13 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Da
                     for k in range(0, len(ids), 4 * length):
                         own = ids[k : k + 4 * length]
                         found.append(
-                            (key, k // (4 * length), k // 4, len(own) // 4, zlib.crc32(own))
+                            (key, k // (4 * length), k // 4, len(own) // 4, own)
                         )
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 columns = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                    names=["doc_id", "piece", "start", "length", "ids"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
@@ -257,7 +257,7 @@ def numbered(parts: DataFrame, bucket: int = BUCKET) -> DataFrame:
     most = sizes.agg(F.max("_n")).first()[0] or 0
     salts = max(1, -(-most // bucket))
     salted = parts.withColumn(
-        "_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts))
+        "_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(salts))
     )
     key = (F.col("length") * salts + F.col("_salt")).alias("_key")
     counts = salted.groupBy(key, "length").agg(F.count("*").alias("_n"))
@@ -266,7 +266,7 @@ def numbered(parts: DataFrame, bucket: int = BUCKET) -> DataFrame:
     base = before.join(first, "length").select(
         F.col("_key").alias("_bucket"), (F.col("offset") - F.col("_first")).alias("_base")
     )
-    inside = Window.partitionBy("_key").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("_key").orderBy("doc_id", "piece", "ids")
     ranked = salted.withColumn("_key", F.col("length") * salts + F.col("_salt")).withColumn(
         "_at", F.row_number().over(inside) - 1
     )
@@ -305,9 +305,35 @@ def packed(parts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
-    """The pieces of all documents with their sequences; the texts are tokenized once."""
-    return packed(stored(pieces(docs, length, path)), length)
+    """The pieces of all documents with their ids, the checksum of these, and their sequences.
+
+    The texts are tokenized once.
+    """
+    return packed(stored(pieces(docs, length, path)), length).withColumn(
+        "ids_crc32", F.crc32("ids")
+    )
+
+
+def sequences(rows: DataFrame) -> DataFrame:
+    """sequence_id, length and ids of each training sequence: its pieces' ids by offset."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    joined = F.aggregate(parts, F.lit(b""), lambda ids, part: F.concat(ids, part["ids"]))
+    whole = rows.groupBy("sequence_id").agg(joined.alias("ids"))
+    length = (F.octet_length("ids") / 4).cast("long").alias("length")
+    return whole.select("sequence_id", length, "ids")
+
+
+def write_sequences(rows: DataFrame, path: str) -> None:
+    """The packed sequences of `pack_documents` as Parquet."""
+    sequences(rows).write.parquet(path)
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """Packed pieces with the checksum of their ids in place of the ids."""
+    return rows.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
 
 
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir))
+    return digests(pack_documents(documents(spark, sf_dir)))

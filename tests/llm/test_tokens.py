@@ -153,3 +153,22 @@ def test_copies_of_a_record_are_sent_in_blocks(spark, monkeypatch):
     rows = sharding.shuffled(docs, shards=2).collect()
     assert sorted(r.doc_id for r in rows) == [1] * 20 + [2]
     assert len({(r.shard, r.slot) for r in rows}) == 21
+
+
+def test_written_sequences_hold_the_ids_of_all_documents(spark, tmp_path):
+    docs = odd(spark, TEXTS).where("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = packing.pack_documents(docs, length=128)
+    packing.write_sequences(rows, str(tmp_path / "sequences"))
+    held = {r.sequence_id: bytes(r.ids) for r in spark.read.parquet(str(tmp_path / "sequences")).collect()}
+    assert max(map(len, held.values())) <= 4 * 128
+    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    library.encode_special_tokens = True
+    texts, own = {r.doc_id: r.text or "" for r in docs.collect()}, collections.defaultdict(bytes)
+    for r in sorted(packing.digests(rows).collect(), key=lambda r: (r.doc_id, r.piece)):
+        ids = held[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)]
+        assert zlib.crc32(ids) == r.ids_crc32
+        own[r.doc_id] += ids
+    assert sum(map(len, own.values())) == sum(map(len, held.values()))
+    for k, text in texts.items():
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own[k], "<u4").tolist() == [*ids, packing.END_ID]

@@ -27,6 +27,8 @@ from ledgerfold.schemas import (
 ACCOUNT_WITHOUT_CHART = 48
 LAST_GROUPED_ACCOUNT = 48
 FS_GROUPS = 100_000
+#: Parts into which the larger of two tables is dealt when each row meets each.
+PARTS = 16
 
 
 def _company_code(number) -> Column:
@@ -49,6 +51,16 @@ def _numbers(first: int, last, name: str) -> Column:
     return F.explode(F.sequence(F.lit(first), last)).alias(name)
 
 
+def _each_with_each(large: DataFrame, small: DataFrame) -> DataFrame:
+    """Every pair of two master tables' rows, as a join on a part number.
+
+    The larger table is dealt to parts by a hash, the smaller has a copy in each part.
+    """
+    part = F.pmod(F.xxhash64(*large.columns), F.lit(PARTS)).cast("int")
+    copies = small.select("*", _numbers(0, F.lit(PARTS - 1), "_part"))
+    return large.withColumn("_part", part).join(copies, "_part").drop("_part")
+
+
 def _fs_group(parent: str, number: str) -> Column:
     """A group's number within its parent, after the parent's own number."""
     return F.substr(F.col(parent), F.lit(2)).cast("bigint") * FS_GROUPS + F.col(number)
@@ -102,12 +114,8 @@ class StarSchemaBooks:
                 F.max("o_orderdate").cast("date").alias("period_date_to"),
             )
         )
-        companies = self.company.select("company_code")
-        last = self._read("nation").agg(F.max("n_nationkey").cast("int")).scalar()
         return (
-            quarters.select("*", _numbers(0, last, "n"))
-            .withColumn("company_code", _company_code("n"))
-            .join(companies, "company_code", "left_semi")
+            _each_with_each(self.company.select("company_code"), quarters)
             .select(
                 "company_code",
                 "period_code",
@@ -123,13 +131,15 @@ class StarSchemaBooks:
 
     @cached_property
     def coa(self) -> DataFrame:
-        sizes = self._read("part").select(F.col("p_size").alias("s")).distinct()
-        last = self._read("part").agg(F.max("p_size").cast("int")).scalar()
+        sizes = (
+            self._read("part")
+            .select(F.col("p_size").alias("s"))
+            .where(F.col("s") != ACCOUNT_WITHOUT_CHART)
+            .distinct()
+        )
         wk = F.expr("(s - 1) div 2")
         return (
-            self.company.select("company_code", "parent_company", _numbers(1, last, "s"))
-            .where(F.col("s") != ACCOUNT_WITHOUT_CHART)
-            .join(sizes, "s", "left_semi")
+            _each_with_each(self.company.select("company_code", "parent_company"), sizes)
             .withColumn("w", wk)
             .select(
                 "company_code",

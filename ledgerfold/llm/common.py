@@ -49,6 +49,14 @@ def remainder(key: str | Column, modulus: int) -> Column:
     return F.crc32(text.cast("binary")) % modulus
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the session's checkpoint folder (see `stored`)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write rows to the session's checkpoint folder and read them back.
 
@@ -56,10 +64,7 @@ def stored(df: DataFrame) -> DataFrame:
     in `spark.checkpoint.dir`, shared by all executors; only where none is set, as in tests,
     a temporary one is taken. Files stay until the folder is cleaned, as checkpoints do.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -50,6 +50,9 @@ _MATCHES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ).findall
 
+#: Signs that, in any run at the end of a word of letters, are one match of that split.
+_STOPS = ",.;:!?"
+
 #: `ids` are little-endian 32-bit integers.
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -75,8 +78,14 @@ class Words:
         if len(word) > 1_000 or max(word, default="") > "\xff":
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
-        out = []
-        for own in _MATCHES(word.lower()):
+        small, out = word.lower(), []
+        letters = small.rstrip(_STOPS)
+        stops = small[len(letters) :]
+        if letters.isalpha():
+            matches = [letters, stops] if stops else [letters]
+        else:
+            matches = _MATCHES(small)
+        for own in matches:
             ids = self.matched.get(own)
             if ids is None:
                 if len(self.matched) > CACHE:

@@ -6,6 +6,7 @@ from ledgerfold.llm.jaccard_join import op10_metric_join
 from ledgerfold.llm.kernel_quality import op7_kernel_quality
 from ledgerfold.llm.packing import op3_pattern_packing
 from ledgerfold.llm.quality_rules import op8_decision_list
+from ledgerfold.llm.range_ans import op11_range_ans
 from ledgerfold.llm.secrets import op4_forest_secrets
 from ledgerfold.llm.sharding import op6_two_pass_shuffle
 from ledgerfold.llm.syncmers import op2_closed_syncmers
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_decision_list": op8_decision_list,
     "op9_brown_classes": op9_brown_classes,
     "op10_metric_join": op10_metric_join,
+    "op11_range_ans": op11_range_ans,
 }
 
 SQL: dict[str, str] = {}

@@ -1,5 +1,6 @@
 """The registered queries of the text operators, and equivalent SQL where SQL has one."""
 
+from ledgerfold.llm import merkle, shared_terms
 from ledgerfold.llm.byte_bpe import op1_byte_bpe
 from ledgerfold.llm.class_lm import op9_brown_classes
 from ledgerfold.llm.jaccard_join import op10_metric_join
@@ -24,6 +25,11 @@ QUERIES = {
     "op9_brown_classes": op9_brown_classes,
     "op10_metric_join": op10_metric_join,
     "op11_range_ans": op11_range_ans,
+    "op12_shared_terms": shared_terms.op12_shared_terms,
+    "op13_time_forward": merkle.op13_time_forward,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op12_shared_terms": shared_terms.SQL.strip(),
+    "op13_time_forward": merkle.SQL.strip(),
+}

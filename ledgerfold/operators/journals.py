@@ -22,15 +22,19 @@ def last_numbers(header: DataFrame) -> DataFrame:
     return header.groupBy("parent_company_code").agg(F.max(number).alias("last_number"))
 
 
-def number_journals(existing: DataFrame, batch: DataFrame, order_key: str) -> DataFrame:
+def number_journals(
+    existing: DataFrame | None, batch: DataFrame, order_key: str, marks: DataFrame | None = None
+) -> DataFrame:
     """Give each batch header the next journal numbers of its parent, in batch order.
 
-    Numbers have at least five digits; both journal types share one run per parent.
+    Numbers have at least five digits; both journal types share one run per parent. The last
+    numbers are looked up in ``marks`` (a row for each parent) if given, else in all headers.
     """
+    last = last_numbers(existing) if marks is None else marks
     number = F.coalesce("last_number", F.lit(0)) + F.col("_n")
     counted = number_within(batch.drop("journal_no"), ["parent_company_code"], order_key, "_n")
     return (
-        join_hot(counted, last_numbers(existing), ["parent_company_code"], "left")
+        join_hot(counted, last, ["parent_company_code"], "left")
         .withColumn(
             "journal_no",
             F.format_string(f"%s{NUMBER_MARK}%05d", "parent_company_code", number),
@@ -59,12 +63,13 @@ def _with_amounts(lines: DataFrame) -> DataFrame:
 def post_journals(
     headers: DataFrame,
     lines: DataFrame,
-    existing: DataFrame,
+    existing: DataFrame | None,
     order_key: str,
     journal_type: str | None = None,
     company: DataFrame | None = None,
     period: DataFrame | None = None,
     coa: DataFrame | None = None,
+    marks: DataFrame | None = None,
 ) -> Posting:
     """Post a batch of new journals, each whole or not at all.
 
@@ -109,7 +114,7 @@ def post_journals(
     accepted = judged.where(F.col("reason").isNull()).drop("reason", "sum_debit", "sum_credit")
     if journal_type is not None:
         accepted = accepted.withColumn("journal_type", F.lit(journal_type))
-    numbered = number_journals(existing, accepted, order_key)
+    numbered = number_journals(existing, accepted, order_key, marks)
     posted = (
         entered.drop("journal_no", "period_code")
         .join(numbered.select(order_key, "journal_no", "period_code"), order_key)

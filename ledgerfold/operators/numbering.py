@@ -1,4 +1,4 @@
-"""Consecutive numbers within a group, without ever sorting a whole group in one task."""
+"""Consecutive numbers and places, without ever sorting a whole group or table in one task."""
 
 from collections.abc import Sequence
 
@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerfold.session import scratch
+
 BUCKET_BITS = 20
 BLOCK_BITS = 42
+# Spark's row ids hold the partition above so many bits, and the row's place in it below.
+ROW_BITS = 33
 
 
 def number_within(df: DataFrame, group: Sequence[str], order_key: str, name: str) -> DataFrame:
@@ -56,3 +60,37 @@ def number_within(df: DataFrame, group: Sequence[str], order_key: str, name: str
         .withColumn(name, F.col("_rank") + F.col("_before"))
         .drop("_bucket", "_rank", "_before")
     )
+
+
+def with_position(df: DataFrame, keys: Sequence, name: str = "position") -> DataFrame:
+    """Add each row's place, from 1, in the order of any keys; '-' before a name: descending.
+
+    The rows are dealt to ranges of the order, sorted there, and put aside with their place in
+    their range, so that reading them again cannot deal them otherwise. Counting each range gives
+    the places before it, one number for each partition, which is all that the driver sees.
+    Rows equal in all keys follow each other in the order of a hash of the row; rows equal in all
+    columns are told apart by where they were read, so no key is too large for a range.
+    """
+    order = [
+        F.desc(key[1:]) if isinstance(key, str) and key.startswith("-") else key for key in keys
+    ]
+    spread = [F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.monotonically_increasing_id()]
+    tied = df.withColumns({"_hash": spread[0], "_read": spread[1]})
+    path = scratch(df.sparkSession, "ordered")
+    (
+        tied.repartitionByRange(*order, "_hash", "_read")
+        .sortWithinPartitions(*order, "_hash", "_read")
+        .drop("_hash", "_read")
+        .withColumn("_at", F.monotonically_increasing_id())
+        .write.parquet(path)
+    )
+    rows = df.sparkSession.read.parquet(path)
+    part = F.shiftright("_at", ROW_BITS).cast("int")
+    counts = dict(rows.groupBy(part).agg(F.count(F.lit(1))).collect())
+    before, total = [], 0
+    for k in range(max(counts, default=0) + 1):
+        before.append(total)
+        total += counts.get(k, 0)
+    earlier = F.get(F.array(*(F.lit(n).cast("bigint") for n in before)), part)
+    inside = F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return rows.withColumn(name, earlier + inside + 1).drop("_at")

@@ -149,6 +149,17 @@ TABLES = {
     ),
 }
 
+# Sums kept of the facts by account, and the highest number given to a journal of each parent.
+ACCOUNT_FACT = T.StructType(
+    [
+        *_schema(
+            company_code="string", period_code="string", account_code="string", source="string"
+        ).fields,
+        T.StructField("amount", T.DecimalType(25, 2)),
+    ]
+)
+JOURNAL_MARKS = _schema(parent_company_code="string", period_code="string", last_number="bigint")
+
 # Longest text each column may hold (fixed values of the data model).
 MAX_LENGTHS = {
     "company_code": 5,

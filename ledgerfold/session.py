@@ -1,4 +1,7 @@
-"""A local session for tests and the bench; a cluster brings its own."""
+"""A local session for tests and the bench, and the folder for tables that are put aside."""
+
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +27,14 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of `spark.checkpoint.dir`, which all executors share.
+
+    Only where none is set, as in tests on one machine, a temporary folder becomes that folder.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

@@ -5,9 +5,12 @@ in its own file's header, so a permuted file loads the same as a straight one, a
 file whose header has other names is reported, not guessed at.
 """
 
+from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,28 +115,53 @@ def read_csv_upload(
     return Upload(rows, rejected, good.select("file_path", "file_name"))
 
 
+_NO_CELL = (T.StructType, T.ArrayType, T.MapType, T.BinaryType, T.VariantType)
+_GLOB = str.maketrans({c: f"\\{c}" for c in "\\{}[]*?"})
+
+
+def _schema_of(spark: SparkSession, path: str) -> T.StructType | None:
+    """A Parquet file's own schema, from its footer; None if it has none."""
+    try:
+        return spark.read.parquet(path.translate(_GLOB)).schema
+    except PySparkException:
+        return None
+
+
 def read_parquet_upload(spark: SparkSession, path: str, expected: T.StructType) -> Upload:
-    """Parquet files, each judged by itself.
+    """Parquet files, each judged by the names in its own footer, whatever its values.
 
-    A file lacks a column if it has no value in it, and has a foreign one if it has a value in
-    that; either rejects it. Columns whose types cannot be merged over all files are an error.
+    Files are grouped by their schemas and each group is read with its own, so that a column of
+    another type in one file is that file's matter: its cells are cast, and reject the file if
+    they cannot be. Footers are read one by one, some at a time; files are few beside their rows.
     """
-    df = spark.read.option("mergeSchema", True).parquet(path)
-    named = df.select("*", _file_name(), _file_path())
-    there = {c: F.max(F.col(f"`{c}`").isNotNull()) for c in df.columns}
-    right = F.lit(set(expected.names) <= set(df.columns))
-    for c, filled in there.items():
-        right = right & (filled if c in expected.names else ~filled)
-    files = named.groupBy("file_path", "file_name").agg(right.alias("right"))
-    good = files.where("right").select("file_path", "file_name")
-    rejected = files.where("not right").select("file_name", F.lit(INVALID_FORMAT).alias("reason"))
-    found = {
-        f.name: F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None) for f in expected
-    }
-    rows = join_hot(named, good.select("file_path"), ["file_path"], "left_semi").select(
-        *_readable(found, expected), "file_name", "file_path"
-    )
-    return Upload(rows, rejected, good)
+    listed = (
+        spark.read.format("binaryFile").load(path).select("path", _file_name(), _file_path())
+    ).collect()  # names only: the content is not read
+    with ThreadPool(8) as pool:
+        schemas = pool.map(lambda row: _schema_of(spark, row.path), listed)
+    groups, bad, good = defaultdict(list), [], []
+    for row, schema in zip(listed, schemas, strict=True):
+        cells = schema is not None and not any(isinstance(f.dataType, _NO_CELL) for f in schema)
+        if not cells or set(schema.names) != set(expected.names):
+            bad.append((row.file_name, INVALID_FORMAT))
+        else:
+            good.append((row.file_path, row.file_name))
+            groups[tuple(sorted((f.name, f.dataType.simpleString()) for f in schema))].append(
+                (row.path, schema)
+            )
+    names = "file_path string, file_name string"
+    rejected = spark.createDataFrame(bad, "file_name string, reason string")
+    rows = None
+    for members in groups.values():
+        paths = [own.translate(_GLOB) for own, _ in members]
+        df = spark.read.schema(members[0][1]).parquet(*paths)
+        found = {f.name: F.col(f"`{f.name}`") for f in expected}
+        part = df.select(*_readable(found, expected), _file_name(), _file_path())
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        schema = T.StructType([*expected.fields, T.StructField("unreadable", T.BooleanType())])
+        rows = spark.createDataFrame([], schema).selectExpr("*", "'' file_name", "'' file_path")
+    return Upload(rows, rejected, spark.createDataFrame(good, names))
 
 
 def read_upload(spark: SparkSession, path: str, expected: T.StructType, fmt: str = "csv") -> Upload:

@@ -69,60 +69,91 @@ class Load:
     replaced: DataFrame
 
 
-def _load(
-    target, upload, books, file_column, amount, must_be_zero, created, loaded_at: datetime | None
-) -> Load:
+@dataclass(frozen=True)
+class Judged:
+    """An upload after the gates: rows to load, every file's verdict, the accepted file names."""
+
+    accepted: DataFrame
+    files: DataFrame
+    names: DataFrame
+
+
+@dataclass(frozen=True)
+class FileKind:
+    """How the files of a fact are named and judged."""
+
+    table: str
+    file_column: str
+    amount: str
+    created: str
+    must_be_zero: bool
+
+
+TRIAL_BALANCE = FileKind("trial_balance", "tb_file_name", "tb_amount", "tb_date_create", True)
+INTERCO = FileKind("interco", "rpt_file_name", "rpt_amount", "rpt_date_create", False)
+
+
+def judged(
+    upload: Upload, books, kind: FileKind, loaded_at: datetime | None = None
+) -> Judged:
+    """Judge every file of an upload by itself: header, readable cells, open period, zero sum."""
     rows = upload.rows
     verdicts = file_verdicts(
-        rows, books.period, books.company, file_column, amount, must_be_zero, upload.files
-    )
+        rows, books.period, books.company, kind.file_column, kind.amount, kind.must_be_zero,
+        upload.files,
+    )
     key = "file_path" if "file_path" in rows.columns else "file_name"
     passed = verdicts.where(F.col("reason").isNull())
     now = F.current_timestamp() if loaded_at is None else F.lit(loaded_at)
     accepted = (
         join_hot(rows, passed.select(key), [key], "left_semi")
-        .withColumn(file_column, clean_file_name("file_name"))
+        .withColumn(kind.file_column, clean_file_name("file_name"))
         .drop("file_name", "file_path", "unreadable")
     )
-    if created not in accepted.columns:
-        accepted = accepted.withColumn(created, now.cast("timestamp_ntz"))
-    files = verdicts.select(file_column, "file_rows", "file_total", "reason")
+    if kind.created not in accepted.columns:
+        accepted = accepted.withColumn(kind.created, now.cast("timestamp_ntz"))
+    files = verdicts.select(kind.file_column, "file_rows", "file_total", "reason")
     if upload.rejected is not None:
         malformed = upload.rejected.select(
-            clean_file_name("file_name").alias(file_column), "reason"
+            clean_file_name("file_name").alias(kind.file_column), "reason"
         )
         files = files.unionByName(malformed, allowMissingColumns=True)
-    names = passed.select(file_column)
-    replaced = join_hot(target, names, [file_column], "left_semi")
-    return Load(append(delete_by_key(target, names), accepted), accepted, files, replaced)
+    return Judged(accepted, files, passed.select(kind.file_column))
+
+
+def _load(target, upload, books, kind: FileKind, loaded_at: datetime | None) -> Load:
+    new = judged(upload, books, kind, loaded_at)
+    replaced = join_hot(target, new.names, [kind.file_column], "left_semi")
+    table = append(delete_by_key(target, new.names), new.accepted)
+    return Load(table, new.accepted, new.files, replaced)
 
 
 def import_tb(books, upload: Upload, loaded_at: datetime | None = None) -> Load:
     """Load trial-balance files: header, readable cells, open period and zero sum are checked
     per file, and only then do the accepted files replace their earlier rows. Rows are stamped
     with ``loaded_at``, or else with the current time."""
-    return _load(
-        books.trial_balance, upload, books, "tb_file_name", "tb_amount", True, "tb_date_create",
-        loaded_at,
-    )
+    return _load(books.trial_balance, upload, books, TRIAL_BALANCE, loaded_at)
 
 
 def import_interco(books, upload: Upload, loaded_at: datetime | None = None) -> Load:
     """Load intercompany files: as trial balances, but they need not sum to zero."""
-    return _load(
-        books.interco, upload, books, "rpt_file_name", "rpt_amount", False, "rpt_date_create",
-        loaded_at,
-    )
+    return _load(books.interco, upload, books, INTERCO, loaded_at)
 
 
 def store_load(load: Load, path: str) -> None:
     """Write the next state of the touched periods only, in a fact stored by period.
 
     Touched are the periods of new rows and of the rows they replace. Storing the same import
-    again gives the same state. A period that would lose all its rows keeps them: a file
-    always brings rows, so this needs a file that moved to another period; delete such by name.
+    again gives the same state. This is for a folder that plain Parquet readers share, where a
+    period that loses all its rows, as its only file moves to another, cannot be emptied: such
+    an import is turned down. A `generations.Store` takes it, and makes the change at once.
     """
     touched = (
         load.accepted.select("period_code").union(load.replaced.select("period_code")).distinct()
     )
-    write_periods(join_hot(load.table, touched, ["period_code"], "left_semi"), path)
+    rows = join_hot(load.table, touched, ["period_code"], "left_semi")
+    emptied = join_hot(touched, rows.select("period_code").distinct(), ["period_code"], "left_anti")
+    gone = [row[0] for row in emptied.limit(3).collect()]
+    if gone:
+        raise ValueError(f"files moved and left periods without rows, as {gone}: use a Store")
+    write_periods(rows, path)

@@ -105,7 +105,7 @@ def _insert_if_absent(spark, sf):
     )
 
 
-def _upload(df, name, file_column, amount):
+def doubled_upload(df, name, file_column, amount):
     """Stored rows as new files: doubled; a unit too much in each row of companies C.3; and
     the files of companies C.7 turned away for their header."""
     company = F.col("company_code")
@@ -124,12 +124,12 @@ def _upload(df, name, file_column, amount):
 
 def _tb_load(spark, sf):
     b = books(spark, sf)
-    return store.import_tb(b, _upload(b.trial_balance, "TB[", "tb_file_name", "tb_amount"))
+    return store.import_tb(b, doubled_upload(b.trial_balance, "TB[", "tb_file_name", "tb_amount"))
 
 
 def _interco_load(spark, sf):
     b = books(spark, sf)
-    return store.import_interco(b, _upload(b.interco, "RPT[", "rpt_file_name", "rpt_amount"))
+    return store.import_interco(b, doubled_upload(b.interco, "RPT[", "rpt_file_name", "rpt_amount"))
 
 
 def _import_tb(spark, sf):
@@ -328,7 +328,7 @@ v as (
          case when company_code like '%7' then 'bad_header' when not bool_and(is_open) then 'period_not_open'
               {zero} end as reason
   from uploaded group by company_code, period_code)"""
-_TB_VERDICTS = "with " + _VERDICTS.strip().format(
+TB_VERDICTS = "with " + _VERDICTS.strip().format(
     amount="t.tb_amount", open=_OPEN_ROW, table="fx_tb", name="TB", column="tb_file_name",
     zero="when sum(amount) <> 0 then 'not_zero_sum'")
 _RPT_VERDICTS = "with " + _VERDICTS.strip().format(
@@ -389,15 +389,15 @@ select company_code, period_code, count(*) as row_count, cast(sum(tb_amount) as
 from (select company_code, period_code, account_code, tb_amount from fx_tb
       union all select company_code, period_code, account_code, tb_amount from added)
 group by company_code, period_code""", "fx_tb", "fx_interco"),
-    "import_tb": with_tables(_TB_VERDICTS + """,
+    "import_tb": with_tables(TB_VERDICTS + """,
 now as (
   select t.tb_file_name, case when v.reason is null then 2 * t.tb_amount else t.tb_amount end as tb_amount
   from fx_tb t join v on t.tb_file_name = v.tb_file_name)
 select tb_file_name, count(*) as row_count, cast(sum(tb_amount) as double) as amount_sum,
        cast(sum(abs(tb_amount)) as double) as absolute_sum
 from now group by tb_file_name""", "fx_tb", "fx_period", "fx_company"),
-    "import_tb_files": with_tables(_TB_VERDICTS + " select * from v", "fx_tb", "fx_period", "fx_company"),
-    "import_tb_rejected": with_tables(_TB_VERDICTS + """
+    "import_tb_files": with_tables(TB_VERDICTS + " select * from v", "fx_tb", "fx_period", "fx_company"),
+    "import_tb_rejected": with_tables(TB_VERDICTS + """
 select reason, count(*) as file_count from v where reason is not null group by reason""",
                                       "fx_tb", "fx_period", "fx_company"),
     "import_interco_files": with_tables(

@@ -38,37 +38,40 @@ m as (
   left join fx_coa a on a.company_code = x.company_code and a.account_code = x.account_code
   left join fx_fsgroup g on g.company_code = c.parent_company and g.wk_group_row = a.wk_group_row)"""
 
+#: The mapping alone, of any long fact `x`.
+MAPPED = _MAPPED[_MAPPED.index("m as (") :]
+
 _FACT_TABLES = ("fx_company", "fx_coa", "fx_fsgroup", "fx_tb", "fx_interco", "fx_jheader", "fx_journal")
-_WK = "account_type, account_subtype, wk_group_row, wk_group_name"
-_FS = "account_type, account_subtype, fs_group_row, fs_group_name"
-_ONE = "parent_company = 'C00' and period_code = 'Q1_1997'"
+WK = "account_type, account_subtype, wk_group_row, wk_group_name"
+FS = "account_type, account_subtype, fs_group_row, fs_group_name"
+ONE = "parent_company = 'C00' and period_code = 'Q1_1997'"
 
 
-def _mapped(select: str) -> str:
+def statement_sql(select: str) -> str:
     return with_tables(f"with {_MAPPED.strip()}\n{select.strip()}", *_FACT_TABLES)
 
 
-def _report_measures(sign: str) -> str:
+def report_measures(sign: str) -> str:
     return f"""
     cast({sign}sum(case when company_code = parent_company then tb + recl else 0 end) as double) as separate_fs,
     cast({sign}sum(tb + rpt + recl + te) as double) as consolidated_fs"""
 
 
 def _report_sql(types: str, sign: str) -> str:
-    return _mapped(f"""
-select {_FS}, {_report_measures(sign)} from m
-where {_ONE} and account_type in {types} group by {_FS}
+    return statement_sql(f"""
+select {FS}, {report_measures(sign)} from m
+where {ONE} and account_type in {types} group by {FS}
 union all
-select '', '', '', 'Total', {_report_measures(sign)} from m
-where {_ONE} and account_type in {types}""")
+select '', '', '', 'Total', {report_measures(sign)} from m
+where {ONE} and account_type in {types}""")
 
 
 def _report_all_sql(types: str, sign: str) -> str:
-    return _mapped(f"""
-select parent_company, period_code, {_FS}, {_report_measures(sign)} from m
-where account_type in {types} group by parent_company, period_code, {_FS}
+    return statement_sql(f"""
+select parent_company, period_code, {FS}, {report_measures(sign)} from m
+where account_type in {types} group by parent_company, period_code, {FS}
 union all
-select parent_company, period_code, '', '', '', 'Total', {_report_measures(sign)} from m
+select parent_company, period_code, '', '', '', 'Total', {report_measures(sign)} from m
 where account_type in {types} group by parent_company, period_code""")
 
 
@@ -80,26 +83,26 @@ def _working_measures(sign: str) -> str:
     cast({sign}sum(tb + rpt + recl + te) as double) as total_conso"""
 
 
-def _working_sql(types: str, sign: str, total: bool) -> str:
+def working_sql(types: str, sign: str, total: bool) -> str:
     columns = ",\n    ".join(
         f"cast({sign}sum(case when company_code = '{c}' then tb + recl else 0 end) as double) as {c}"
         for c in GROUP_CODES[PARENT]
     )
     rows = f"""
-select {_WK}, {columns}, {_working_measures(sign)} from m
-where {_ONE} and account_type in {types} group by {_WK}"""
+select {WK}, {columns}, {_working_measures(sign)} from m
+where {ONE} and account_type in {types} group by {WK}"""
     if total:
         rows += f"""
 union all
 select '', '', '', 'Total', {columns}, {_working_measures(sign)} from m
-where {_ONE} and account_type in {types}"""
-    return _mapped(rows)
+where {ONE} and account_type in {types}"""
+    return statement_sql(rows)
 
 
 def _working_long_sql(types: str, sign: str) -> str:
-    return _mapped(f"""
-select parent_company, period_code, {_WK}, company_code, {_working_measures(sign)} from m
-where account_type in {types} group by parent_company, period_code, {_WK}, company_code""")
+    return statement_sql(f"""
+select parent_company, period_code, {WK}, company_code, {_working_measures(sign)} from m
+where account_type in {types} group by parent_company, period_code, {WK}, company_code""")
 
 
 _RPT = """
@@ -116,18 +119,18 @@ r as (
 _RPT_TABLES = ("fx_company", "fx_coa", "fx_fsgroup", "fx_interco")
 
 
-def _rpt_sql(total: bool) -> str:
+def rpt_sql(total: bool) -> str:
     columns = ",\n    ".join(
         f"cast(sum(case when company_code = '{c}' then rpt_amount else 0 end) as double) as {c}"
         for c in GROUP_CODES[PARENT]
     )
     measure = "cast(sum(rpt_amount) as double) as total_rpt"
     rows = f"""
-select {_WK}, rpt_interco_code, {columns}, {measure} from r where {_ONE}
-group by {_WK}, rpt_interco_code"""
+select {WK}, rpt_interco_code, {columns}, {measure} from r where {ONE}
+group by {WK}, rpt_interco_code"""
     if total:
         rows += f"""
-union all select '', '', '', 'Total', '', {columns}, {measure} from r where {_ONE}"""
+union all select '', '', '', 'Total', '', {columns}, {measure} from r where {ONE}"""
     return with_tables(f"with {_RPT.strip()}\n{rows.strip()}", *_RPT_TABLES)
 
 
@@ -310,33 +313,33 @@ SQL = {
     "report_pl": _report_sql(PL, "-"),
     "report_bs_all": _report_all_sql(BS, ""),
     "report_pl_all": _report_all_sql(PL, "-"),
-    "report_bs_display": _mapped(f"""
+    "report_bs_display": statement_sql(f"""
 select account_type as "Account type", account_subtype as "Account subtype",
        fs_group_row as "FS group row", fs_group_name as "FS group name",
        format('{{:,.2f}}', separate_fs) as "Separate FS",
        format('{{:,.2f}}', consolidated_fs) as "Consolidated FS"
 from (
-  select {_FS}, {_report_measures('')} from m
-  where {_ONE} and account_type in {BS} group by {_FS}
+  select {FS}, {report_measures('')} from m
+  where {ONE} and account_type in {BS} group by {FS}
   union all
-  select '', '', '', 'Total', {_report_measures('')} from m
-  where {_ONE} and account_type in {BS})"""),
-    "working_bs": _working_sql(BS, "", total=False),
-    "working_bs_total": _working_sql(BS, "", total=True),
-    "working_pl": _working_sql(PL, "-", total=True),
+  select '', '', '', 'Total', {report_measures('')} from m
+  where {ONE} and account_type in {BS})"""),
+    "working_bs": working_sql(BS, "", total=False),
+    "working_bs_total": working_sql(BS, "", total=True),
+    "working_pl": working_sql(PL, "-", total=True),
     "working_bs_long": _working_long_sql(BS, ""),
     "working_pl_long": _working_long_sql(PL, "-"),
-    "rpt_result": _rpt_sql(total=False),
-    "rpt_result_total": _rpt_sql(total=True),
+    "rpt_result": rpt_sql(total=False),
+    "rpt_result_total": rpt_sql(total=True),
     "rpt_result_long": with_tables(f"""
 with {_RPT.strip()}
-select parent_company, period_code, {_WK}, rpt_interco_code, company_code,
+select parent_company, period_code, {WK}, rpt_interco_code, company_code,
        cast(sum(rpt_amount) as double) as total_rpt
-from r group by parent_company, period_code, {_WK}, rpt_interco_code, company_code""", *_RPT_TABLES),
-    "map_accounts": _mapped(f"""
+from r group by parent_company, period_code, {WK}, rpt_interco_code, company_code""", *_RPT_TABLES),
+    "map_accounts": statement_sql(f"""
 select parent_company, company_code, account_code, {_GROUPS}, {_MEASURES}
 from m group by parent_company, company_code, account_code, {_GROUPS}"""),
-    "unmapped_accounts": _mapped(f"""
+    "unmapped_accounts": statement_sql(f"""
 select parent_company, company_code, account_code, {_GROUPS}, {_MEASURES}
 from m where account_type = 'n/a group' group by parent_company, company_code, account_code, {_GROUPS}"""),
     "journal_facts": with_tables("""
@@ -350,7 +353,7 @@ select h.journal_no, h.period_code, h.company_code, h.journal_type, l.account_co
 from fx_jheader h
 left join (select * from fx_journal where journal_no in (select journal_no from balanced)) l
   on h.journal_no = l.journal_no""", "fx_jheader", "fx_journal"),
-    "outer_on_group": _mapped(f"""
+    "outer_on_group": statement_sql(f"""
 select coalesce(t.wk_group_row, r.wk_group_row) as wk_group_row,
        coalesce(t.wk_group_name, r.wk_group_name) as wk_group_name,
        coalesce(t.fs_group_row, r.fs_group_row) as fs_group_row,
@@ -395,7 +398,7 @@ from fx_tb group by account_code, period_code, company_code""", "fx_tb"),
 select account_code, period_code, rpt_interco_code, company_code, {_by_code('rpt_amount', COMPANY_CODES)},
        cast(sum(rpt_amount) as double) as total_rpt
 from fx_interco group by account_code, period_code, rpt_interco_code, company_code""", "fx_interco"),
-    "pivot_reclass": _mapped(f"""
+    "pivot_reclass": statement_sql(f"""
 select account_code, {_GROUPS}, {_by_code('recl', GROUP_CODES[PARENT])}
 from m where parent_company = 'C00' and (company_code, account_code) in (
   select (h.company_code, l.account_code) from fx_jheader h join fx_journal l on h.journal_no = l.journal_no)
@@ -408,8 +411,8 @@ select h.company_code, h.period_code,
             as double) as take_eq_amount
 from fx_jheader h join fx_journal l on h.journal_no = l.journal_no
 group by h.company_code, h.period_code""", "fx_jheader", "fx_journal"),
-    "rollup_wk": _mapped(f"select {_WK}, {_MEASURES} from m group by {_WK}"),
-    "consolidate_by_company": _mapped(f"""
+    "rollup_wk": statement_sql(f"select {WK}, {_MEASURES} from m group by {WK}"),
+    "consolidate_by_company": statement_sql(f"""
 select company_code, period_code, {_MEASURES},
        cast(sum(tb + recl) as double) as total_separate,
        cast(sum(tb + rpt + recl + te) as double) as total_conso

@@ -11,7 +11,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQL = entry.oracle_sql()
 QUERIES = {
     name: query
-    for part in (entry.statements, entry.loads, entry.journals, entry.admin)
+    for part in (entry.statements, entry.loads, entry.journals, entry.admin, entry.stores, entry.checks)
     for name, query in part.QUERIES.items()
 }
 

@@ -17,7 +17,7 @@ from ledgerfold.sources.store import delete_by_key
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES = {
     name: query
-    for part in (entry.statements, entry.loads, entry.journals, entry.admin)
+    for part in (entry.statements, entry.loads, entry.journals, entry.admin, entry.stores, entry.checks)
     for name, query in part.QUERIES.items()
 }
 

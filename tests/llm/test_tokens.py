@@ -172,3 +172,42 @@ def test_written_sequences_hold_the_ids_of_all_documents(spark, tmp_path):
     for k, text in texts.items():
         ids = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(own[k], "<u4").tolist() == [*ids, packing.END_ID]
+
+
+@pytest.mark.parametrize("records", [1, 7, 512])
+def test_a_table_is_shuffled_alike_by_any_number_of_tasks(spark, tmp_path, records):
+    names = ["_id", "_n", "_record", "_bucket", "_place", "shard", "_at"]
+    docs = spark.range(0, 300, 1, 3).selectExpr("if(id % 3 = 0, 1, id) as doc_id", *[f"'x' as {n}" for n in names])
+    docs.write.parquet(str(tmp_path / "t"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
+    found = []
+    try:
+        for tasks, size in ((4, "128m"), (7, "1k"), (50, "300b")):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            out = sharding.shuffled_table(spark.read.parquet(str(tmp_path / "t")), shards=4, records=records)
+            assert set(out.columns) == {"doc_id", *names, "law", "slot", "grown_shard"}
+            found.append(sorted((r.shard, r.slot, r.doc_id, r._id) for r in out.collect()))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] == found[2]
+    assert [(s, k) for s, k, *_ in found[0]] == [(s, k) for s in range(4) for k in range(75)]
+    assert sorted(d for *_, d, _ in found[0]) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_orders_are_permutations_and_hang_on_seed_and_bucket(spark):
+    from pyspark.sql import functions as F
+
+    sizes = spark.range(2_000).selectExpr("id as b", "cast(id % 6 as bigint) as n")
+    orders = sizes.select("n", sharding.fisher_yates(F.col("n"), F.col("b"), 5).alias("o")).collect()
+    assert all(sorted(r.o) == list(range(r.n)) for r in orders if r.n)
+    threes = collections.Counter(tuple(r.o) for r in orders if r.n == 3)
+    assert len(threes) == 6 and min(threes.values()) > 30  # 333 of 6 kinds
+    again = sizes.repartition(3).select(F.col("b"), sharding.fisher_yates(F.col("n"), F.col("b"), 5).alias("o"))
+    assert [r.o for r in again.orderBy("b").collect()] == [r.o for r in orders]
+
+
+def test_an_empty_table_has_no_shards(spark, tmp_path):
+    empty(spark).select("doc_id", "text").write.parquet(str(tmp_path / "t"))
+    assert sharding.shuffled_table(spark.read.parquet(str(tmp_path / "t"))).isEmpty()

@@ -19,6 +19,7 @@ often as they come. An empty table gives no rows.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -38,8 +39,8 @@ from ledgerfold.llm.common import documents, stored, with_offsets
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 0
-#: Words, and matches, kept by a Python worker; beyond it a cache starts anew.
-CACHE = 400_000
+#: Words, and matches within words, kept by a Python worker, in about 150 MB.
+WORDS, MATCHES = 400_000, 800_000
 #: Pieces of one length are numbered in buckets of about so many.
 BUCKET = 20_000
 #: Exact patterns tried for each longest length.
@@ -57,6 +58,36 @@ _STOPS = ",.;:!?"
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all characters are of Latin-1."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class _Memory(dict):
+    """Results by key, computed where missing, the recent ones kept: when it is full, what it
+    holds becomes the former half, and is taken over from there as it is asked for again."""
+
+    def __init__(self, compute, most: int):
+        super().__init__()
+        self.compute, self.most, self.former = compute, most // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.former.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(self) >= self.most:
+            self.former = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Words:
     """Ids of texts, word by word: the vocabulary drops white space, so words stand alone.
 
@@ -71,46 +102,33 @@ class Words:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.shown = dict(enumerate(byte_characters()))
-        self.known: dict[str, bytes] = {}
-        self.matched: dict[str, bytes] = {}
+        self.known = _Memory(self._word, WORDS)
+        self.matched = _Memory(self._match, MATCHES)
+
+    def _match(self, own: str) -> bytes:
+        plain = own.isascii() and own.isalnum()  # the byte table leaves these as they are
+        shown = own if plain else own.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if len(word) > 1_000 or max(word, default="") > "\xff":
+        if len(word) > 1_000 or not _is_latin(word):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
-        small, out = word.lower(), []
+            return array("I", ids).tobytes()
+        small = word.lower()
         letters = small.rstrip(_STOPS)
-        stops = small[len(letters) :]
         if letters.isalpha():
-            matches = [letters, stops] if stops else [letters]
-        else:
-            matches = _MATCHES(small)
-        for own in matches:
-            ids = self.matched.get(own)
-            if ids is None:
-                if len(self.matched) > CACHE:
-                    self.matched.clear()
-                shown = own.encode().decode("latin-1").translate(self.shown)
-                ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-                self.matched[own] = ids
-            out.append(ids)
-        return b"".join(out)
+            ids = self.matched[letters]
+            return ids if len(letters) == len(small) else ids + self.matched[small[len(letters) :]]
+        return b"".join(map(self.matched.__getitem__, _MATCHES(small)))
 
     def text(self, text: str | None) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
-        if text.isascii():  # lower case is part of the vocabulary's own normalization
+        if _is_latin(text):  # lower case is part of the vocabulary's own normalization
             text = text.lower()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, out = self.known, []
-        for word in text.split(" "):
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self._word(word)
-            out.append(ids)
-        return b"".join(out)
+        # any white space parts words; lines are the most frequent after spaces
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)

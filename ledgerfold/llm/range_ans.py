@@ -2,7 +2,7 @@
 
 `write_tokens` tokenizes documents in ascending doc_id order and writes a folder:
 
-- `table`: how often each id occurs among all documents, scaled to a sum of 2**20 and never below
+- `table`: how often each id occurs among all documents, scaled to a sum of 2**18 and never below
   1. It is shared by all blocks, and every block names its checksum.
 - `blocks`: a row for each block of at most 16,384 ids. A block holds whole documents, or one
   part of a longer document, with the places of these among the ids of all documents. Its
@@ -38,7 +38,9 @@ from ledgerfold.llm.packing import VOCABULARY, words
 
 END_ID = 2
 #: Frequencies sum to 2**BITS.
-BITS = 20
+BITS = 18
+#: Bits of an id, of a frequency and of a place among the slots of an id, packed into one word.
+FIELD = 20
 #: Coders of a block, ids of a block, and turns between two checkpoints.
 LANES, BLOCK, CHECKPOINT = 32, 16_384, 256
 #: Blocks coded side by side in a task.
@@ -50,6 +52,8 @@ HEADER = struct.Struct("<4sBBIIIII")
 LOW = np.uint64(1 << 31)
 
 TOKENS = "part int, doc_id long, start long, n_tokens long, ids binary"
+#: The `start` of a part's last row, whose `ids` are pairs of an id and how often the part has it.
+COUNTS = -1
 BLOCKS = (
     "start long, n_tokens int, whole boolean, doc_ids array<bigint>, doc_starts array<bigint>,"
     " doc_tokens array<bigint>, payload binary"
@@ -62,19 +66,21 @@ class Table:
 
     def __init__(self, frequencies: np.ndarray, bits: int = BITS):
         self.frequencies = np.ascontiguousarray(frequencies, "<u4")
+        if bits >= FIELD or len(self.frequencies) > 1 << FIELD:
+            raise ValueError(f"ids and frequencies are held in {FIELD} bits")
         self.bits = bits
         self.checksum = zlib.crc32(self.frequencies.tobytes())
         self.filler = int(self.frequencies.argmax()) if len(self.frequencies) else 0
         self.wide = self.frequencies.astype(np.uint64)
         self.first = np.cumsum(self.wide, dtype=np.uint64) - self.wide
-        self._slots: tuple[np.ndarray, np.ndarray] | None = None
+        self._slots: np.ndarray | None = None
 
-    def slots(self) -> tuple[np.ndarray, np.ndarray]:
-        """The id of each slot of the range, and the slot's place among those of its id."""
+    def slots(self) -> np.ndarray:
+        """For each slot of the range: its id, its place among the id's slots, their number."""
         if self._slots is None:
-            ids = np.repeat(np.arange(len(self.frequencies), dtype=np.int32), self.frequencies)
+            ids = np.repeat(np.arange(len(self.frequencies), dtype=np.uint64), self.frequencies)
             places = np.arange(len(ids), dtype=np.uint64) - self.first[ids]
-            self._slots = ids, places
+            self._slots = ids | places << np.uint64(FIELD) | self.wide[ids] << np.uint64(2 * FIELD)
         return self._slots
 
 
@@ -119,15 +125,14 @@ def encode_blocks(blocks: list[np.ndarray], table: Table) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda b: -turns[b])
     most = turns[order[0]]
     shape = (most, len(blocks), LANES)
-    ids = np.full(shape, table.filler, np.int64)
+    ids = np.full(shape, table.filler, np.int32)
     for row, b in enumerate(order):
-        own = np.full(turns[b] * LANES, table.filler, np.int64)
+        own = np.full(turns[b] * LANES, table.filler, np.int32)
         own[: len(blocks[b])] = blocks[b]
         ids[: turns[b], row] = own.reshape(-1, LANES)
-    f, first = table.wide[ids], table.first[ids]
-    if not f.all():
+    if ids.max() >= len(table.wide) or not table.wide[ids].all():
         raise ValueError("an id has no frequency in the table")
-    limit = f << np.uint64(63 - table.bits)
+    free = np.uint64(63 - table.bits)
     words_, given = np.zeros(shape, np.uint32), np.zeros(shape, bool)
     x = np.full(shape[1:], LOW, np.uint64)
     active = [sum(turns[b] > t for b in order) for t in range(most)]
@@ -135,13 +140,13 @@ def encode_blocks(blocks: list[np.ndarray], table: Table) -> list[bytes]:
     checkpoints: dict[int, np.ndarray] = {}
     for t in range(most - 1, -1, -1):
         k = active[t]
-        own, by = x[:k], f[t, :k]
-        large = own >= limit[t, :k]
+        own, by = x[:k], table.wide[ids[t, :k]]
+        large = own >> free >= by
         words_[t, :k] = own.astype(np.uint32)  # the lower half
         given[t, :k] = large
         own = np.where(large, own >> half, own)
         q = own // by
-        x[:k] = (q << bits) + (own - q * by) + first[t, :k]
+        x[:k] = (q << bits) + (own - q * by) + table.first[ids[t, :k]]
         if t % CHECKPOINT == 0:
             checkpoints[t] = x.copy()
     out: list[bytes] = [b""] * len(blocks)
@@ -185,7 +190,7 @@ class _Block:
 
 def _decode_parts(parts: list[tuple[_Block, int]], table: Table) -> list[np.ndarray]:
     """The ids between one checkpoint and the next, for many checkpoints side by side."""
-    slot_ids, places = table.slots()
+    slots = table.slots()
     turns = [block.turns[k] for block, k in parts]
     order = sorted(range(len(parts)), key=lambda i: -turns[i])
     lists: dict[int, int] = {}
@@ -202,11 +207,13 @@ def _decode_parts(parts: list[tuple[_Block, int]], table: Table) -> list[np.ndar
     active = np.searchsorted(-np.array([turns[i] for i in order]), -np.arange(most), "left")
     out = np.empty((most, len(parts), LANES), np.int32)
     bits, half, mask = np.uint64(table.bits), np.uint64(32), np.uint64((1 << table.bits) - 1)
+    field, fields = np.uint64(FIELD), np.uint64(2 * FIELD)
+    lowest = np.uint64((1 << FIELD) - 1)
     for t in range(most):
         k = active[t]
-        slot = (x[:k] & mask).astype(np.int64)
-        ids = out[t, :k] = slot_ids[slot]
-        own = table.wide[ids] * (x[:k] >> bits) + places[slot]
+        found_ = slots[(x[:k] & mask).view(np.int64)]
+        out[t, :k] = found_ & lowest
+        own = (found_ >> fields) * (x[:k] >> bits) + ((found_ >> field) & lowest)
         small = own < LOW
         taken = small.cumsum(axis=1)
         ahead = np.minimum(at[:k, None] + taken - small, len(stream) - 1)
@@ -246,7 +253,8 @@ def decode_range(payload: bytes, table: Table, first: int, last: int) -> np.ndar
 def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Documents in ascending order over numbered parts, with ids and places within their part.
 
-    `ids` are little-endian 32-bit integers, the end id last. Equal keys are told apart by the
+    `ids` are little-endian 32-bit integers, the end id last. A last row of each part holds its
+    counts (see `COUNTS`), so that no further pass has to read the ids for them. Equal keys are told apart by the
     text's hash and by the place of reading, so that no key is too large for a part.
     """
     path = path or public_tokenizers.path(VOCABULARY)
@@ -254,18 +262,27 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     names = [name.split()[0] for name in TOKENS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = 0
+        start, part, total = 0, None, np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
+                part = rows.column(0).slice(0, 1)
                 ids = [words(path).text(text) + end for text in rows.column(2).to_pylist()]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 places = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
+                n = np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=len(total))
+                n[: len(total)] += total
+                total = n
                 columns = [rows.column(0), rows.column(1), pa.array(places), pa.array(sizes)]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(ids, pa.binary())], names=names
                 )
+        if part is not None:
+            there = np.flatnonzero(total)
+            pairs = np.stack([there, total[there]], axis=1).astype("<i8").tobytes()
+            own = [pa.nulls(1, pa.int64()), pa.array([COUNTS], pa.int64()), pa.array([0], pa.int64())]
+            yield pa.RecordBatch.from_arrays([part, *own, pa.array([pairs], pa.binary())], names=names)
 
     keys = ["doc_id", "_hash", "_at"]
     return (
@@ -283,24 +300,23 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
 
 
 def counted(tokens: DataFrame) -> DataFrame:
-    """How often each id occurs; every task hands on a row for each of its ids."""
+    """How often each id occurs, from the parts' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                data = b"".join(batch.column(0).slice(at, 512).to_pylist())
-                n = np.bincount(np.frombuffer(data, "<u4"), minlength=len(total))
-                n[: len(total)] += total
+            for data in batch.column(0).to_pylist():
+                pairs = np.frombuffer(data, "<i8").reshape(-1, 2)
+                n = np.zeros(max(len(total), int(pairs[-1, 0]) + 1), np.int64)
+                n[: len(total)] = total
+                n[pairs[:, 0]] += pairs[:, 1]
                 total = n
         there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(there, pa.int32()), pa.array(total[there], pa.int64())], names=["id", "n"]
-        )
+        columns = [pa.array(there, pa.int32()), pa.array(total[there])]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(
-        F.sum("n").alias("n")
-    )
+    rows = tokens.where(F.col("start") == COUNTS).select("ids").mapInArrow(run, "id int, n long")
+    return rows.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def blocked(
@@ -359,7 +375,7 @@ def blocked(
         if ready:
             yield coded()
 
-    return tokens.mapInArrow(run, BLOCKS)
+    return tokens.where(F.col("start") != COUNTS).mapInArrow(run, BLOCKS)
 
 
 def write_tokens(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.operators.facts import journal_fact, long_fact
 from ledgerfold.operators.joins import join_hot
-from ledgerfold.operators.journals import NUMBER_MARK, Posting, last_numbers, post_journals
+from ledgerfold.operators.journals import Posting, last_numbers, post_journals, update_journals
 from ledgerfold.operators.mapping import map_to_groups
 from ledgerfold.operators.scope import companies_under, in_period
 from ledgerfold.schemas import TABLES
@@ -28,6 +28,7 @@ from ledgerfold.sources.store import (
     TRIAL_BALANCE,
     FileKind,
     append,
+    cascade_delete,
     delete_by_key,
     judged,
 )
@@ -111,16 +112,20 @@ def import_files(
     """Load files: those accepted take the place of their earlier rows, in whichever periods.
 
     Where a file was stored before is looked up in the ledger, and only those periods and the
-    new rows' are read and written. Files that are stored with the same rows already are left
-    as they are; if that is all of them, nothing is written.
+    new rows' are read and written. Accepted rows are put aside in the store's `staged` folder
+    first, so that an upload is read and judged once. Files that are stored with the same rows
+    already are left as they are; if that is all of them, nothing is written.
     """
     spark, column = store.spark, kind.file_column
+    change = store.begin(books.company)
     verdict = judged(upload, books, kind, loaded_at)
     staged = f"{store.root}/staged/{uuid.uuid4().hex}"
     verdict.accepted.write.parquet(staged)
     accepted = spark.read.schema(verdict.accepted.schema).parquet(staged)
     fresh = file_periods(accepted, kind)
-    known = store.files(kind.table).select("file_name", F.col("periods").alias("_before"))
+    known = store.files(kind.table, change.version - 1).select(
+        "file_name", F.col("periods").alias("_before")
+    )
     changed = join_hot(fresh, known, ["file_name"], "left").where(
         F.col("_before").isNull() | (F.col("_before") != F.col("periods"))
     )
@@ -132,7 +137,6 @@ def import_files(
     if not periods:
         return StoredLoad(None, verdict.files, ())
     names = changed.select(F.col("file_name").alias(column))
-    change = store.begin(books.company)
     new = join_hot(accepted, names, [column], "left_semi")
     change.replace(kind.table, next_rows(change, kind, names, periods, new), periods)
     change.files(changed.withColumn("table_name", F.lit(kind.table)))
@@ -142,13 +146,15 @@ def import_files(
 
 def delete_files(store: Store, books, kind: FileKind, *file_names: str) -> int | None:
     """Remove files by name, from whichever periods hold them; None where none is stored."""
-    found = store.files(kind.table).where(F.col("file_name").isin(*file_names))
+    change = store.begin(books.company)
+    found = store.files(kind.table, change.version - 1).where(
+        F.col("file_name").isin(*file_names)
+    )
     periods = [
         row[0] for row in found.select(F.explode("periods.period_code")).distinct().collect()
     ]
     if not periods:
         return None
-    change = store.begin(books.company)
     names = found.select(F.col("file_name").alias(kind.file_column))
     change.replace(kind.table, next_rows(change, kind, names, periods), periods)
     gone = found.select(
@@ -171,11 +177,11 @@ def post_batch(
     """
     if store.holds(batch):
         return None
-    marks = store.table("journal_marks").groupBy("parent_company_code").agg(
+    change = store.begin(books.company)
+    marks = change.table("journal_marks").groupBy("parent_company_code").agg(
         F.max("last_number").alias("last_number")
     )
     posting = post_journals(headers, lines, None, order_key, marks=marks, **options)
-    change = store.begin(books.company)
     change.add("journal_header", posting.headers)
     change.add("journal_line", posting.lines)
     own = {
@@ -190,6 +196,45 @@ def post_batch(
     return posting
 
 
+def _journal_periods(change: Change, numbers: DataFrame) -> list:
+    """The periods of some journals, by their headers."""
+    named = numbers.select("journal_no").distinct()
+    found = join_hot(change.table("journal_header"), named, ["journal_no"], "left_semi")
+    return [row[0] for row in found.select("period_code").distinct().collect()]
+
+
+def replace_lines(store: Store, books, batch: DataFrame) -> int | None:
+    """Replace the lines of stored journals, those that balance; None where none is stored.
+
+    Only the journals' periods are read and written.
+    """
+    change = store.begin(books.company)
+    periods = _journal_periods(change, batch)
+    if not periods:
+        return None
+    lines, headers = (change.table(n, periods) for n in ("journal_line", "journal_header"))
+    change.replace("journal_line", update_journals(lines, batch, headers), periods)
+    _refresh(change, books, periods)
+    return change.commit()
+
+
+def delete_journals(store: Store, books, numbers: DataFrame) -> int | None:
+    """Remove journals with their lines; their numbers are not given again."""
+    change = store.begin(books.company)
+    periods = _journal_periods(change, numbers)
+    if not periods:
+        return None
+    headers, lines = cascade_delete(
+        change.table("journal_header", periods),
+        change.table("journal_line", periods),
+        numbers.select("journal_no"),
+    )
+    change.replace("journal_header", headers, periods)
+    change.replace("journal_line", lines, periods)
+    _refresh(change, books, periods)
+    return change.commit()
+
+
 def kept_fact(books: StoredBooks, parent: str | None = None, period: str | None = None) -> DataFrame:
     """The account-level sums with their groups: pass it to a statement as ``fact=``.
 
@@ -216,7 +261,3 @@ def of_tenant(books, parent: str | None):
     codes = sorted(row[0] for row in rows.collect() if row[0] is not None)
     return books if len(codes) > LISTED else with_codes(books, codes)
 
-
-def numbers_of(journal_no: Column) -> Column:
-    """The running number within a journal's number."""
-    return F.substring_index(journal_no, NUMBER_MARK, -1).try_cast("bigint")

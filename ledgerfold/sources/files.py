@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,15 +117,18 @@ def read_csv_upload(
 
 
 _NO_CELL = (T.StructType, T.ArrayType, T.MapType, T.BinaryType, T.VariantType)
+_NO_FOOTER = ("CANNOT_READ_FILE_FOOTER", "is not a Parquet file", "UNABLE_TO_INFER_SCHEMA")
 _GLOB = str.maketrans({c: f"\\{c}" for c in "\\{}[]*?"})
 
 
 def _schema_of(spark: SparkSession, path: str) -> T.StructType | None:
-    """A Parquet file's own schema, from its footer; None if it has none."""
+    """A Parquet file's own schema, from its footer; None if the file is no Parquet."""
     try:
         return spark.read.parquet(path.translate(_GLOB)).schema
-    except PySparkException:
-        return None
+    except (PySparkException, Py4JJavaError) as error:
+        if any(reason in str(error) for reason in _NO_FOOTER):
+            return None
+        raise
 
 
 def read_parquet_upload(spark: SparkSession, path: str, expected: T.StructType) -> Upload:

@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerfold.operators import quality, rules
+from ledgerfold.operators import contains, quality, rules
 from ledgerfold.operators.journals import post_journals
 from ledgerfold.operators.numbering import with_position
 from ledgerfold.operators.shaping import has_rows, label
@@ -203,7 +203,20 @@ def _journals_bucketed(spark, sf):
     return plain(found.select("journal_no", "company_code", "line_count", "sum_debit", "sum_credit"))
 
 
+def _indexed(table, key, column, text):
+    def query(spark, sf):
+        df = getattr(books(spark, sf), table)
+        path = scratch(spark, "pieces")
+        contains.write_index(df, path, key, [column])
+        return contains.search(df, path, key, column, text).select(key, column)
+
+    return query
+
+
 QUERIES = {
+    "search_log_indexed": _indexed("admin_log", "id", "change_message", '"K": 8'),
+    "search_journals_indexed": _indexed("journal_header", "journal_no", "journal_description", "der 12"),
+    "search_users_indexed": _indexed("user", "user_id", "email", "0"),
     "report_bs_positions": _report_bs_positions,
     "upload_summary_positions": _upload_summary_positions,
     "period_positions": _period_positions,
@@ -339,6 +352,13 @@ _CHECKS = [
 ]
 
 SQL = {
+    "search_log_indexed": with_tables("""
+select id, change_message from fx_admin_log where contains(lower(change_message), '"k": 8')""", "fx_admin_log"),
+    "search_journals_indexed": with_tables("""
+select journal_no, journal_description from fx_jheader
+where contains(lower(journal_description), 'der 12')""", "fx_jheader"),
+    "search_users_indexed": with_tables(
+        "select user_id, email from fx_user where contains(email, '0')", "fx_user"),
     "report_bs_positions": statement_sql(f"""
 select *, row_number() over (order by fs_group_row, fs_group_name, account_type, account_subtype) as position
 from (select {FS}, {report_measures('')} from m where {ONE} and account_type in {BS} group by {FS})"""),

@@ -109,7 +109,27 @@ def _maintained(statement, parent=None, period=None):
     return query
 
 
+def _journal_changes(spark, sf):
+    """Stored journals of one period with debit and credit exchanged, some of another deleted."""
+    store = stored(spark, sf)
+    b = books(spark, sf)
+    lines = store.table("journal_line").where(F.col("period_code") == "Q4_1996").drop("period_code")
+    exchanged = lines.withColumns({"debit": F.col("credit"), "credit": F.col("debit")})
+    bk.replace_lines(store, b, exchanged)
+    gone = store.table("journal_header").where(
+        (F.col("period_code") == "Q3_1996") & F.col("journal_no").endswith("1")
+    )
+    bk.delete_journals(store, b, gone)
+    return plain(
+        store.table("account_fact")
+        .where(F.col("source").isin("recl", "te"))
+        .groupBy("period_code", "company_code", "source")
+        .agg(F.sum("amount").alias("amount"), F.sum(F.abs("amount")).alias("absolute"))
+    )
+
+
 QUERIES = {
+    "journal_changes_stored": _journal_changes,
     "import_ledger": _import_ledger,
     "import_moved_files": _import_moved_files,
     "post_journals_again": _post_journals_again,
@@ -146,6 +166,24 @@ def _now(select: str) -> str:
 
 
 SQL = {
+    "journal_changes_stored": with_tables("""
+with balance as (
+  select journal_no, sum(coalesce(debit, 0)) - sum(coalesce(credit, 0)) as difference
+  from fx_journal group by journal_no),
+now as (
+  select h.period_code, h.company_code, l.account_code,
+         case when h.journal_type = 'Reclassify' then 'recl' else 'te' end as source,
+         case when h.period_code = 'Q4_1996' and difference = 0
+              then coalesce(credit, 0) - coalesce(debit, 0)
+              else coalesce(debit, 0) - coalesce(credit, 0) end as amount
+  from fx_jheader h join fx_journal l on h.journal_no = l.journal_no
+  join balance b on h.journal_no = b.journal_no
+  where h.period_code <> 'Q1_1997' and not (h.period_code = 'Q3_1996' and h.journal_no like '%1')),
+summed as (
+  select period_code, company_code, account_code, source, sum(amount) as amount from now group by all)
+select period_code, company_code, source, cast(sum(amount) as double) as amount,
+       cast(sum(abs(amount)) as double) as absolute
+from summed group by period_code, company_code, source""", "fx_jheader", "fx_journal"),
     "import_ledger": with_tables(TB_VERDICTS + """
 select t.tb_file_name, t.period_code, count(*) as file_rows,
        cast(case when any_value(v.reason) is null then 2 else 1 end as bigint) as version

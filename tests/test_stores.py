@@ -180,7 +180,7 @@ def test_kept_sums_follow_any_series_of_changes(spark, tmp_path):
     books, store = opened(spark, tmp_path)
     rng = random.Random(7)
     for step in range(6):
-        kind = rng.choice(["import", "import", "delete", "post", "compact"])
+        kind = rng.choice(["import", "import", "delete", "post", "compact", "lines", "journals"])
         if kind == "import":
             lines = [
                 line
@@ -195,6 +195,11 @@ def test_kept_sums_follow_any_series_of_changes(spark, tmp_path):
             bk.delete_files(store, books, TRIAL_BALANCE, rng.choice(["p.csv", "s.csv", "new.csv"]))
         elif kind == "post":
             bk.post_batch(store, books, *batch(spark, 1, 2, company=rng.choice("PS")), "k", f"b{step}")
+        elif kind == "lines":
+            some = store.table("journal_line").where("journal_no = 'P_JV_00002'")
+            bk.replace_lines(store, books, some.withColumn("account_code", some.account_name))
+        elif kind == "journals":
+            bk.delete_journals(store, books, store.table("journal_header").orderBy("journal_no").limit(1))
         else:
             for name in ("account_fact", "journal_line"):
                 compact(store, name, books.company)
@@ -259,3 +264,21 @@ def test_stored_columns_are_those_declared(spark, tmp_path):
         assert store.table(name).columns == TABLES[name].names
     empty = Store.create(spark, str(tmp_path / "empty"))
     assert empty.table("interco").columns == TABLES["interco"].names and empty.version() == 0
+
+
+def test_journal_lines_are_replaced_and_journals_deleted(spark, tmp_path):
+    books, store = opened(spark, tmp_path)
+    unknown = spark.createDataFrame([("none", "1", D("1"), D("1"))], LINE)
+    assert bk.replace_lines(store, books, unknown) is None
+    new = [("P_JV_00002", "0200", D("8"), None), ("P_JV_00002", "0400", None, D("8")),
+           ("P_JV_00001", "0100", D("1"), None)]  # the last is out of balance
+    bk.replace_lines(store, books, spark.createDataFrame(new, LINE))
+    lines = store.table("journal_line").groupBy("journal_no").agg({"debit": "sum"})
+    assert rows(lines) == [("P_JV_00001", D("20.00")), ("P_JV_00002", D("8.00"))]
+    same_reports(books, store)
+    bk.delete_journals(store, books, spark.createDataFrame([("P_JV_00001",)], "journal_no string"))
+    assert rows(store.table("journal_header"), "journal_no") == [("P_JV_00002",)]
+    assert set(rows(store.table("journal_line"), "journal_no")) == {("P_JV_00002",)}
+    same_reports(books, store)
+    bk.post_batch(store, books, *batch(spark, 1), "k", "later")
+    assert rows(store.table("journal_header"), "journal_no") == [("P_JV_00002",), ("P_JV_00003",)]

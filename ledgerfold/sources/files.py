@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerfold.operators.joins import join_hot
+from ledgerfold.operators.shaping import has_rows
 from ledgerfold.schemas import (
     COA_FILE,
     FS_GROUP_FILE,
@@ -136,7 +137,8 @@ def read_parquet_upload(spark: SparkSession, path: str, expected: T.StructType)
 
     Files are grouped by their schemas and each group is read with its own, so that a column of
     another type in one file is that file's matter: its cells are cast, and reject the file if
-    they cannot be. Footers are read one by one, some at a time; files are few beside their rows.
+    they cannot be. A file of other names without rows has nothing to reject, as the empty part
+    that a writer leaves beside the others, and is passed over. Footers are read one by one, some at a time; files are few beside their rows.
     """
     listed = (
         spark.read.format("binaryFile").load(path).select("path", _file_name(), _file_path())
@@ -147,7 +149,8 @@ def read_parquet_upload(spark: SparkSession, path: str, expected: T.StructType)
     for row, schema in zip(listed, schemas, strict=True):
         cells = schema is not None and not any(isinstance(f.dataType, _NO_CELL) for f in schema)
         if not cells or set(schema.names) != set(expected.names):
-            bad.append((row.file_name, INVALID_FORMAT))
+            if schema is None or has_rows(spark.read.parquet(row.path.translate(_GLOB))):
+                bad.append((row.file_name, INVALID_FORMAT))
         else:
             good.append((row.file_path, row.file_name))
             groups[tuple(sorted((f.name, f.dataType.simpleString()) for f in schema))].append(

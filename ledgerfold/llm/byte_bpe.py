@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 from ledgerfold.llm.common import documents
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces, and matches, kept by a Python worker; beyond it a cache starts anew.
-CACHE = 400_000
+#: Pieces, and matches within pieces, kept by a Python worker, in about 150 MB.
+PIECES, MATCHES = 300_000, 600_000
 #: Rows worked on at once within an Arrow batch.
 BATCH = 256
 
@@ -67,6 +68,33 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
+@lru_cache(maxsize=2)
+def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids' bytes in a row, and each id's first place and number of them."""
+    tokens = token_bytes(path)
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+class Memory(dict):
+    """Results by key, computed where missing, the recent ones kept: when it is full, what it
+    holds becomes the former half, and is taken over from there as it is asked for again."""
+
+    def __init__(self, compute, most: int):
+        super().__init__()
+        self.compute, self.most, self.former = compute, most // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.former.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(self) >= self.most:
+            self.former = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Codec:
     """Encodes texts to ids, with the characters that each id stands for."""
 
@@ -88,34 +116,26 @@ class Codec:
         self.shown = dict(enumerate(shown))
         self.bytes_of = token_bytes(path)
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.matched: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # by the piece without the space before it
+        self.matched = Memory(self.match, MATCHES)
+        self.spaced = Memory(self._after_space, PIECES)  # by the piece without its space
 
     def match(self, text: str) -> bytes:
         """The ids of one match of the pattern, as little-endian 32-bit integers."""
         characters = text.encode().decode("latin-1").translate(self.shown)
-        ids = [token.id for token in self.model.tokenize(characters)]
-        return np.array(ids, "<i4").tobytes()
+        return array("i", [token.id for token in self.model.tokenize(characters)]).tobytes()
 
     def piece(self, text: str) -> bytes:
         """The ids of a piece that encodes alone."""
-        out = []
-        for own in self.split(text):
-            ids = self.matched.get(own)
-            if ids is None:
-                if len(self.matched) > CACHE:
-                    self.matched.clear()
-                ids = self.matched[own] = self.match(own)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.matched.__getitem__, self.split(text)))
+
+    def _after_space(self, piece: str) -> bytes:
+        return self.piece(" " + piece)
 
     def text(self, text: str | None) -> bytes:
         """The ids of a text, as little-endian 32-bit integers."""
         if not text:
             return b""
-        if len(self.spaced) > CACHE:
-            self.spaced.clear()
-        parts, spaced = text.split(" "), self.spaced
+        parts = text.split(" ")
         if text[0] == " " or text[-1] == " " or _BESIDE(text):
             # Some space has white space beside it: only the other spaces are safe cuts.
             pieces = [parts[0]]
@@ -125,13 +145,8 @@ class Codec:
                 else:
                     pieces[-1] += " " + part
             return b"".join(map(self.piece, pieces))
-        out = [self.piece(parts[0])]
-        for part in parts[1:]:
-            ids = spaced.get(part)
-            if ids is None:
-                ids = spaced[part] = self.piece(" " + part)
-            out.append(ids)
-        return b"".join(out)
+        first, *more = parts
+        return b"".join([self.piece(first), *map(self.spaced.__getitem__, more)])
 
     def spans(self, text: str | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last (exclusive) character of each id: its bytes, mapped to characters."""
@@ -207,9 +222,18 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFram
     path = path or public_tokenizers.path(RANKS)
 
     def rows(part: pa.RecordBatch) -> list[pa.Array]:
-        own = token_bytes(path).__getitem__
-        lists = part.column(ids).to_pylist()
-        return [pa.array([b"".join(map(own, x or ())) for x in lists], pa.binary())]
+        data, first, sizes = byte_table(path)
+        column = part.column(ids)
+        values = column.flatten().to_numpy(zero_copy_only=False)  # of the lists of this slice
+        n = sizes[values]
+        ends = np.cumsum(n)
+        # each byte's place: its id's first place, and how far it is from where the id begins
+        at = np.repeat(first[values] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        until = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
+        offsets = pa.py_buffer(until.astype(np.int32))
+        decoded = pa.py_buffer(np.ascontiguousarray(data[at]))
+        return [pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets, decoded])]
 
     return _added(df, [T.StructField("decoded", T.BinaryType())], rows)
 

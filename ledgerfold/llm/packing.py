@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerfold.llm.byte_bpe import byte_characters
+from ledgerfold.llm.byte_bpe import Memory, byte_characters
 from ledgerfold.llm.common import documents, stored, with_offsets
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 0
 #: Words, and matches within words, kept by a Python worker, in about 150 MB.
-WORDS, MATCHES = 400_000, 800_000
+WORDS, MATCHES = 300_000, 600_000
 #: Pieces of one length are numbered in buckets of about so many.
 BUCKET = 20_000
 #: Exact patterns tried for each longest length.
@@ -69,25 +69,6 @@ def _is_latin(text: str) -> bool:
     return True
 
 
-class _Memory(dict):
-    """Results by key, computed where missing, the recent ones kept: when it is full, what it
-    holds becomes the former half, and is taken over from there as it is asked for again."""
-
-    def __init__(self, compute, most: int):
-        super().__init__()
-        self.compute, self.most, self.former = compute, most // 2, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.former.get(key)
-        if found is None:
-            found = self.compute(key)
-        if len(self) >= self.most:
-            self.former = dict(self)
-            self.clear()
-        self[key] = found
-        return found
-
-
 class Words:
     """Ids of texts, word by word: the vocabulary drops white space, so words stand alone.
 
@@ -102,8 +83,8 @@ class Words:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.shown = dict(enumerate(byte_characters()))
-        self.known = _Memory(self._word, WORDS)
-        self.matched = _Memory(self._match, MATCHES)
+        self.known = Memory(self._word, WORDS)
+        self.matched = Memory(self._match, MATCHES)
 
     def _match(self, own: str) -> bytes:
         plain = own.isascii() and own.isalnum()  # the byte table leaves these as they are

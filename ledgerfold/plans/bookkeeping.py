@@ -206,9 +206,11 @@ def _journal_periods(change: Change, numbers: DataFrame) -> list:
 def replace_lines(store: Store, books, batch: DataFrame) -> int | None:
     """Replace the lines of stored journals, those that balance; None where none is stored.
 
-    Only the journals' periods are read and written.
+    Only the journals' periods are read and written. Columns that the batch lacks are left blank.
     """
     change = store.begin(books.company)
+    lacking = [f for f in TABLES["journal_line"] if f.name not in (*batch.columns, "period_code")]
+    batch = batch.withColumns({f.name: F.lit(None).cast(f.dataType) for f in lacking})
     periods = _journal_periods(change, batch)
     if not periods:
         return None

@@ -10,33 +10,36 @@ so regions around pivots can be joined one by one without losing a link:
    set is replicated to the regions of its first n - ceil(t n) + 1 shingles, its boundary
    window; every link then has a region that holds both its ends. The order is by hash, with
    the shingles of many documents last, so that shared passages make no crowded regions.
-3. A crowded region is split again by pivots that are documents: their distances to all members
-   are computed exactly, members within e are linked to the pivot, and what is connected by
-   then needs no test within itself. Further pivots follow, and at last the members that are
-   still in different components are paired, except where the triangle inequality shows them
-   apart: |d(x, p) - d(y, p)| > e.
-4. Links are verified on the whole sets, and components are found by alternating star steps.
-
-Pairs are dropped where their sizes, their places in the order, or the number of regions that
-they share rule the threshold out, so that whole sets are sent for near pairs almost alone. All
-of this is exact; the list of frequent shingles is bounded and changes the order of pivots only.
+3. A crowded region gets pivots that are documents: those with the most, and most crowded,
+   regions, which lie near the middle of a group of near copies. Members within e of a pivot
+   are linked, and what is connected by then needs no test within itself.
+4. Regions that still hold several components are cut into the Voronoi cells of further pivots:
+   all distances to these are computed exactly, a member goes to the cell of its nearest pivot,
+   and as a boundary copy to those of pivots further by at most 2e. Cells with several
+   components are cut again. At last their members are paired across components, unless the
+   triangle inequality shows them apart: |d(x, p) - d(y, p)| > e.
+5. Links are verified on the whole sets, and components are found by alternating star steps.
+
+Pairs are dropped where their sizes, their places in the order, or a filter on their regions
+rule the threshold out, so that whole sets are compared for near pairs almost alone. All of this
+is exact; the list of frequent shingles is bounded and changes the order of pivots only. Every
+step is a join or grouping of Spark, so no region is gathered in a task.
 
 Null and empty texts have empty sets and link with nothing. Texts of fewer words than a shingle
 have their whole sequence as one shingle. Repeated rows are members of one class. Documents
-without an id link nothing and have no component. An empty table gives no rows.
+without an id link nothing and have no component. An empty table gives no rows. Of other columns
+none is read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerfold.llm.common import documents, stored
 
@@ -45,11 +48,13 @@ WORDS = 4
 PERCENT = 85
 #: Bound of the list of frequent shingles, and the least count in a task to be on it.
 FREQUENT, LEAST = 200_000, 4
-#: Regions up to this size are paired at once; larger ones get so many pivots a round.
-SMALL, PIVOTS = 8, 4
-#: Star rounds before the remaining pairs of crowded regions, and the share (one in so many)
-#: of crowded regions that they look at.
-STARS, STAR_SHARE = 2, 8
+#: Regions up to this size are paired at once; larger ones get so many pivots at each level,
+#: and are cut into cells so many times.
+SMALL, PIVOTS, DEPTH = 8, 4, 2
+#: Room for rounding where distances are compared.
+SLACK = 1e-9
+#: Rows of a region that are held while it is read.
+HELD = 4096
 #: Bits of the filter on documents that take part in a candidate pair.
 FILTER_BITS = 1 << 24
 #: Shingles gathered before they are counted; classes a task remembers as seen.
@@ -223,158 +228,169 @@ def regions(
     return _source(docs).mapInArrow(run, schema)
 
 
-def _by_region(df: DataFrame, each: Callable, schema: str) -> DataFrame:
-    """Rows that `each` makes of whole regions, given as tables sorted by region, n and class."""
+def shared_regions(df: DataFrame) -> DataFrame:
+    """The rows of regions with two classes or more, each class once, with the region's size.
+
+    Rows stream past in the order of regions and classes; no more than HELD of a region are held,
+    so that the size of a larger one may be stated too small, yet never below HELD.
+    """
+    schema = "region long, class binary, n int, place int, size int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[pa.RecordBatch] = []
+        # The rows of the last region, how many of it went out before, and if its first row did.
+        held, before, skip = None, 0, 0
+
+        def out(part: pa.Table, size: np.ndarray, start: int, end: int) -> list[pa.RecordBatch]:
+            at = start + np.flatnonzero(size[start:end] > 1)
+            rows = part.take(pa.array(at))
+            rows = rows.append_column("size", pa.array(size[at], pa.int32()))
+            return rows.combine_chunks().to_batches()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            region = batch.column("region").to_numpy()
-            last = int(np.searchsorted(region, region[-1]))
-            if last or (carry and carry[-1].column("region")[-1].as_py() != region[0]):
-                table = pa.Table.from_batches([*carry, batch.slice(0, last)])
-                if last == 0:
-                    table = pa.Table.from_batches(carry)
-                carry = [batch.slice(last)]
-                yield from each(table.combine_chunks())
+            part = pa.Table.from_batches([batch])
+            if held is not None:
+                part = pa.concat_tables([held, part]).combine_chunks()
+            region = part["region"].to_numpy()
+            own = part["class"].to_numpy()
+            new = np.append(True, (region[1:] != region[:-1]) | (own[1:] != own[:-1]))
+            part = part.filter(pa.array(new)).combine_chunks()
+            region = region[new]
+            starts = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
+            count = np.diff(np.append(starts, len(region)))
+            count[0] += before
+            size = np.repeat(count, np.diff(np.append(starts, len(region))))
+            last = int(starts[-1])
+            if len(region) - last > HELD:
+                yield from out(part, size, skip, len(region))
+                held, before, skip = part.slice(len(region) - 1), int(count[-1]) - 1, 1
             else:
-                carry.append(batch)
-        if carry:
-            yield from each(pa.Table.from_batches(carry).combine_chunks())
-
-    return (
-        df.repartition("region").sortWithinPartitions("region", "n", "class").mapInArrow(run, schema)
+                yield from out(part, size, skip, last)
+                held = part.slice(last)
+                if last:
+                    before, skip = 0, 0
+        if held is not None:
+            size = np.full(held.num_rows, held.num_rows + before)
+            yield from out(held, size, skip, held.num_rows)
+
+    return df.repartition("region").sortWithinPartitions("region", "class").mapInArrow(run, schema)
+
+
+def profiles(rows: DataFrame) -> DataFrame:
+    """(class, m, score, s0 .. s3): a class's number of regions, how crowded they are, and a
+    filter of 256 bits on them."""
+    bit = F.call_function(
+        "shiftleft", F.lit(1).cast("long"), F.shiftright("region", 2).bitwiseAND(F.lit(63)).cast("int")
     )
+    word = F.col("region").bitwiseAND(F.lit(3))
+    filters = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0))).alias(f"s{k}") for k in range(4)]
+    score = F.sum(F.floor(F.log2("size") * 8)).alias("score")
+    return rows.groupBy("class").agg(F.count("*").alias("m"), score, *filters)
 
 
-def shared_regions(df: DataFrame) -> DataFrame:
-    """The rows of regions with two classes or more, each class once."""
-    schema = "region long, class binary, n int, place int"
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether two classes may link, by their sizes and the filters on their regions.
+
+    Take the one whose window ends first in the order of shingles. What both have up to there
+    is in both windows, and beyond it that set has n less its window's size left. A bit that one
+    filter has and the other lacks stands for a region or more that they do not share.
+    """
+    n = [F.col(f"{x}.n") for x in (a, b)]
+
+    def shared(x: str, y: str) -> Column:
+        lacking = [
+            F.bit_count(F.col(f"{x}.s{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.s{k}"))))
+            for k in range(4)
+        ]
+        return F.col(f"{x}.m") - sum(lacking[1:], lacking[0])
+
+    rest = F.ceil(percent * F.greatest(*n) / 100) - 1
+    most = F.least(shared(a, b), shared(b, a)) + rest
+    sizes = 100 * F.least(*n) >= percent * F.greatest(*n)
+    return sizes & ((100 + percent) * most >= percent * (n[0] + n[1]))
 
-    def each(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        region = table["region"].to_numpy()
-        own = table["class"].to_numpy()
-        first = np.ones(len(region), bool)
-        first[1:] = region[1:] != region[:-1]
-        new = first.copy()
-        new[1:] |= own[1:] != own[:-1]
-        starts = np.flatnonzero(first)
-        crowd = np.add.reduceat(new.astype(int), starts)
-        keep = new & np.repeat(crowd > 1, np.diff(np.append(starts, len(region))))
-        if keep.any():
-            yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
 
-    return _by_region(df, each, schema)
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _may_link(na: int, pa_: int, nb: int, pb: int, percent: int) -> bool:
-    """Whether sizes and places (na <= nb) leave room for the threshold."""
-    if 100 * na < percent * nb:
-        return False
-    most = min(pa_, pb) + min(na - pa_, nb - pb)
-    return (100 + percent) * most >= percent * (na + nb)
+def small_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of each region that sizes and places leave room for."""
+    a, b = rows.alias("x"), rows.alias("y")
+    n, m, p, q = (F.col(c) for c in ("x.n", "y.n", "x.place", "y.place"))
+    most = F.least(p, q) + F.least(n - p, m - q)
+    room = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (
+        (100 + percent) * most >= percent * (n + m)
+    )
+    on = (F.col("x.region") == F.col("y.region")) & (F.col("x.class") < F.col("y.class")) & room
+    return a.join(b, on).select(*_ordered(F.col("x.class"), F.col("y.class")))
 
 
-def star_pairs(rows: DataFrame, turn: int, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) for a star turn: members with a region's next pivots, across labels.
+def pivots_of(rows: DataFrame, by: str) -> DataFrame:
+    """(region, pivot): up to PIVOTS members of each region that have the most crowded regions.
 
-    Small regions are paired whole in the first turn. Rows have region, class, n, place, label.
+    A document that many others are like lies in their regions, so it is near the middle of
+    them. The members are dealt by a hash of `by`; a region's pivots differ in it.
     """
-    schema = "a binary, b binary"
-
-    def pairs(own: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        # own: class, n, place, label; in ascending order of n
-        if len({x[3] for x in own}) < 2:
-            return
-        if len(own) <= SMALL:
-            left = own if turn == 0 else []
-        else:
-            left = sorted(own)[turn * PIVOTS : (turn + 1) * PIVOTS]
-        for i, x in enumerate(left):
-            for y in own[i + 1 :] if left is own else own:
-                if x[3] != y[3]:
-                    s, t = (x, y) if x[1] <= y[1] else (y, x)
-                    if _may_link(s[1], s[2], t[1], t[2], percent):
-                        yield (x[0], y[0]) if x[0] < y[0] else (y[0], x[0])
-
-    return _by_region(rows, _paired(pairs, ("class", "n", "place", "label"), schema), schema).distinct()
-
-
-def rest_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) across labels that crowded regions still hold, each in one region only.
-
-    Rows have region, class, n, place, label, far (the distance to the region's first pivot,
-    or null), `all` and `crowded` (the regions of the class, and those of them that are crowded).
-    A pair belongs to the least crowded region that both are in, and is dropped if the triangle
-    inequality, or the regions that both share, rule it out. Members of the largest component
-    are not paired with each other.
+    best = rows.groupBy("region", F.pmod(F.xxhash64(by), F.lit(PIVOTS)).alias("_deal")).agg(
+        F.max(F.struct("score", "class")).alias("_best")
+    )
+    return best.select("region", F.col("_best.class").alias("pivot"))
+
+
+def cells(rows: DataFrame, pivots: DataFrame, tested: DataFrame, far: str, percent: int) -> DataFrame:
+    """`rows`, each in the Voronoi cell of its nearest pivot (`core`) and, as a boundary copy, in
+    those of pivots further by at most 2e; `far` is its distance to the cell's pivot.
+
+    If x and y are within e and p is the nearest pivot of x, p is no further from y than y's
+    nearest by more than 2e, so both are in the cell of p, and their distances to p differ by
+    at most e. All distances are in `tested`.
     """
-    schema = "a binary, b binary"
-    window = (100 - percent) / 100 + 1e-9
-
-    def pairs(own: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        # own: region, class, n, place, label, far, all, crowded
-        sizes = Counter(x[4] for x in own)
-        if len(sizes) < 2:
-            return
-        largest = sizes.most_common(1)[0][0]
-        few = [(*x[:6], frozenset(x[6]), frozenset(x[7])) for x in own if x[4] != largest]
-        many = [(*x[:6], frozenset(x[6]), frozenset(x[7])) for x in own if x[4] == largest]
-        for i, x in enumerate(few):
-            for group in (many, few[i + 1 :]):
-                for y in group:
-                    if x[4] == y[4]:
-                        continue
-                    if x[5] is not None and y[5] is not None and abs(x[5] - y[5]) > window:
-                        continue
-                    s, t = (x, y) if x[2] <= y[2] else (y, x)
-                    if not _may_link(s[2], s[3], t[2], t[3], percent):
-                        continue
-                    most = len(x[6] & y[6]) + (percent * t[2] + 99) // 100 - 1
-                    if (100 + percent) * most < percent * (s[2] + t[2]):
-                        continue
-                    if min(x[7] & y[7]) == x[0]:
-                        yield (x[1], y[1]) if x[1] < y[1] else (y[1], x[1])
-
-    names = ("region", "class", "n", "place", "label", "far", "all", "crowded")
-    return _by_region(rows, _paired(pairs, names, schema), schema).distinct()
-
-
-def _paired(pairs: Callable, names: tuple[str, ...], schema: str) -> Callable:
-    """Distinct pairs of each region of a table sorted by region."""
-
-    def each(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        region = table["region"].to_numpy()
-        bounds = np.flatnonzero(np.append(True, region[1:] != region[:-1])).tolist()
-        found: set[tuple[bytes, bytes]] = set()
-        for start, end in zip(bounds, [*bounds[1:], len(region)], strict=True):
-            part = table.slice(start, end - start)
-            own = list(zip(*(part[n].to_pylist() for n in names), strict=True))
-            for pair in pairs(own):
-                found.add(pair)
-                if len(found) >= 100_000:
-                    yield _rows(list(found), schema)
-                    found.clear()
-        if found:
-            yield _rows(list(found), schema)
-
-    return each
-
-
-def near_windows(pairs: DataFrame, windows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose windows share regions enough.
-
-    Of two sets, take the one whose window ends first in the order. What both have up to there
-    is in both windows, and beyond it that set has n less its window's size left.
+    window = 2 * (100 - percent) / 100 + SLACK
+    distance = (1 - F.col("inter") / F.col("either")).alias("_d")
+    known = tested.select("a", "b", distance)
+    dealt = rows.join(pivots, "region")
+    dealt = dealt.withColumn("a", F.least("class", "pivot")).withColumn("b", F.greatest("class", "pivot"))
+    dealt = dealt.join(known, ["a", "b"], "left").drop("a", "b")
+    dealt = dealt.withColumn("_d", F.when(F.col("class") == F.col("pivot"), 0.0).otherwise(F.col("_d")))
+    nearest = dealt.groupBy("region", "class").agg(F.min("_d").alias("_least"))
+    dealt = dealt.join(nearest, ["region", "class"]).where(F.col("_d") <= F.col("_least") + window)
+    kept = [c for c in rows.columns if c not in ("region", "core")]
+    return dealt.select(
+        F.concat_ws("/", F.col("region").cast("string"), F.hex("pivot")).alias("region"),
+        *kept,
+        (F.col("_d") == F.col("_least")).alias("core"),
+        F.col("_d").alias(far),
+    )
+
+
+def mixed(rows: DataFrame) -> DataFrame:
+    """The rows of regions with two labels or more, with the label that most members have."""
+    labels = rows.groupBy("region", "label").agg(F.count("*").alias("_n"))
+    regions = labels.groupBy("region").agg(
+        F.max(F.struct("_n", "label")).alias("_top"), F.count("*").alias("_labels")
+    )
+    regions = regions.where("_labels > 1").select("region", F.col("_top.label").alias("top"))
+    return rows.join(regions, "region")
+
+
+def rest_pairs(rows: DataFrame, fars: list[str], percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that regions still hold across labels, unless they are shown apart.
+
+    The members of a region's most frequent label are compared with the others alone. Regions
+    are joined by Spark, which splits a hot one over tasks.
     """
-    a = windows.select(F.col("class").alias("a"), F.col("n").alias("_n"), F.col("all").alias("_r"))
-    b = windows.select(F.col("class").alias("b"), F.col("n").alias("_m"), F.col("all").alias("_s"))
-    rest = lambda n: F.ceil(percent * F.col(n) / 100) - 1
-    most = F.size(F.array_intersect("_r", "_s")) + F.greatest(rest("_n"), rest("_m"))
-    enough = (100 + percent) * most >= percent * (F.col("_n") + F.col("_m"))
-    return pairs.join(a, "a").join(b, "b").where(enough).select("a", "b")
+    window = (100 - percent) / 100 + SLACK
+    few = rows.where(F.col("label") != F.col("top")).alias("x")
+    on = (F.col("x.region") == F.col("y.region")) & (F.col("x.label") != F.col("y.label"))
+    on &= (F.col("y.label") == F.col("y.top")) | (F.col("x.class") < F.col("y.class"))
+    for far in fars:
+        on &= F.abs(F.col(f"x.{far}") - F.col(f"y.{far}")) <= window
+    if fars:
+        on &= F.col("x.core") | F.col("y.core")
+    found = few.join(rows.alias("y"), on & _near("x", "y", percent))
+    return found.select(*_ordered(F.col("x.class"), F.col("y.class"))).distinct()
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, size: int = WORDS) -> DataFrame:
@@ -492,54 +508,55 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     own = first.where(F.col("n").isNotNull()).select("doc_id", "text_key", "class", "n")
     frequent = frequent_shingles(first.where(F.col("shingle").isNotNull()).select("shingle", "df"))
     rows = stored(shared_regions(regions(docs, frequent, size, percent)))
-    sizes = rows.groupBy("region").agg(F.count("*").alias("_n"), F.min("class").alias("pivot"))
-    rows = stored(
-        rows.join(sizes, "region").select(*rows.columns, "pivot", (F.col("_n") > SMALL).alias("_c"))
-    )
-    windows = stored(
-        rows.groupBy("class").agg(
-            F.first("n").alias("n"),
-            F.collect_list("region").alias("all"),
-            F.collect_list(F.when(F.col("_c"), F.col("region"))).alias("crowded"),
-        )
-    )
-    crowded = rows.where("_c").drop("_c")
-    # Star turns need not see every region: near copies share most of theirs.
-    star = F.pmod(F.col("region"), F.lit(STAR_SHARE)) == 0
+    known = stored(profiles(rows).join(rows.groupBy("class").agg(F.first("n").alias("n")), "class"))
+    crowded = rows.where(F.col("size") > SMALL).select("region", "class")
+    crowded = stored(crowded.join(known, "class"))
+    tested = labels = None
 
-    def labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
-        named = labels.select(F.col("class").alias("_k"), F.col("label").alias("_l"))
-        joined = found.join(named, F.col("class") == F.col("_k"), "left")
+    def named(found: DataFrame) -> DataFrame:
+        label = labels.select(F.col("class").alias("_k"), F.col("label").alias("_l"))
+        joined = found.drop("label").join(label, F.col("class") == F.col("_k"), "left")
         return joined.withColumn("label", F.coalesce("_l", "class")).drop("_k", "_l")
 
-    tested = labels = None
-    for turn in range(STARS + 1):
-        if turn == 0:
-            found = rows.where(~F.col("_c") | star).withColumn("label", F.col("class"))
-        else:
-            found = labelled(crowded.where(star) if turn < STARS else crowded, labels)
-        if turn < STARS:
-            pairs = star_pairs(found, turn, percent)
-        else:
-            found = stored(found)
-            mixed = found.groupBy("region").agg(
-                (F.min("label") != F.max("label")).alias("_mixed")
-            )
-            found = found.join(mixed.where("_mixed").select("region"), "region", "left_semi")
-            far = (1 - F.col("inter") / F.col("either")).alias("far")
-            known = tested.select(F.col("a").alias("_p"), F.col("b").alias("_k"), far)
-            on = (F.col("pivot") == F.col("_p")) & (F.col("class") == F.col("_k"))
-            found = found.join(known, on, "left").drop("_p", "_k")
-            found = found.join(windows.select("class", "all", "crowded"), "class")
-            pairs = rest_pairs(found, percent)
+    def test(pairs: DataFrame) -> bool:
+        """Measure pairs; whether new links have changed the labels."""
+        nonlocal tested, labels
         if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(near_windows(pairs, windows, percent))
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        new = stored(measured(pairs, stored(class_sets(docs, stored(ends), size))))
-        tested = new if tested is None else tested.union(new)
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        new = stored(measured(pairs, sets))
         near = 100 * F.col("inter") >= percent * F.col("either")
-        labels = stored(components(tested.where(near).select("a", "b")))
+        linked = tested is None or not new.where(near).isEmpty()
+        tested = new if tested is None else tested.union(new)
+        if linked:
+            labels = stored(components(tested.where(near).select("a", "b")))
+        return linked
+
+    def with_pivots(found: DataFrame, pivots: DataFrame) -> DataFrame:
+        pairs = found.join(pivots, "region").where(F.col("class") != F.col("pivot"))
+        return pairs.select(*_ordered(F.col("class"), F.col("pivot"))).distinct()
+
+    # Small regions whole, and the members of crowded ones with the pivots.
+    pairs = small_pairs(rows.where(F.col("size") <= SMALL), percent)
+    pairs = pairs.union(with_pivots(crowded, pivots_of(crowded, "class"))).distinct()
+    x, y = known.alias("x"), known.alias("y")
+    pairs = pairs.join(x, F.col("a") == F.col("x.class")).join(y, F.col("b") == F.col("y.class"))
+    pairs = stored(pairs.where(_near("x", "y", percent)).select("a", "b"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    sets = stored(class_sets(docs, stored(ends.union(crowded.select("class")).distinct()), size))
+    test(pairs)
+
+    # Crowded regions with several components are cut into the cells of document pivots, and
+    # these again; what is left of them is paired.
+    fars: list[str] = []
+    left = stored(mixed(named(crowded.withColumn("core", F.lit(True)))))
+    while len(fars) < DEPTH and not left.isEmpty():
+        pivots = stored(pivots_of(left, "label"))
+        test(with_pivots(left, pivots))
+        left = cells(left.drop("top"), pivots, tested, f"far{len(fars)}", percent)
+        fars.append(f"far{len(fars)}")
+        left = stored(mixed(named(left)))
+    if not left.isEmpty():
+        test(stored(rest_pairs(left, fars, percent)))
 
     classes = own.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"))
     ends = labels.join(classes, "class")
@@ -561,27 +578,23 @@ def one_of_each(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     Rows without an id or without words link with nothing and stay.
     """
-    found = linked(docs, size, percent)
-    alone = F.col("component_id").isNull() | (F.col("n_shingles") == 0)
+    found = linked(docs, size, percent).where("component_id is not null and n_shingles > 0")
     least = (
-        found.where(~alone)
-        .groupBy("component_id")
+        found.groupBy("component_id")
         .agg(F.min(F.struct("doc_id", "text_key")).alias("_k"))
         .select(F.col("_k.doc_id").alias("_d"), F.col("_k.text_key").alias("_t"))
     )
-    kept = least.withColumn("_one", F.lit(True)).union(
-        found.where(alone).select("doc_id", "text_key", F.lit(False)).distinct()
-    )
-    kept = stored(kept)
-    row = docs.select(F.struct("*").alias("_row"), F.xxhash64("text").alias("_key"))
-    on = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t"))
-    copies = Window.partitionBy("_row.doc_id", "_key").orderBy("_key")
-    return (
-        row.join(kept, on)
-        .withColumn("_n", F.row_number().over(copies))
-        .where((F.col("_n") == 1) | ~F.col("_one"))
-        .select("_row.*")
+    row = docs.select(F.struct("*").alias("_row"))
+    key, text = F.col("_row.doc_id").cast("long"), F.col("_row.text").cast("string")
+    links = F.coalesce(key.isNotNull() & text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # Copies are merged within the tasks before they are shuffled.
+    texts = (
+        row.where(links)
+        .groupBy(key.alias("_d"), F.xxhash64(F.col("_row.text")).alias("_t"))
+        .agg(F.first("_row").alias("_row"))
     )
+    one = texts.join(stored(least), ["_d", "_t"], "left_semi").select("_row.*")
+    return one.union(row.where(~links).select("_row.*"))
 
 
 def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,9 +48,11 @@ WORDS = 4
 PERCENT = 85
 #: Bound of the list of frequent shingles, and the least count in a task to be on it.
 FREQUENT, LEAST = 200_000, 4
-#: Regions up to this size are paired at once; larger ones get so many pivots at each level,
-#: and are cut into cells so many times.
-SMALL, PIVOTS, DEPTH = 8, 4, 2
+#: Regions up to this size are paired at once; larger ones get so many pivots at each level.
+SMALL, PIVOTS = 8, 4
+#: Regions that still hold several components are cut into cells down to this size, at most so
+#: many times.
+LEAF, DEPTH = 256, 2
 #: Room for rounding where distances are compared.
 SLACK = 1e-9
 #: Rows of a region that are held while it is read.
@@ -278,15 +280,16 @@ def shared_regions(df: DataFrame) -> DataFrame:
 
 
 def profiles(rows: DataFrame) -> DataFrame:
-    """(class, m, score, s0 .. s3): a class's number of regions, how crowded they are, and a
-    filter of 256 bits on them."""
+    """(class, n, m, score, s0 .. s3): a class's size, its number of regions, how crowded they
+    are, and a filter of 256 bits on them."""
     bit = F.call_function(
         "shiftleft", F.lit(1).cast("long"), F.shiftright("region", 2).bitwiseAND(F.lit(63)).cast("int")
     )
     word = F.col("region").bitwiseAND(F.lit(3))
     filters = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0))).alias(f"s{k}") for k in range(4)]
     score = F.sum(F.floor(F.log2("size") * 8)).alias("score")
-    return rows.groupBy("class").agg(F.count("*").alias("m"), score, *filters)
+    sizes = F.max("n").alias("n"), F.count("*").alias("m")
+    return rows.groupBy("class").agg(*sizes, score, *filters)
 
 
 def _near(a: str, b: str, percent: int) -> Column:
@@ -366,12 +369,15 @@ def cells(rows: DataFrame, pivots: DataFrame, tested: DataFrame, far: str, perce
 
 
 def mixed(rows: DataFrame) -> DataFrame:
-    """The rows of regions with two labels or more, with the label that most members have."""
+    """The rows of regions with two labels or more, with the label that most members have (`top`)
+    and the number of members (`size`)."""
     labels = rows.groupBy("region", "label").agg(F.count("*").alias("_n"))
     regions = labels.groupBy("region").agg(
-        F.max(F.struct("_n", "label")).alias("_top"), F.count("*").alias("_labels")
+        F.max(F.struct("_n", "label")).alias("_top"),
+        F.sum("_n").alias("size"),
+        F.count("*").alias("_labels"),
     )
-    regions = regions.where("_labels > 1").select("region", F.col("_top.label").alias("top"))
+    regions = regions.where("_labels > 1").select("region", F.col("_top.label").alias("top"), "size")
     return rows.join(regions, "region")
 
 
@@ -508,7 +514,7 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     own = first.where(F.col("n").isNotNull()).select("doc_id", "text_key", "class", "n")
     frequent = frequent_shingles(first.where(F.col("shingle").isNotNull()).select("shingle", "df"))
     rows = stored(shared_regions(regions(docs, frequent, size, percent)))
-    known = stored(profiles(rows).join(rows.groupBy("class").agg(F.first("n").alias("n")), "class"))
+    known = stored(profiles(rows))
     crowded = rows.where(F.col("size") > SMALL).select("region", "class")
     crowded = stored(crowded.join(known, "class"))
     tested = labels = None
@@ -518,18 +524,25 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
         joined = found.drop("label").join(label, F.col("class") == F.col("_k"), "left")
         return joined.withColumn("label", F.coalesce("_l", "class")).drop("_k", "_l")
 
-    def test(pairs: DataFrame) -> bool:
-        """Measure pairs; whether new links have changed the labels."""
+    def sets_of(classes: DataFrame) -> DataFrame:
+        return stored(class_sets(docs, stored(classes.distinct()), size))
+
+    def test(pairs: DataFrame, sets: DataFrame | None = None) -> None:
+        """Measure new pairs; where some link, so do their labels."""
         nonlocal tested, labels
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if sets is None:
+            pairs = stored(pairs)
+            if tested is not None and pairs.isEmpty():
+                return
+            sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("class")))
         new = stored(measured(pairs, sets))
         near = 100 * F.col("inter") >= percent * F.col("either")
         linked = tested is None or not new.where(near).isEmpty()
         tested = new if tested is None else tested.union(new)
         if linked:
             labels = stored(components(tested.where(near).select("a", "b")))
-        return linked
 
     def with_pivots(found: DataFrame, pivots: DataFrame) -> DataFrame:
         pairs = found.join(pivots, "region").where(F.col("class") != F.col("pivot"))
@@ -540,23 +553,28 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     pairs = pairs.union(with_pivots(crowded, pivots_of(crowded, "class"))).distinct()
     x, y = known.alias("x"), known.alias("y")
     pairs = pairs.join(x, F.col("a") == F.col("x.class")).join(y, F.col("b") == F.col("y.class"))
-    pairs = stored(pairs.where(_near("x", "y", percent)).select("a", "b"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class"))
-    sets = stored(class_sets(docs, stored(ends.union(crowded.select("class")).distinct()), size))
-    test(pairs)
+    test(pairs.where(_near("x", "y", percent)).select("a", "b"))
 
     # Crowded regions with several components are cut into the cells of document pivots, and
-    # these again; what is left of them is paired.
+    # these again, until they are leaves; the members of these are paired.
     fars: list[str] = []
     left = stored(mixed(named(crowded.withColumn("core", F.lit(True)))))
+    leaves = left.where(F.col("size") <= LEAF)
+    pairs = rest_pairs(leaves, fars, percent)
+    left = left.where(F.col("size") > LEAF)
+    sets = None
     while len(fars) < DEPTH and not left.isEmpty():
+        sets = sets or sets_of(left.select("class"))
         pivots = stored(pivots_of(left, "label"))
-        test(with_pivots(left, pivots))
-        left = cells(left.drop("top"), pivots, tested, f"far{len(fars)}", percent)
+        test(with_pivots(left, pivots), sets)
+        left = cells(left.drop("top", "size"), pivots, tested, f"far{len(fars)}", percent)
         fars.append(f"far{len(fars)}")
         left = stored(mixed(named(left)))
-    if not left.isEmpty():
-        test(stored(rest_pairs(left, fars, percent)))
+        last = len(fars) == DEPTH
+        leaves = left if last else left.where(F.col("size") <= LEAF)
+        pairs = pairs.union(rest_pairs(leaves, fars, percent))
+        left = left.where(F.col("size") > LEAF)
+    test(pairs.distinct())
 
     classes = own.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"))
     ends = labels.join(classes, "class")

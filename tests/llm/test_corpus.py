@@ -199,3 +199,22 @@ def test_pipeline_on_odd_and_empty_tables(spark, make):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF))
     assert docs.count() >= 0
+
+
+def test_cells_of_crowded_regions_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LEAF", 16)
+    texts = near_copies(5, 90, 120, 30) + near_copies(6, 20, 60, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(docs, 5, 80).collect()}
+    assert got == components(dict(enumerate(texts)), 5, 80)
+
+
+@pytest.mark.parametrize("held", (1, 3, 4096))
+def test_regions_of_one_class_go(spark, monkeypatch, held):
+    monkeypatch.setattr(jaccard_join, "HELD", held)
+    rows = [(r, b"%02d" % c, 9, 0) for r in range(7) for c in range(r) for _ in range(1 + c % 3)]
+    df = spark.createDataFrame(rows, "region long, class binary, n int, place int").coalesce(1)
+    got = jaccard_join.shared_regions(df).collect()
+    want = sorted((r, b"%02d" % c) for r in range(2, 7) for c in range(r))
+    assert sorted((r.region, bytes(r["class"])) for r in got) == want
+    assert all(min(r.region, held) <= r["size"] <= r.region for r in got)

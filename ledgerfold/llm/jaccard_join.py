@@ -22,8 +22,9 @@ so regions around pivots can be joined one by one without losing a link:
 
 Pairs are dropped where their sizes, their places in the order, or a filter on their regions
 rule the threshold out, so that whole sets are compared for near pairs almost alone. All of this
-is exact; the list of frequent shingles is bounded and changes the order of pivots only. Every
-step is a join or grouping of Spark, so no region is gathered in a task.
+is exact; the list of frequent shingles is bounded and changes the order of pivots only. Pairs
+come from joins of Spark. Only where the regions of one class are dropped do a region's rows
+pass through one task, as a stream of which at most HELD and a batch are in memory.
 
 Null and empty texts have empty sets and link with nothing. Texts of fewer words than a shingle
 have their whole sequence as one shingle. Repeated rows are members of one class. Documents

@@ -222,3 +222,14 @@ def test_a_search_reads_the_postings_of_its_pieces(spark, tmp_path):
     found = contains.candidates(spark, str(tmp_path / "i"), "t", "n 77 t")
     assert rows(found) == [(77,)]
     assert "PushedFilters" in plan_of(found) and "In(piece" in plan_of(found)
+
+
+def test_postings_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(contains, "POSTINGS", 100, raising=False)
+    df = spark.range(0, 400, 1, 1).selectExpr("id", "concat('Order ', id, ' Order') as t")
+    contains.write_index(df, str(tmp_path / "i"), "id", ["t"])
+    stored = spark.read.parquet(str(tmp_path / "i" / "postings"))
+    assert stored.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 400
+    assert stored.count() == stored.distinct().count()
+    found = contains.candidates(spark, str(tmp_path / "i"), "t", "Order")
+    assert found.count() == 400 and "partial_bit_or" not in plan_of(found).split("Exchange")[-1]

@@ -16,8 +16,8 @@ Earlier versions stay readable until their folders are removed (``superseded`` l
 Writers work one at a time; of two that were at work at once, the later to finish fails with
 `ChangeConflict`, and nothing of it is seen.
 
-Within a period, rows are ordered by group of companies and company over the files, so that a
-report of one group reads the few files and pages that hold it.
+Within a period, rows are dealt to files by group of companies, and are in order of group and
+company within each, so that a report of one group reads the few files and pages that hold it.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerfold.operators.journals import NUMBER_MARK
 from ledgerfold.schemas import ACCOUNT_FACT, JOURNAL_MARKS, TABLES
 from ledgerfold.sources.books import STORED_BY_PERIOD, Books
 
@@ -73,6 +74,9 @@ FILES = T.StructType(
 #: Bytes of a row group, small enough that one group of companies fills few.
 ROW_GROUP = 16 << 20
 
+#: Parts, at least, to which a written table is dealt; Spark joins small ones.
+DEALT = 200
+
 
 class ChangeConflict(RuntimeError):
     """Another change was made since this one began."""
@@ -252,18 +256,19 @@ class Change:
                 for f in schema
             )
         )
-        order = ["period_code"]
+        dealt, order = ["period_code"], ["period_code"]
         if "journal_no" in schema.names:  # numbers begin with the parent's code
-            order += ["journal_no"]
+            rows = rows.withColumn("_parent", F.substring_index("journal_no", NUMBER_MARK, 1))
+            dealt, order = [*dealt, "_parent"], [*order, "journal_no"]
         elif self.company is not None and "company_code" in schema.names:
             parents = self.company.select("company_code", F.col("parent_company").alias("_parent"))
             rows = rows.join(parents, "company_code", "left")
-            order += ["_parent", "company_code"]
-        # a company with much of a period is dealt over many files by a hash of its rows
-        rows = rows.withColumn("_spread", F.xxhash64(*schema.names))
-        order += ["_spread"]
+            dealt, order = [*dealt, "_parent"], [*order, "_parent", "company_code"]
+        # The rows are made once, as no bounds of ranges are sampled; a group of companies with
+        # much of a period is split over many files as the query runs, small ones share a file.
+        parts = max(DEALT, int(self.store.spark.conf.get("spark.sql.shuffle.partitions")))
         (
-            rows.repartitionByRange(*order)
+            rows.hint("rebalance", parts, *dealt)
             .sortWithinPartitions(*order)
             .select(*schema.names)
             .write.partitionBy("period_code")

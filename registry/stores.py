@@ -21,9 +21,13 @@ MOVED_FROM = "Q4_1996"
 DELETED = "RPT_C05_Q1_1997.xlsx"
 
 
-def stored(spark, sf) -> Store:
+def kept_books(spark, sf):
+    """The derived tables, their joins made once for all steps of a query."""
+    return books(spark, sf).kept(scratch(spark, "kept"))
+
+
+def stored(spark, b) -> Store:
     """All facts in a new store, but for the journals of the open period."""
-    b = books(spark, sf)
     store = Store.create(spark, scratch(spark, "books"))
     later = F.col("period_code") == PERIOD
     bk.store_books(
@@ -42,22 +46,22 @@ def stored(spark, sf) -> Store:
     return store
 
 
-def _import(store, spark, sf):
-    upload = doubled_upload(books(spark, sf).trial_balance, "TB[", "tb_file_name", "tb_amount")
-    return bk.import_files(store, books(spark, sf), upload, TRIAL_BALANCE, LOADED)
+def _import(store, b):
+    upload = doubled_upload(b.trial_balance, "TB[", "tb_file_name", "tb_amount")
+    return bk.import_files(store, b, upload, TRIAL_BALANCE, LOADED)
 
 
-def _post(store, spark, sf):
-    b = books(spark, sf)
+def _post(store, b):
     batch = b.journal_batch.where(F.col("period_code") == PERIOD).drop("amt")
     return bk.post_batch(store, b, batch, b.journal_line, "k", f"journals of {PERIOD}")
 
 
 def _import_ledger(spark, sf):
     """The ledger after the same upload came twice: the second time nothing is written."""
-    store = stored(spark, sf)
-    _import(store, spark, sf)
-    _import(store, spark, sf)
+    b = kept_books(spark, sf)
+    store = stored(spark, b)
+    _import(store, b)
+    _import(store, b)
     return store.files("trial_balance").select(
         F.col("file_name").alias("tb_file_name"), F.inline("periods"), "version"
     ).drop("digest")
@@ -65,8 +69,8 @@ def _import_ledger(spark, sf):
 
 def _import_moved_files(spark, sf):
     """All files of one period come again for another, so that the first is emptied."""
-    store = stored(spark, sf)
-    b = books(spark, sf)
+    b = kept_books(spark, sf)
+    store = stored(spark, b)
     moved = b.trial_balance.where(F.col("period_code") == MOVED_FROM).withColumn(
         "period_code", F.lit(PERIOD)
     )
@@ -81,9 +85,10 @@ def _import_moved_files(spark, sf):
 
 def _post_journals_again(spark, sf):
     """A batch posted twice under one key is stored once, with numbers after the marks."""
-    store = stored(spark, sf)
-    _post(store, spark, sf)
-    _post(store, spark, sf)
+    b = kept_books(spark, sf)
+    store = stored(spark, b)
+    _post(store, b)
+    _post(store, b)
     return (
         store.table("journal_header")
         .where(F.col("period_code") == PERIOD)
@@ -93,11 +98,12 @@ def _post_journals_again(spark, sf):
 
 def _series(spark, sf):
     """An import, a deletion and a posting, one after the other."""
-    store = stored(spark, sf)
-    _import(store, spark, sf)
-    bk.delete_files(store, books(spark, sf), INTERCO, DELETED)
-    _post(store, spark, sf)
-    return store.books(books(spark, sf))
+    b = kept_books(spark, sf)
+    store = stored(spark, b)
+    _import(store, b)
+    bk.delete_files(store, b, INTERCO, DELETED)
+    _post(store, b)
+    return store.books(b)
 
 
 def _maintained(statement, parent=None, period=None):
@@ -111,8 +117,8 @@ def _maintained(statement, parent=None, period=None):
 
 def _journal_changes(spark, sf):
     """Stored journals of one period with debit and credit exchanged, some of another deleted."""
-    store = stored(spark, sf)
-    b = books(spark, sf)
+    b = kept_books(spark, sf)
+    store = stored(spark, b)
     lines = store.table("journal_line").where(F.col("period_code") == "Q4_1996").drop("period_code")
     exchanged = lines.withColumns({"debit": F.col("credit"), "credit": F.col("debit")})
     bk.replace_lines(store, b, exchanged)

@@ -282,3 +282,65 @@ def test_journal_lines_are_replaced_and_journals_deleted(spark, tmp_path):
     same_reports(books, store)
     bk.post_batch(store, books, *batch(spark, 1), "k", "later")
     assert rows(store.table("journal_header"), "journal_no") == [("P_JV_00002",), ("P_JV_00003",)]
+
+
+def test_rows_are_made_once_when_written(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    tb = spark.range(0, 500, 1, 4).selectExpr(
+        "case when id % 3 = 0 then 'P' else 'S' end as company_code", "'Q1_2024' as period_code",
+        "cast(id as string) as account_code", "cast(1 as decimal(15,2)) as tb_amount", "'f' as tb_file_name",
+    )
+    store = Store.create(spark, str(tmp_path / "store"))
+    change = store.begin(group_of_two(spark).company)
+    change.replace("trial_balance", tb.mapInArrow(counted, tb.schema), [])
+    change.commit()
+    assert store.table("trial_balance").count() == 500
+    assert made.value == 500
+
+
+def test_an_import_digests_its_rows_once(spark, tmp_path, monkeypatch):
+    books, store = opened(spark, tmp_path)
+    digests = spark.sparkContext.accumulator(0)
+    periods = bk.file_periods
+
+    def counted(df, kind):
+        found = periods(df, kind)
+
+        def run(batches):
+            for batch in batches:
+                digests.add(batch.num_rows)
+                yield batch
+
+        return found.mapInArrow(run, found.schema)
+
+    monkeypatch.setattr(bk, "file_periods", counted)
+    bk.import_files(store, books, upload(spark, *pair("P", "Q1_2024", "5", "new.csv")), TRIAL_BALANCE)
+    assert digests.value == 1
+
+
+def test_kept_tables_are_those_of_their_joins(spark, tmp_path):
+    from ledgerfold.sources.star_schema import StarSchemaBooks
+
+    for name, sql in {
+        "nation": "select cast(id as int) as n_nationkey, 'n' as n_name, cast(id % 2 as int) as n_regionkey from range(6)",
+        "customer": "select id as c_custkey, id % 6 as c_nationkey from range(12)",
+        "supplier": "select id as s_suppkey, id % 6 as s_nationkey from range(5)",
+        "part": "select id as p_partkey, cast(id % 50 + 1 as int) as p_size from range(60)",
+        "orders": "select id as o_orderkey, id % 14 as o_custkey, '1-URGENT' as o_orderpriority,"
+        " timestamp '1997-01-01' as o_orderdate, id * 1.5D as o_totalprice from range(20)",
+        "lineitem": "select id % 25 as l_orderkey, id % 70 as l_partkey, id % 6 as l_suppkey,"
+        " id * 2D as l_extendedprice, if(id % 3 = 0, 'R', null) as l_returnflag from range(300)",
+    }.items():
+        spark.sql(sql).write.parquet(str(tmp_path / f"{name}.parquet"))
+    own = StarSchemaBooks(spark, str(tmp_path))
+    kept = own.kept(str(tmp_path / "kept"))
+    for name in ("trial_balance", "interco", "journal_header", "journal_line"):
+        found = getattr(kept, name)
+        assert rows(found) == rows(getattr(own, name)) != []
+        assert "lineitem" not in found._jdf.queryExecution().toString()

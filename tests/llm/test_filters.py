@@ -56,6 +56,8 @@ def test_rules_without_labels_reject_nothing(spark):
     assert kept.columns == odd(spark).columns
     assert kept.count() == sum(r.kept for r in rows)
     assert quality_rules.judged(empty(spark), labels(spark)).count() == 0
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan  # texts stay where they are
 
 
 def test_held_out_quality(spark):

@@ -51,9 +51,11 @@ PERCENT = 85
 FREQUENT, LEAST = 200_000, 4
 #: Regions up to this size are paired at once; larger ones get so many pivots at each level.
 SMALL, PIVOTS = 8, 4
-#: Regions that still hold several components are cut into cells down to this size, at most so
-#: many times.
+#: Regions that still hold several components are cut into cells until they have no more pairs
+#: left than this number's square, at most so many times.
 LEAF, DEPTH = 256, 2
+#: Regions ahead of a crowded one that tell whether a pair met before.
+BEFORE = 4
 #: Room for rounding where distances are compared.
 SLACK = 1e-9
 #: Rows of a region that are held while it is read.
@@ -281,8 +283,11 @@ def shared_regions(df: DataFrame) -> DataFrame:
 
 
 def profiles(rows: DataFrame) -> DataFrame:
-    """(class, n, m, score, s0 .. s3): a class's size, its number of regions, how crowded they
-    are, and a filter of 256 bits on them."""
+    """(class, n, m, score, s0 .. s3, regions): a class's size, its number of regions, how crowded
+    they are, a filter of 256 bits on them, and its crowded regions in their order.
+
+    These are structs (region, place, before); `before` are the BEFORE crowded ones ahead.
+    """
     bit = F.call_function(
         "shiftleft", F.lit(1).cast("long"), F.shiftright("region", 2).bitwiseAND(F.lit(63)).cast("int")
     )
@@ -290,7 +295,17 @@ def profiles(rows: DataFrame) -> DataFrame:
     filters = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0))).alias(f"s{k}") for k in range(4)]
     score = F.sum(F.floor(F.log2("size") * 8)).alias("score")
     sizes = F.max("n").alias("n"), F.count("*").alias("m")
-    return rows.groupBy("class").agg(*sizes, score, *filters)
+    crowded = F.collect_list(F.when(F.col("size") > SMALL, F.struct("place", "region")))
+    found = rows.groupBy("class").agg(*sizes, score, *filters, F.sort_array(crowded).alias("_all"))
+    known = [c for c in found.columns if c != "_all"]
+    names = F.col("_all.region")
+
+    def placed(one: Column, k: Column) -> Column:
+        start = F.greatest(k - (BEFORE - 1), F.lit(1))
+        before = F.slice(names, start, F.least(k, F.lit(BEFORE)))
+        return F.struct(one["region"].alias("region"), one["place"].alias("place"), before.alias("before"))
+
+    return found.select(*known, F.transform("_all", placed).alias("regions"))
 
 
 def _near(a: str, b: str, percent: int) -> Column:
@@ -371,14 +386,15 @@ def cells(rows: DataFrame, pivots: DataFrame, tested: DataFrame, far: str, perce
 
 def mixed(rows: DataFrame) -> DataFrame:
     """The rows of regions with two labels or more, with the label that most members have (`top`)
-    and the number of members (`size`)."""
+    and a bound of the pairs that are left in them (`work`): other members times all."""
     labels = rows.groupBy("region", "label").agg(F.count("*").alias("_n"))
     regions = labels.groupBy("region").agg(
         F.max(F.struct("_n", "label")).alias("_top"),
-        F.sum("_n").alias("size"),
+        F.sum("_n").alias("_size"),
         F.count("*").alias("_labels"),
     )
-    regions = regions.where("_labels > 1").select("region", F.col("_top.label").alias("top"), "size")
+    work = ((F.col("_size") - F.col("_top._n")) * F.col("_size")).alias("work")
+    regions = regions.where("_labels > 1").select("region", F.col("_top.label").alias("top"), work)
     return rows.join(regions, "region")
 
 
@@ -387,6 +403,10 @@ def rest_pairs(rows: DataFrame, fars: list[str], percent: int = PERCENT) -> Data
 
     The members of a region's most frequent label are compared with the others alone. Regions
     are joined by Spark, which splits a hot one over tasks.
+
+    Whole regions have a pair only where it can meet first: what either has ahead of that place
+    the other lacks, and no crowded region just ahead is shared. That one has the pair as well,
+    or another before it, as members with two labels are paired in each region they share.
     """
     window = (100 - percent) / 100 + SLACK
     few = rows.where(F.col("label") != F.col("top")).alias("x")
@@ -396,16 +416,27 @@ def rest_pairs(rows: DataFrame, fars: list[str], percent: int = PERCENT) -> Data
         on &= F.abs(F.col(f"x.{far}") - F.col(f"y.{far}")) <= window
     if fars:
         on &= F.col("x.core") | F.col("y.core")
+    else:
+        n, m = F.col("x.n"), F.col("y.n")
+        most = F.least(n - F.col("x.place"), m - F.col("y.place"))
+        on &= (100 + percent) * most >= percent * (n + m)
+        on &= ~F.arrays_overlap("x.before", "y.before")
     found = few.join(rows.alias("y"), on & _near("x", "y", percent))
     return found.select(*_ordered(F.col("x.class"), F.col("y.class"))).distinct()
 
 
+def picked(key: str, text_key: Column) -> Column:
+    """`pick`: a number that tells a document from most others, by its id and text."""
+    return F.xxhash64(key, text_key).alias("pick")
+
+
 def class_sets(docs: DataFrame, classes: DataFrame, size: int = WORDS) -> DataFrame:
     """(class, members) of the given classes: the whole sets as bytes, one row for each class.
 
-    A filter of fixed size keeps most other documents from being sent; the join is exact.
+    `classes` has each class once, with the `pick` of one of its documents (see `picked`). A
+    filter of fixed size on these keeps most other texts from being read; the join is exact.
     """
-    place = F.pmod(F.xxhash64("class"), F.lit(FILTER_BITS))
+    place = F.pmod("pick", F.lit(FILTER_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 32).cast("int"))
     words = (
         classes.select(place.alias("at"))
@@ -420,14 +451,19 @@ def class_sets(docs: DataFrame, classes: DataFrame, size: int = WORDS) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen, rows, held = shared.value, set(), [], 0
-        for key, text in _texts(batches):
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(0).to_numpy() % FILTER_BITS
+                keep = (table[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1)
+                if keep.any():
+                    yield batch.filter(pa.array(keep.astype(bool)))
+
+        for _, text in _texts(wanted()):
             own = shingle_set(text, size)
-            if not len(own) or key is None:
+            if not len(own):
                 continue
             name = digest(own)
-            at = xxhash.xxh64_intdigest(name, 42)  # Spark's xxhash64 of a binary value
-            at = (at - (1 << 64) if at >= 1 << 63 else at) % FILTER_BITS
-            if name in seen or not (int(table[at // 32]) >> (at % 32)) & 1:
+            if name in seen:
                 continue
             if len(seen) > SEEN:
                 seen.clear()
@@ -439,7 +475,8 @@ def class_sets(docs: DataFrame, classes: DataFrame, size: int = WORDS) -> DataFr
                 rows, held = [], 0
         yield _rows(rows, schema)
 
-    sets = _source(docs).mapInArrow(run, schema).join(classes, "class", "left_semi")
+    texts = _source(docs).select(picked("doc_id", F.xxhash64("text")), "text")
+    sets = texts.mapInArrow(run, schema).join(classes, "class", "left_semi")
     return sets.groupBy("class").agg(F.first("members").alias("members"))
 
 
@@ -516,17 +553,26 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     frequent = frequent_shingles(first.where(F.col("shingle").isNotNull()).select("shingle", "df"))
     rows = stored(shared_regions(regions(docs, frequent, size, percent)))
     known = stored(profiles(rows))
-    crowded = rows.where(F.col("size") > SMALL).select("region", "class")
-    crowded = stored(crowded.join(known, "class"))
+    profile = [c for c in known.columns if c != "regions"]
+    inside = known.where(F.size("regions") > 0)
+    crowded = inside.select(*profile, F.inline("regions"))
+    # Each class's least document, and one of its texts by which its set is found again.
+    classes = own.where(F.col("class").isNotNull()).groupBy("class")
+    classes = classes.agg(F.min(F.struct("doc_id", "text_key")).alias("_r")).select(
+        "class", F.col("_r.doc_id").alias("rep"), picked("_r.doc_id", F.col("_r.text_key"))
+    )
+    classes = stored(classes)
     tested = labels = None
 
     def named(found: DataFrame) -> DataFrame:
+        """`found`, a row for each class, with its label."""
         label = labels.select(F.col("class").alias("_k"), F.col("label").alias("_l"))
-        joined = found.drop("label").join(label, F.col("class") == F.col("_k"), "left")
+        joined = found.join(label, F.col("class") == F.col("_k"), "left")
         return joined.withColumn("label", F.coalesce("_l", "class")).drop("_k", "_l")
 
-    def sets_of(classes: DataFrame) -> DataFrame:
-        return stored(class_sets(docs, stored(classes.distinct()), size))
+    def sets_of(names: DataFrame) -> DataFrame:
+        picks = classes.select("class", "pick").join(names.distinct(), "class", "left_semi")
+        return class_sets(docs, stored(picks), size)
 
     def test(pairs: DataFrame, sets: DataFrame | None = None) -> None:
         """Measure new pairs; where some link, so do their labels."""
@@ -559,30 +605,32 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     # Crowded regions with several components are cut into the cells of document pivots, and
     # these again, until they are leaves; the members of these are paired.
     fars: list[str] = []
-    left = stored(mixed(named(crowded.withColumn("core", F.lit(True)))))
-    leaves = left.where(F.col("size") <= LEAF)
-    pairs = rest_pairs(leaves, fars, percent)
-    left = left.where(F.col("size") > LEAF)
+    left = named(inside).select(*profile, "label", F.lit(True).alias("core"), F.inline("regions"))
+    left = stored(mixed(left))
+    small = F.col("work") <= LEAF * LEAF
+    pairs = rest_pairs(left.where(small), fars, percent)
+    left = left.where(~small).drop("place", "before")
     sets = None
     while len(fars) < DEPTH and not left.isEmpty():
-        sets = sets or sets_of(left.select("class"))
+        sets = sets or stored(sets_of(left.select("class")))
         pivots = stored(pivots_of(left, "label"))
         test(with_pivots(left, pivots), sets)
-        left = cells(left.drop("top", "size"), pivots, tested, f"far{len(fars)}", percent)
+        left = cells(left.drop("top", "work"), pivots, tested, f"far{len(fars)}", percent)
         fars.append(f"far{len(fars)}")
-        left = stored(mixed(named(left)))
-        last = len(fars) == DEPTH
-        leaves = left if last else left.where(F.col("size") <= LEAF)
+        held = left.groupBy("class").agg(
+            F.collect_list(F.struct(*(c for c in left.columns if c not in ("class", "label")))).alias("_rows")
+        )
+        left = stored(mixed(named(held).select("class", "label", F.inline("_rows"))))
+        leaves = left if len(fars) == DEPTH else left.where(small)
         pairs = pairs.union(rest_pairs(leaves, fars, percent))
-        left = left.where(F.col("size") > LEAF)
+        left = left.where(~small)
     test(pairs.distinct())
 
-    classes = own.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"))
     ends = labels.join(classes, "class")
     least = ends.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = labels.join(least, "label").select(F.col("class").alias("_c"), "component_id")
     table = stored(
-        classes.join(named, F.col("class") == F.col("_c"), "left").select(
+        classes.select("class", "rep").join(named, F.col("class") == F.col("_c"), "left").select(
             F.col("class").alias("_c"), F.coalesce("component_id", "rep").alias("component_id")
         )
     )

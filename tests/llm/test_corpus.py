@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 from odd import WORD, empty, odd, prose
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerfold.llm import class_lm, jaccard_join, syncmers
@@ -209,6 +210,51 @@ def test_cells_of_crowded_regions_lose_no_link(spark, monkeypatch):
     assert got == components(dict(enumerate(texts)), 5, 80)
 
 
+def test_few_members_of_other_components_need_no_cells(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LEAF", 16)
+    cut, whole = [], jaccard_join.cells
+    monkeypatch.setattr(jaccard_join, "cells", lambda *args: cut.append(1) or whole(*args))
+    monkeypatch.setattr(jaccard_join, "frequent_shingles", lambda counts: np.empty(0, np.uint64))
+    texts = near_copies(9, 40, 120, 1)
+    far = texts[0].split()
+    texts.append(" ".join([*far[:60], *prose(10, 60).split()]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(docs, 5, 80).collect()}
+    assert got == components(dict(enumerate(texts)), 5, 80)
+    assert not cut
+
+
+def test_pairs_of_whole_regions_meet_once(spark):
+    n, common = 40, list(range(6))
+    rows = [
+        (r, f"{c:02d}".encode(), n, place, 9, "a" if c else "b")
+        for c in range(9) for place, r in enumerate(common)
+    ]
+    df = spark.createDataFrame(rows, "region long, class binary, n int, place int, size int, label string")
+    known = jaccard_join.profiles(df.drop("label"))
+    assert [r.before for r in known.first().regions][:3] == [[], [0], [0, 1]]
+    assert known.first().regions[-1].before == [1, 2, 3, 4]
+    label = F.when(F.col("class") == b"00", "b").otherwise("a").alias("label")
+    members = known.select(*(c for c in known.columns if c != "regions"), label, F.inline("regions"))
+    pairs = jaccard_join.rest_pairs(jaccard_join.mixed(members), [], 85)
+    assert pairs.count() == 8
+    assert jaccard_join.mixed(members).select("work").distinct().collect() == [(9,)]
+    once = jaccard_join.rest_pairs(jaccard_join.mixed(members).where("region > 0"), [], 85)
+    assert once.count() == 0  # all met in the first
+
+
+def test_sets_are_found_by_the_picked_rows(spark):
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (3, "v w x y z"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = {k: jaccard_join.digest(jaccard_join.shingle_set(t)) for k, t in rows if k and t}
+    pick = docs.where("doc_id = 2").select(jaccard_join.picked("doc_id", F.xxhash64("text"))).first()[0]
+    classes = spark.createDataFrame([(names[1], pick)], "class binary, pick long")
+    found = jaccard_join.class_sets(docs, classes).collect()
+    assert [(bytes(r["class"]), bytes(r.members)) for r in found] == [
+        (names[1], jaccard_join.shingle_set(rows[0][1]).tobytes())
+    ]
+
+
 @pytest.mark.parametrize("held", (1, 3, 4096))
 def test_regions_of_one_class_go(spark, monkeypatch, held):
     monkeypatch.setattr(jaccard_join, "HELD", held)

@@ -13,7 +13,7 @@ so regions around pivots can be joined one by one without losing a link:
 3. A crowded region gets pivots that are documents: those with the most, and most crowded,
    regions, which lie near the middle of a group of near copies. Members within e of a pivot
    are linked, and what is connected by then needs no test within itself.
-4. Regions that still hold several components are cut into the Voronoi cells of further pivots:
+4. Regions that still hold many pairs of several components are cut into the Voronoi cells of further pivots:
    all distances to these are computed exactly, a member goes to the cell of its nearest pivot,
    and as a boundary copy to those of pivots further by at most 2e. Cells with several
    components are cut again. At last their members are paired across components, unless the
@@ -360,7 +360,8 @@ def pivots_of(rows: DataFrame, by: str) -> DataFrame:
 
 def cells(rows: DataFrame, pivots: DataFrame, tested: DataFrame, far: str, percent: int) -> DataFrame:
     """`rows`, each in the Voronoi cell of its nearest pivot (`core`) and, as a boundary copy, in
-    those of pivots further by at most 2e; `far` is its distance to the cell's pivot.
+    those of pivots further by at most 2e; `far` is its distance to the cell's pivot, and `whole`
+    the region that was cut.
 
     If x and y are within e and p is the nearest pivot of x, p is no further from y than y's
     nearest by more than 2e, so both are in the cell of p, and their distances to p differ by
@@ -377,6 +378,7 @@ def cells(rows: DataFrame, pivots: DataFrame, tested: DataFrame, far: str, perce
     dealt = dealt.join(nearest, ["region", "class"]).where(F.col("_d") <= F.col("_least") + window)
     kept = [c for c in rows.columns if c not in ("region", "core")]
     return dealt.select(
+        F.col("region").alias("whole"),
         F.concat_ws("/", F.col("region").cast("string"), F.hex("pivot")).alias("region"),
         *kept,
         (F.col("_d") == F.col("_least")).alias("core"),
@@ -384,9 +386,21 @@ def cells(rows: DataFrame, pivots: DataFrame, tested: DataFrame, far: str, perce
     )
 
 
+def eased(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """(region) of those whose cells hold fewer pairs than they do as a whole.
+
+    Where all members are within 2e of all pivots, each cell would have them all.
+    """
+    members = cut.groupBy("whole", "region").agg(F.count("*").alias("_n")).groupBy("whole")
+    after = members.agg(F.sum(F.col("_n") * F.col("_n")).alias("_after"))
+    before = rows.groupBy("region").agg(F.count("*").alias("_n"))
+    same = F.col("region") == F.col("whole")
+    return before.join(after, same & (F.col("_after") < F.col("_n") * F.col("_n"))).select("region")
+
+
 def mixed(rows: DataFrame) -> DataFrame:
-    """The rows of regions with two labels or more, with the label that most members have (`top`)
-    and a bound of the pairs that are left in them (`work`): other members times all."""
+    """(region, top, work) of regions with two labels or more: the label that most members have,
+    and a bound of the pairs that are left: other members times all."""
     labels = rows.groupBy("region", "label").agg(F.count("*").alias("_n"))
     regions = labels.groupBy("region").agg(
         F.max(F.struct("_n", "label")).alias("_top"),
@@ -394,33 +408,35 @@ def mixed(rows: DataFrame) -> DataFrame:
         F.count("*").alias("_labels"),
     )
     work = ((F.col("_size") - F.col("_top._n")) * F.col("_size")).alias("work")
-    regions = regions.where("_labels > 1").select("region", F.col("_top.label").alias("top"), work)
-    return rows.join(regions, "region")
+    return regions.where("_labels > 1").select("region", F.col("_top.label").alias("top"), work)
 
 
-def rest_pairs(rows: DataFrame, fars: list[str], percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that regions still hold across labels, unless they are shown apart.
+def rest_pairs(
+    rows: DataFrame, regions: DataFrame, fars: list[str], percent: int = PERCENT
+) -> DataFrame:
+    """The pairs (a, b) that `regions` still hold across labels, unless they are shown apart.
 
     The members of a region's most frequent label are compared with the others alone. Regions
     are joined by Spark, which splits a hot one over tasks.
 
-    Whole regions have a pair only where it can meet first: what either has ahead of that place
-    the other lacks, and no crowded region just ahead is shared. That one has the pair as well,
-    or another before it, as members with two labels are paired in each region they share.
+    A region, or the cells of it, has a pair only where it can meet first: what either has ahead
+    of that place the other lacks, and no crowded region just ahead is shared. A link is found in
+    the first crowded region that both its ends are in, unless they have one label by then.
     """
     window = (100 - percent) / 100 + SLACK
-    few = rows.where(F.col("label") != F.col("top")).alias("x")
+    tops = regions.select(F.col("region").alias("_r"), "top")
+    others = (F.col("region") == F.col("_r")) & (F.col("label") != F.col("top"))
+    few = rows.join(tops, others).drop("_r").alias("x")
     on = (F.col("x.region") == F.col("y.region")) & (F.col("x.label") != F.col("y.label"))
-    on &= (F.col("y.label") == F.col("y.top")) | (F.col("x.class") < F.col("y.class"))
+    on &= (F.col("y.label") == F.col("x.top")) | (F.col("x.class") < F.col("y.class"))
     for far in fars:
         on &= F.abs(F.col(f"x.{far}") - F.col(f"y.{far}")) <= window
     if fars:
         on &= F.col("x.core") | F.col("y.core")
-    else:
-        n, m = F.col("x.n"), F.col("y.n")
-        most = F.least(n - F.col("x.place"), m - F.col("y.place"))
-        on &= (100 + percent) * most >= percent * (n + m)
-        on &= ~F.arrays_overlap("x.before", "y.before")
+    n, m = F.col("x.n"), F.col("y.n")
+    most = F.least(n - F.col("x.place"), m - F.col("y.place"))
+    on &= (100 + percent) * most >= percent * (n + m)
+    on &= ~F.arrays_overlap("x.before", "y.before")
     found = few.join(rows.alias("y"), on & _near("x", "y", percent))
     return found.select(*_ordered(F.col("x.class"), F.col("y.class"))).distinct()
 
@@ -570,6 +586,12 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
         joined = found.join(label, F.col("class") == F.col("_k"), "left")
         return joined.withColumn("label", F.coalesce("_l", "class")).drop("_k", "_l")
 
+    def renamed(found: DataFrame) -> DataFrame:
+        """`found`, any number of rows for each class, with their labels."""
+        rest = [c for c in found.columns if c not in ("class", "label")]
+        held = found.groupBy("class").agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+        return named(held).select("class", "label", F.inline("_rows"))
+
     def sets_of(names: DataFrame) -> DataFrame:
         picks = classes.select("class", "pick").join(names.distinct(), "class", "left_semi")
         return class_sets(docs, stored(picks), size)
@@ -606,24 +628,26 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     # these again, until they are leaves; the members of these are paired.
     fars: list[str] = []
     left = named(inside).select(*profile, "label", F.lit(True).alias("core"), F.inline("regions"))
-    left = stored(mixed(left))
+    left = stored(left)
+    open_ = stored(mixed(left))
     small = F.col("work") <= LEAF * LEAF
-    pairs = rest_pairs(left.where(small), fars, percent)
-    left = left.where(~small).drop("place", "before")
+    pairs = rest_pairs(left, open_.where(small), fars, percent)
     sets = None
-    while len(fars) < DEPTH and not left.isEmpty():
+    while len(fars) < DEPTH and not (large := open_.where(~small)).isEmpty():
+        left = stored(left.join(large.select("region"), "region", "left_semi"))
         sets = sets or stored(sets_of(left.select("class")))
         pivots = stored(pivots_of(left, "label"))
         test(with_pivots(left, pivots), sets)
-        left = cells(left.drop("top", "work"), pivots, tested, f"far{len(fars)}", percent)
+        cut = stored(cells(left, pivots, tested, f"far{len(fars)}", percent))
+        parts = stored(eased(left, cut))
+        whole = stored(renamed(left.join(parts, "region", "left_anti")))
+        pairs = pairs.union(rest_pairs(whole, mixed(whole), fars, percent))
+        parts = parts.withColumnRenamed("region", "whole")
         fars.append(f"far{len(fars)}")
-        held = left.groupBy("class").agg(
-            F.collect_list(F.struct(*(c for c in left.columns if c not in ("class", "label")))).alias("_rows")
-        )
-        left = stored(mixed(named(held).select("class", "label", F.inline("_rows"))))
-        leaves = left if len(fars) == DEPTH else left.where(small)
-        pairs = pairs.union(rest_pairs(leaves, fars, percent))
-        left = left.where(~small)
+        left = stored(renamed(cut.join(parts, "whole", "left_semi").drop("whole")))
+        open_ = stored(mixed(left))
+        leaves = open_ if len(fars) == DEPTH else open_.where(small)
+        pairs = pairs.union(rest_pairs(left, leaves, fars, percent))
     test(pairs.distinct())
 
     ends = labels.join(classes, "class")

@@ -236,13 +236,21 @@ def test_pairs_of_whole_regions_meet_once(spark):
     assert known.first().regions[-1].before == [1, 2, 3, 4]
     label = F.when(F.col("class") == b"00", "b").otherwise("a").alias("label")
     members = known.select(*(c for c in known.columns if c != "regions"), label, F.inline("regions"))
-    pairs = jaccard_join.rest_pairs(jaccard_join.mixed(members), [], 85)
-    assert pairs.count() == 8
-    assert jaccard_join.mixed(members).select("work").distinct().collect() == [(9,)]
-    once = jaccard_join.rest_pairs(jaccard_join.mixed(members).where("region > 0"), [], 85)
+    regions = jaccard_join.mixed(members)
+    assert regions.select("work").distinct().collect() == [(9,)]
+    assert jaccard_join.rest_pairs(members, regions, [], 85).count() == 8
+    once = jaccard_join.rest_pairs(members, regions.where("region > 0"), [], 85)
     assert once.count() == 0  # all met in the first
 
 
+def test_regions_are_cut_where_that_leaves_fewer_pairs(spark):
+    rows = spark.createDataFrame([(r, k) for r in (1, 2) for k in range(4)], "region long, k int")
+    # region 1 parts in halves, region 2 has all members in two cells
+    cut = [(1, f"1/{k // 2}") for k in range(4)] + [(2, f"2/{c}") for k in range(4) for c in range(2)]
+    cut = spark.createDataFrame(cut, "whole long, region string")
+    assert [r.region for r in jaccard_join.eased(rows, cut).collect()] == [1]
+
+
 def test_sets_are_found_by_the_picked_rows(spark):
     rows = [(1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (3, "v w x y z"), (4, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -308,6 +308,10 @@ def profiles(rows: DataFrame) -> DataFrame:
     return found.select(*known, F.transform("_all", placed).alias("regions"))
 
 
+#: What `_near` reads of a profile.
+PROFILE = ("n", "m", "s0", "s1", "s2", "s3")
+
+
 def _near(a: str, b: str, percent: int) -> Column:
     """Whether two classes may link, by their sizes and the filters on their regions.
 
@@ -347,15 +351,16 @@ def small_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def pivots_of(rows: DataFrame, by: str) -> DataFrame:
-    """(region, pivot): up to PIVOTS members of each region that have the most crowded regions.
+    """(region, pivot) and the pivot's profile: up to PIVOTS members of each region that have the
+    most crowded regions.
 
     A document that many others are like lies in their regions, so it is near the middle of
     them. The members are dealt by a hash of `by`; a region's pivots differ in it.
     """
     best = rows.groupBy("region", F.pmod(F.xxhash64(by), F.lit(PIVOTS)).alias("_deal")).agg(
-        F.max(F.struct("score", "class")).alias("_best")
+        F.max(F.struct("score", "class", *PROFILE)).alias("_best")
     )
-    return best.select("region", F.col("_best.class").alias("pivot"))
+    return best.select("region", F.col("_best.class").alias("pivot"), *(f"_best.{c}" for c in PROFILE))
 
 
 def cells(rows: DataFrame, pivots: DataFrame, tested: DataFrame, far: str, percent: int) -> DataFrame:
@@ -370,7 +375,7 @@ def cells(rows: DataFrame, pivots: DataFrame, tested: DataFrame, far: str, perce
     window = 2 * (100 - percent) / 100 + SLACK
     distance = (1 - F.col("inter") / F.col("either")).alias("_d")
     known = tested.select("a", "b", distance)
-    dealt = rows.join(pivots, "region")
+    dealt = rows.join(pivots.select("region", "pivot"), "region")
     dealt = dealt.withColumn("a", F.least("class", "pivot")).withColumn("b", F.greatest("class", "pivot"))
     dealt = dealt.join(known, ["a", "b"], "left").drop("a", "b")
     dealt = dealt.withColumn("_d", F.when(F.col("class") == F.col("pivot"), 0.0).otherwise(F.col("_d")))
@@ -607,22 +612,24 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
                 return
             sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("class")))
         new = stored(measured(pairs, sets))
-        near = 100 * F.col("inter") >= percent * F.col("either")
-        linked = tested is None or not new.where(near).isEmpty()
+        links = 100 * F.col("inter") >= percent * F.col("either")
+        linked = tested is None or not new.where(links).isEmpty()
         tested = new if tested is None else tested.union(new)
         if linked:
-            labels = stored(components(tested.where(near).select("a", "b")))
+            labels = stored(components(tested.where(links).select("a", "b")))
 
-    def with_pivots(found: DataFrame, pivots: DataFrame) -> DataFrame:
-        pairs = found.join(pivots, "region").where(F.col("class") != F.col("pivot"))
+    def with_pivots(found: DataFrame, pivots: DataFrame, on: Column) -> DataFrame:
+        on &= (F.col("x.region") == F.col("y.region")) & (F.col("class") != F.col("pivot"))
+        pairs = found.alias("x").join(pivots.alias("y"), on)
         return pairs.select(*_ordered(F.col("class"), F.col("pivot"))).distinct()
 
     # Small regions whole, and the members of crowded ones with the pivots.
-    pairs = small_pairs(rows.where(F.col("size") <= SMALL), percent)
-    pairs = pairs.union(with_pivots(crowded, pivots_of(crowded, "class"))).distinct()
+    near = _near("x", "y", percent)
+    pairs = small_pairs(rows.where(F.col("size") <= SMALL), percent).distinct()
     x, y = known.alias("x"), known.alias("y")
     pairs = pairs.join(x, F.col("a") == F.col("x.class")).join(y, F.col("b") == F.col("y.class"))
-    test(pairs.where(_near("x", "y", percent)).select("a", "b"))
+    pairs = pairs.where(near).select("a", "b")
+    test(pairs.union(with_pivots(crowded, pivots_of(crowded, "class"), near)).distinct())
 
     # Crowded regions with several components are cut into the cells of document pivots, and
     # these again, until they are leaves; the members of these are paired.
@@ -637,7 +644,7 @@ def linked(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
         left = stored(left.join(large.select("region"), "region", "left_semi"))
         sets = sets or stored(sets_of(left.select("class")))
         pivots = stored(pivots_of(left, "label"))
-        test(with_pivots(left, pivots), sets)
+        test(with_pivots(left, pivots, F.lit(True)), sets)
         cut = stored(cells(left, pivots, tested, f"far{len(fars)}", percent))
         parts = stored(eased(left, cut))
         whole = stored(renamed(left.join(parts, "region", "left_anti")))

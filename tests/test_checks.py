@@ -233,3 +233,19 @@ def test_postings_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     assert stored.count() == stored.distinct().count()
     found = contains.candidates(spark, str(tmp_path / "i"), "t", "Order")
     assert found.count() == 400 and "partial_bit_or" not in plan_of(found).split("Exchange")[-1]
+
+
+def test_a_task_writes_the_postings_of_its_own_rows(spark, tmp_path, monkeypatch):
+    """Postings that are shuffled by their order are cut twice, and leave a row in many files."""
+    monkeypatch.setattr(contains, "POSTINGS", 200)
+    df = spark.range(0, 400, 1, 1).selectExpr("id", "concat('Order ', id) as t", "concat(id, ' by Mail') as u")
+    contains.write_index(df, str(tmp_path / "i"), "id", ["t", "u"])
+    stored = spark.read.parquet(str(tmp_path / "i" / "postings")).withColumn("file", F.input_file_name())
+    assert stored.groupBy("column_name", "key").agg(F.countDistinct("file").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert stored.select("file").distinct().count() > 10
+    for file in sorted((tmp_path / "i" / "postings").glob("*.parquet")):
+        own = [tuple(r) for r in spark.read.parquet(str(file)).select("column_name", "piece").collect()]
+        assert own == sorted(own)
+    for column, text in (("t", "Order 39"), ("u", "39 BY m")):
+        found = contains.search(df, str(tmp_path / "i"), "id", column, text)
+        assert rows(found, "id") == rows(df.where(F.lower(column).contains(text.lower())), "id")

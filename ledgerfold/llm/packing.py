@@ -28,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,12 @@ from ledgerfold.llm.common import documents, stored, with_offsets
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 0
-#: Words, and matches within words, kept by a Python worker, in about 150 MB.
-WORDS, MATCHES = 300_000, 600_000
+#: Words and matches within words kept by a Python worker, in about 150 MB.
+WORDS = 900_000
+#: Longer words and matches are not kept.
+LONGEST = 1_000
+#: Bytes of the texts that are split at once, about.
+TEXTS = 4 << 20
 #: Pieces of one length are numbered in buckets of about so many.
 BUCKET = 20_000
 #: Exact patterns tried for each longest length.
@@ -51,8 +56,10 @@ _MATCHES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ).findall
 
-#: Signs that, in any run at the end of a word of letters, are one match of that split.
-_STOPS = ",.;:!?"
+
+#: Characters beyond Latin-1, and a sign after a letter: no match of that split goes over the
+#: place between the two.
+_BEYOND, _SIGNED = r"[^\x{00}-\x{FF}]", r"(\pL)([^\s\pL\pN])"
 
 #: `ids` are little-endian 32-bit integers.
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -69,11 +76,20 @@ def _is_latin(text: str) -> bool:
     return True
 
 
+class Recent(Memory):
+    """A memory that does not keep what belongs to long keys."""
+
+    def __missing__(self, key: str) -> bytes:
+        return self.compute(key) if len(key) > LONGEST else super().__missing__(key)
+
+
 class Words:
     """Ids of texts, word by word: the vocabulary drops white space, so words stand alone.
 
     Words of Latin-1 characters are split and looked up as the vocabulary file says, each
-    match by the library's BPE model; all other words go through the whole tokenizer.
+    match by the library's BPE model; all other words go through the whole tokenizer. Texts of
+    Latin-1 characters are split many at once, in small letters and before signs, which leaves
+    far fewer different words, and each of these is looked up once for all of the texts.
     """
 
     def __init__(self, path: str):
@@ -83,8 +99,7 @@ class Words:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.shown = dict(enumerate(byte_characters()))
-        self.known = Memory(self._word, WORDS)
-        self.matched = Memory(self._match, MATCHES)
+        self.known = Recent(self._word, WORDS)
 
     def _match(self, own: str) -> bytes:
         plain = own.isascii() and own.isalnum()  # the byte table leaves these as they are
@@ -92,15 +107,17 @@ class Words:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if len(word) > 1_000 or not _is_latin(word):
+        """The ids of a word, or of a match, which is a word too."""
+        if len(word) > LONGEST or not _is_latin(word):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             return array("I", ids).tobytes()
         small = word.lower()
-        letters = small.rstrip(_STOPS)
-        if letters.isalpha():
-            ids = self.matched[letters]
-            return ids if len(letters) == len(small) else ids + self.matched[small[len(letters) :]]
-        return b"".join(map(self.matched.__getitem__, _MATCHES(small)))
+        if small.isalpha():
+            return self._match(small)
+        found = _MATCHES(small)
+        if found == [word]:
+            return self._match(word)
+        return b"".join(map(self.known.__getitem__, found))
 
     def text(self, text: str | None) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
@@ -111,6 +128,40 @@ class Words:
         # any white space parts words; lines are the most frequent after spaces
         return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def texts(self, column: pa.Array) -> list[bytes]:
+        """The ids of each of many texts, as of one."""
+        column = column.cast(pa.large_string()).fill_null("")
+        sizes = pc.binary_length(column).to_numpy()
+        beyond = pc.match_substring_regex(column, _BEYOND).to_numpy(zero_copy_only=False)
+        alone = beyond | (sizes > TEXTS)
+        out: list[bytes] = [b""] * len(column)
+        for k in np.flatnonzero(alone):
+            out[k] = self.text(column[k].as_py())
+        rest = np.flatnonzero(~alone)
+        groups = np.cumsum(sizes[rest]) // TEXTS
+        for own in np.split(rest, np.flatnonzero(np.diff(groups)) + 1):
+            if len(own):
+                for k, ids in zip(own, self._latin(column.take(pa.array(own))), strict=True):
+                    out[k] = ids
+        return out
+
+    def _latin(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of texts of Latin-1 characters."""
+        split = pc.replace_substring_regex(pc.utf8_lower(column), _SIGNED, r"\1 \2")
+        split = pc.ascii_split_whitespace(split)
+        found = split.flatten().dictionary_encode()
+        names = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        each = list(map(self.known.__getitem__, names))
+        ids = np.frombuffer(b"".join(each), "<u4")
+        sizes = np.array([len(x) // 4 for x in each], np.int64)
+        word = found.indices.to_numpy()
+        ends = np.cumsum(sizes[word])
+        start = (np.cumsum(sizes) - sizes)[word] - (ends - sizes[word])
+        tokens = ids[np.repeat(start, sizes[word]) + np.arange(ends[-1] if len(ends) else 0)]
+        words_ = np.cumsum(pc.list_value_length(split).to_numpy())
+        places = np.concatenate([[0], ends])[np.concatenate([[0], words_])]
+        return (tokens[a:b].tobytes() for a, b in zip(places[:-1], places[1:], strict=True))
+
 
 @lru_cache(maxsize=2)
 def words(path: str) -> Words:
@@ -128,7 +179,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Da
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = []
-                texts = map(words(path).text, part.column(1).to_pylist())
+                texts = words(path).texts(part.column(1))
                 for key, ids in zip(part.column(0).to_pylist(), texts, strict=True):
                     ids += end
                     for k in range(0, len(ids), 4 * length):

@@ -267,7 +267,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
                 part = rows.column(0).slice(0, 1)
-                ids = [words(path).text(text) + end for text in rows.column(2).to_pylist()]
+                ids = [own + end for own in words(path).texts(rows.column(2))]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 places = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())

@@ -1,11 +1,13 @@
 """Tokens, packing and shards against the libraries and brute force."""
 
 import collections
+import itertools
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from odd import TEXTS, empty, odd, prose
@@ -58,6 +60,31 @@ def test_word_ids_are_those_of_the_library():
         assert np.frombuffer(own.text(text), "<u4").tolist() == want, repr(text)[:200]
 
 
+def test_ids_of_many_texts_are_those_of_the_library(monkeypatch):
+    monkeypatch.setattr(packing, "TEXTS", 4_000)
+    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    library.encode_special_tokens = True
+    own = packing.Words(public_tokenizers.path(packing.VOCABULARY))
+    rng = random.Random(7)
+    alphabet = [*map(chr, range(256)), *"abcd efgh's.,!? \n", "你", "İ", "\u0301"]
+    texts = [*TEXTS, None, "", " \n", "ab, " * 3_000, "a" * 3_000, "é!" * 2_500]
+    texts += ["".join(rng.choices(alphabet[: rng.choice((256, 273, 276))], k=rng.randint(0, 40))) for _ in range(3_000)]
+    rng.shuffle(texts)
+    found = own.texts(pa.array(texts, pa.string()).slice(1))
+    for text, ids in zip(texts[1:], found, strict=True):
+        want = library.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want, repr(text)[:200]
+    assert own.texts(pa.array([], pa.string())) == []
+
+
+def test_signs_and_capitals_make_no_words_of_their_own():
+    own = packing.Words(public_tokenizers.path(packing.VOCABULARY))
+    stems = ["".join(c) for c in itertools.product("bdfg", "aeiou", "lmnr")]
+    texts = [f"{stem}{sign} {stem.title()}{sign} {stem.upper()}{sign}" for stem in stems for sign in ",.;:!?"]
+    own.texts(pa.array(texts))
+    assert len(own.known) <= len(stems) + 6
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_a_plan_places_every_piece_once(seed):
     rng = random.Random(seed)

@@ -40,8 +40,8 @@ from ledgerfold.llm.common import documents, stored, with_offsets
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 0
-#: Words and matches within words kept by a Python worker, in about 150 MB.
-WORDS = 900_000
+#: Words and matches within words kept by a Python worker, in about 100 MB.
+WORDS = 600_000
 #: Longer words and matches are not kept.
 LONGEST = 1_000
 #: Bytes of the texts that are split at once, about.
